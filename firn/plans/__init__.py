@@ -1 +1,10 @@
+"""Named pipelines and queries."""
 
+from importlib import import_module
+
+MODULES = ["flat"]
+
+
+def load_all() -> None:
+    for name in MODULES:
+        import_module(f"firn.plans.{name}")
