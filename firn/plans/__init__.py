@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["flat"]
+MODULES = ["flat", "nested"]
 
 
 def load_all() -> None:
