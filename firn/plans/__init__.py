@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["flat", "nested"]
+MODULES = ["flat", "nested", "text", "bins"]
 
 
 def load_all() -> None:

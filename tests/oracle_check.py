@@ -43,10 +43,20 @@ def rows_of(columns, rows):
     return sorted((tuple(_key(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(df, con, sql):
+KINDS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
+def type_notes(df, cursor):
+    want = {d[0]: str(d[1]) for d in cursor.description}
+    return [f"{n}: {k} vs {want.get(n)}" for n, k in df.dtypes if KINDS.get(k, k) != want.get(n)]
+
+
+def compare(df, con, sql, notes=None):
     got = df.collect()
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
+    if notes is not None:
+        notes.extend(type_notes(df, cursor))
     want = cursor.fetchall()
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
@@ -73,15 +83,15 @@ def main():
     names = sys.argv[2:] or list(queries)
     failed = 0
     for name in names:
-        start = time.time()
+        start, notes = time.time(), []
         try:
             df = queries[name](spark, folder)
-            problem = compare(df, con, sqls[name]) if name in sqls else f"(no sql) rows={df.count()}"
+            problem = compare(df, con, sqls[name], notes) if name in sqls else f"(no sql) rows={df.count()}"
         except Exception as e:  # noqa: BLE001
             problem = f"{type(e).__name__}: {str(e)[:700]}"
         ok = problem is None or problem.startswith("(no sql)")
         failed += not ok
-        print(f"{'ok  ' if ok else 'FAIL'} {name:28s} {time.time() - start:6.2f}s {problem or ''}", flush=True)
+        print(f"{'ok  ' if ok else 'FAIL'} {name:28s} {time.time() - start:6.2f}s {problem or ''} {'TYPES ' + '; '.join(notes) if notes else ''}", flush=True)
     print("failed", failed, "of", len(names))
 
 
