@@ -73,7 +73,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], hot_rows: i
     salt = F.pmod(F.xxhash64(*[c for c in big.columns if c not in on]), F.coalesce("_parts", F.lit(1)))
     left = big.join(hot, list(on), "left").withColumn("_salt", salt.cast("int")).drop("_parts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-    right = small.join(hot, list(on), "left").withColumn("_salt", copies.cast("int")).drop("_parts")
+    right = small.join(hot, list(on), "left").withColumn("_salt", copies).drop("_parts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["flat", "nested", "text", "bins"]
+MODULES = ["flat", "nested", "text", "bins", "timeline", "tables", "space"]
 
 
 def load_all() -> None:
