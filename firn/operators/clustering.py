@@ -22,21 +22,24 @@ def event_geometry(df: DataFrame, model: int = 3) -> DataFrame:
     above the horizon keep NULL positions and ``clusterable`` false.
     """
     payload = {c: F.col(f"payload_{c}") for c in ("longitude", "latitude", "altitude", "heading")}
-    lon, lat, distance = geodesy.trace_to_surface(payload, F.col("theta"), F.col("phi"))
-    placed = df.withColumns({"longitude": lon, "latitude": lat, "distance_m": distance, "altitude": F.lit(0.0)})
-    easting, northing = geodesy.easting_northing(F.col("longitude"), F.col("latitude"))
-    source = {c: F.col(c) for c in ("longitude", "latitude", "altitude")}
-    theta, phi, _ = geodesy.view_angles(payload, source)
-    sized = placed.withColumns(
+    hit = df.withColumn("_hit", geodesy.trace_to_surface(payload, F.col("theta"), F.col("phi")))
+    placed = hit.withColumns(
         {
-            "easting": easting,
-            "northing": northing,
+            "longitude": F.col("_hit.longitude"),
+            "latitude": F.col("_hit.latitude"),
+            "distance_m": F.col("_hit.distance"),
+            "altitude": F.lit(0.0),
             "sigma_theta": scores.resolution(F.col("snr"), "theta", model),
             "sigma_phi": scores.resolution(F.col("snr"), "phi", model),
         }
+    ).drop("_hit")
+    easting, northing = geodesy.easting_northing(F.col("longitude"), F.col("latitude"))
+    source = {c: F.col(c) for c in ("longitude", "latitude", "altitude")}
+    seen = placed.withColumns({"easting": easting, "northing": northing, "_v": geodesy.view_angles(payload, source)})
+    own = scores.point_log_likelihood(
+        F.col("theta"), F.col("phi"), F.col("sigma_theta"), F.col("sigma_phi"), F.col("_v.theta"), F.col("_v.phi")
     )
-    own = scores.point_log_likelihood(F.col("theta"), F.col("phi"), F.col("sigma_theta"), F.col("sigma_phi"), theta, phi)
-    return sized.withColumns({"self_ll": own, "clusterable": F.col("longitude").isNotNull()})
+    return seen.withColumns({"self_ll": own, "clusterable": F.col("longitude").isNotNull()}).drop("_v")
 
 
 def by_threshold(points: DataFrame, sigma: Column, thresholds: Sequence[float], surface: float) -> DataFrame:
@@ -128,8 +131,8 @@ def centroids(members: DataFrame, by: Sequence[str], position: Sequence[str]) ->
 
 def centroid_location(centred: DataFrame) -> DataFrame:
     """Longitude, latitude and altitude of mean earth-centred coordinates."""
-    lon, lat, alt = geodesy.from_earth_centred(F.col("mean_x"), F.col("mean_y"), F.col("mean_z"))
-    return centred.withColumns({"longitude": lon, "latitude": lat, "altitude": alt})
+    place = geodesy.from_earth_centred(F.col("mean_x"), F.col("mean_y"), F.col("mean_z"))
+    return centred.withColumn("_p", place).select("*", "_p.*").drop("_p")
 
 
 def size_group(n: Column) -> Column:
@@ -197,10 +200,11 @@ def residuals(events: DataFrame, clusters: DataFrame, by: Sequence[str]) -> Data
     """Angles from each event's direction to its cluster position, and their likelihood."""
     payload = {c: F.col(f"payload_{c}") for c in ("longitude", "latitude", "altitude", "heading")}
     joined = events.join(clusters.select(*by, *[F.col(c).alias(f"cluster_{c}") for c in ("longitude", "latitude", "altitude")]), list(by))
-    theta, phi, _ = geodesy.view_angles(payload, {c: F.col(f"cluster_{c}") for c in ("longitude", "latitude", "altitude")})
-    d_phi = F.pmod(phi - F.col("phi") + 180.0, F.lit(360.0)) - 180.0
-    ll = F.pow((theta - F.col("theta")) / F.col("sigma_theta"), 2) + F.pow(d_phi / F.col("sigma_phi"), 2)
-    return joined.withColumns({"d_theta": theta - F.col("theta"), "d_phi": d_phi, "cluster_ll": ll})
+    seen = joined.withColumn("_v", geodesy.view_angles(payload, {c: F.col(f"cluster_{c}") for c in ("longitude", "latitude", "altitude")}))
+    d_phi = F.pmod(F.col("_v.phi") - F.col("phi") + 180.0, F.lit(360.0)) - 180.0
+    angled = seen.withColumns({"d_theta": F.col("_v.theta") - F.col("theta"), "d_phi": d_phi}).drop("_v")
+    ll = F.pow(F.col("d_theta") / F.col("sigma_theta"), 2) + F.pow(F.col("d_phi") / F.col("sigma_phi"), 2)
+    return angled.withColumn("cluster_ll", ll)
 
 
 def fit_near_pairs(events: DataFrame, k: int, horizon: float) -> DataFrame:

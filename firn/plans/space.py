@@ -297,7 +297,7 @@ def _event_geometry(spark, folder):
     " s AS (SELECT *, sqrt(e2) AS e, sin(radians(71.0)) AS s71 FROM k),"
     " t AS (SELECT *, tan(pi() / 4 - f / 2) / pow((1 - e * sin(f)) / (1 + e * sin(f)), e / 2) AS tf, tan(pi() / 4 - radians(71.0) / 2) / pow((1 - e * s71) / (1 + e * s71), e / 2) AS t71, a / sqrt(1 - e2 * sin(f) * sin(f)) AS nu FROM s),"
     " r AS (SELECT *, a * cos(radians(71.0)) / sqrt(1 - e2 * s71 * s71) * tf / t71 AS rho FROM t)"
-    " SELECT c_custkey, round(rho * sin(radians(lon)), 3) AS easting, round(rho * cos(radians(lon)), 3) AS northing, round((nu + alt) * cos(radians(lat)) * cos(radians(lon)), 3) AS x,"
+    " SELECT c_custkey, round(rho * sin(radians(lon)), 3) + 0.0 AS easting, round(rho * cos(radians(lon)), 3) AS northing, round((nu + alt) * cos(radians(lat)) * cos(radians(lon)), 3) AS x,"
     " round((nu * (1 - e2) + alt) * sin(radians(lat)), 3) AS z, round(lon, 6) AS lon_back, round(lat, 6) AS lat_back, round(alt, 3) AS alt_back FROM r",
 )
 def _geodesy(spark, folder):
@@ -310,7 +310,8 @@ def _geodesy(spark, folder):
     x, y, z = geodesy.earth_centred(F.col("lon"), F.col("lat"), F.col("alt"))
     made = p.select("c_custkey", "lon", e.alias("e"), n.alias("n"), x.alias("x"), y.alias("y"), z.alias("z"))
     _, lat_back = geodesy.longitude_latitude(F.col("e"), F.col("n"))
-    lon_back, _, alt_back = geodesy.from_earth_centred(F.col("x"), F.col("y"), F.col("z"))
+    back = geodesy.from_earth_centred(F.col("x"), F.col("y"), F.col("z"))
+    lon_back, alt_back = back["longitude"], back["altitude"]
     turned = F.when((lon_back > 179.9999) & (F.col("lon") < 0), lon_back - 360.0).otherwise(lon_back)
     return made.select(
         "c_custkey", F.round("e", 3).alias("easting"), F.round("n", 3).alias("northing"), F.round("x", 3).alias("x"), F.round("z", 3).alias("z"),
@@ -328,10 +329,11 @@ def _pair_fit(spark, folder):
 @query("cluster_residuals")
 def _cluster_residuals(spark, folder):
     """Angles between each direction and the centre of its 10-degree ground cell."""
-    made = cl.event_geometry(directions(spark, folder)).filter("clusterable")
+    made = materialize(cl.event_geometry(directions(spark, folder)).filter("clusterable"), "events")
     x, y, z = geodesy.earth_centred(F.col("longitude"), F.col("latitude"), F.lit(0.0))
     cell = [F.floor(F.col("easting") / 50000).alias("cx"), F.floor(F.col("northing") / 50000).alias("cy")]
     placed = made.withColumns({"x": x, "y": y, "z": z}).select("*", *cell)
+    # The cell centres and the events both read the written table: the geometry runs once.
     centres = cl.centroid_location(cl.centroids(placed, ["cx", "cy"], ["x", "y", "z"]))
     out = cl.residuals(placed.drop("x", "y", "z"), centres, ["cx", "cy"])
     return out.select("id", F.round("d_theta", 6).alias("d_theta"), F.round("d_phi", 6).alias("d_phi"), F.round("cluster_ll", 4).alias("cluster_ll"))
