@@ -10,6 +10,7 @@ from firn.functions import geodesy, scores
 from firn.functions.fitting import EVENT_FIELDS, pair_fit
 from firn.operators.joins import HOT_ROWS, salted_join
 from firn.operators.spatial import components, knn, link_components
+from firn.session import shuffle_width
 
 # Cluster size groups, each from its number up to the next.
 SIZE_GROUPS = [100, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -225,6 +226,8 @@ def fit_near_pairs(events: DataFrame, k: int, horizon: float) -> DataFrame:
         return events.select(F.col("id").alias(key), *cols, F.col("longitude").alias(f"{prefix}_slon"), F.col("latitude").alias(f"{prefix}_slat"))
 
     both = pairs.join(side("a", "id"), "id").join(side("b", "neighbour"), "neighbour")
+    # The fit costs far more than its bytes suggest: keep adaptive execution from packing it into few tasks.
+    both = both.repartition(shuffle_width(events.sparkSession), "id", "neighbour")
     fit = pair_fit(
         {f: F.col(f"a_{f}") for f in EVENT_FIELDS}, {f: F.col(f"b_{f}") for f in EVENT_FIELDS}, F.col("a_slon"), F.col("a_slat")
     )

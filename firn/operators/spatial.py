@@ -12,14 +12,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from firn.session import materialize
+from firn.session import materialize, shuffle_width
 
 DEPTH = 24
-LEAF_ROWS = 64
+LEAF_ROWS = 32
 PAIR_ROWS = 4096
 BROADCAST_DEPTH = 5
 LINK_DEPTH = 30
-LEVELS_PER_PASS = 4
+LEVELS_PER_PASS = 6
+ROUNDS_PER_WRITE = 6
 
 
 def _low(a: str, b: str, axis: str) -> Column:
@@ -63,17 +64,10 @@ class _Frame:
         self.x0, self.y0, self.side = x0, y0, side or 1.0
 
     @staticmethod
-    def around(*frames: DataFrame) -> "_Frame":
-        rows = [
-            r
-            for f in frames
-            for r in [f.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()]
-            if r[0] is not None
-        ]
-        if not rows:
+    def around(df: DataFrame) -> "_Frame":
+        x0, x1, y0, y1 = df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        if x0 is None:
             return _Frame(0.0, 0.0, 1.0)
-        x0, x1 = min(r[0] for r in rows), max(r[1] for r in rows)
-        y0, y1 = min(r[2] for r in rows), max(r[3] for r in rows)
         return _Frame(x0, y0, max(x1 - x0, y1 - y0))
 
     def cells(self, df: DataFrame) -> DataFrame:
@@ -90,66 +84,69 @@ def _at(column: str, depth: int) -> Column:
     return F.shiftright(F.col(column), DEPTH - depth)
 
 
-def _tree(points: DataFrame, prefix: str, leaf_rows: int) -> tuple[DataFrame, DataFrame, int]:
-    """Cells holding at most ``leaf_rows`` points each.
+_CELL = ["d", "cx", "cy"]
 
-    Returns the points with their leaf key (``{prefix}_d/_cx/_cy``), the table of all
-    nodes with counts and bounds, and the depth reached.
+
+def _levels(first: int, last: int) -> Column:
+    return F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(d).alias("d"), _at("_ix", d).alias("cx"), _at("_iy", d).alias("cy"))
+                for d in range(first, last + 1)
+            ]
+        )
+    ).alias("_k")
+
+
+def _tree(points: DataFrame, leaf_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """Cells holding at most ``leaf_rows`` points, for each ``side`` on its own.
+
+    Returns the points with their leaf cell, the table of all nodes (``side``, cell, ``n``,
+    bounds, ``leaf``) and the depth reached. A cell exists when its parent is over the
+    limit, so several levels come from one pass and one self-join.
     """
-    names = [f"{prefix}_d", f"{prefix}_cx", f"{prefix}_cy"]
-    levels: list[DataFrame] = []
+    passes: list[DataFrame] = []
     first, heavy = 0, None
     while True:
-        # Several levels per pass: each adds one small row per occupied cell.
         last = min(first + LEVELS_PER_PASS - 1, DEPTH)
-        cells = [
-            F.struct(F.lit(d).alias(names[0]), _at("_ix", d).alias(names[1]), _at("_iy", d).alias(names[2]))
-            for d in range(first, last + 1)
-        ]
-        rows = points.select("_ix", "_iy", "x", "y")
+        rows = points.select("side", "_ix", "_iy", "x", "y")
         if heavy is not None:
-            rows = rows.withColumns({"_px": _at("_ix", first - 1), "_py": _at("_iy", first - 1)}).join(
-                heavy.select(F.col(names[1]).alias("_px"), F.col(names[2]).alias("_py")), ["_px", "_py"], "left_semi"
+            rows = rows.withColumns({"cx": _at("_ix", first - 1), "cy": _at("_iy", first - 1)}).join(
+                heavy, ["side", "cx", "cy"], "left_semi"
             )
-        raw = materialize(
-            rows.select(F.explode(F.array(*cells)).alias("_k"), "x", "y")
-            .select("_k.*", "x", "y")
-            .groupBy(*names)
-            .agg(F.count("*").alias(f"{prefix}_n"), *_box(prefix))
-            .withColumn(f"{prefix}_leaf", (F.col(f"{prefix}_n") <= leaf_rows) | (F.col(names[0]) == DEPTH)),
-            "tree",
+        counted = (
+            rows.select("side", _levels(first, last), "x", "y")
+            .select("side", "_k.*", "x", "y")
+            .groupBy("side", *_CELL)
+            .agg(F.count("*").alias("n"), *[fn(source).alias(name) for name, fn, source in _BOX])
+            .withColumn("leaf", (F.col("n") <= leaf_rows) | (F.col("d") == DEPTH))
+        )
+        parents = counted.filter(~F.col("leaf")).select(
+            "side", (F.col("d") + 1).alias("d"), F.col("cx").alias("_px"), F.col("cy").alias("_py")
         )
-        for d in range(first, last + 1):
-            level = raw.filter(F.col(names[0]) == d)
-            if d > first:
-                parents = heavy.select(F.col(names[1]).alias("_px"), F.col(names[2]).alias("_py"))
-                up = (F.shiftright(F.col(names[1]), 1) == F.col("_px")) & (F.shiftright(F.col(names[2]), 1) == F.col("_py"))
-                level = level.join(parents, up, "left_semi")
-            levels.append(level)
-            heavy = level.filter(~F.col(f"{prefix}_leaf"))
+        up = counted.withColumns({"_px": F.shiftright("cx", 1), "_py": F.shiftright("cy", 1)})
+        kept = up.filter(F.col("d") > first).join(parents, ["side", "d", "_px", "_py"], "left_semi")
+        nodes = materialize(counted.filter(F.col("d") == first).unionByName(kept.drop("_px", "_py")), "cells")
+        passes.append(nodes)
+        heavy = nodes.filter(~F.col("leaf") & (F.col("d") == last)).select("side", "cx", "cy")
         if last == DEPTH or heavy.isEmpty():
             break
         first = last + 1
-        heavy = materialize(heavy, "heavy")
-    depth = len(levels) - 1
-    nodes = levels[0]
-    for level in levels[1:]:
-        nodes = nodes.unionByName(level)
-    nodes = materialize(nodes, "nodes")
-    # Walk each point to its leaf: one candidate key per level, exactly one of them is a leaf.
-    keyed = points.select(
-        "*",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(d).alias(names[0]), _at("_ix", d).alias(names[1]), _at("_iy", d).alias(names[2]))
-                    for d in range(depth + 1)
-                ]
-            )
-        ).alias("_k"),
-    ).select(*points.columns, "_k.*")
-    leaves = nodes.filter(f"{prefix}_leaf").select(*names)
-    return keyed.join(leaves, names, "left_semi"), nodes, depth
+    tree = passes[0]
+    for more in passes[1:]:
+        tree = tree.unionByName(more)
+    depth = tree.agg(F.max("d")).first()[0] or 0
+    # Walk each point to its leaf: one candidate per level, exactly one of them is a leaf.
+    keyed = points.select("side", "id", "x", "y", _levels(0, depth)).select("side", "id", "x", "y", "_k.*")
+    leaves = tree.filter("leaf").select("side", *_CELL)
+    return keyed.join(leaves, ["side", *_CELL], "left_semi"), tree, depth
+
+
+def _named(df: DataFrame, side: str) -> DataFrame:
+    """Rows of one side with prefixed column names."""
+    rest = [c for c in df.columns if c not in ("side", "id", "x", "y")]
+    own = [c for c in ("id", "x", "y") if c in df.columns]
+    return df.filter(F.col("side") == side).select(*own, *[F.col(c).alias(f"{side}_{c}") for c in rest])
 
 
 def knn(
@@ -170,34 +167,39 @@ def knn(
     # The rank filter is applied before the shuffle too, so a pile of copies stays local.
     same_place = Window.partitionBy("x", "y").orderBy("id")
     distinct = points.select("id", "x", "y").withColumn("_r", F.row_number().over(same_place)).filter(F.col("_r") <= need)
-    asked = queries.select("id", "x", "y")
-    frame = _Frame.around(points, queries)
-    refs = materialize(frame.cells(distinct.drop("_r")), "refs")
-    asks = materialize(frame.cells(asked), "asks")
-    ref_points, nodes, depth = _tree(refs, "r", leaf_rows)
-    ask_points, ask_nodes, _ = _tree(asks, "q", leaf_rows)
+    both = distinct.select(F.lit("r").alias("side"), "id", "x", "y").unionByName(
+        queries.select(F.lit("q").alias("side"), "id", "x", "y")
+    )
+    both = materialize(both, "points")
+    placed, tree, depth = _tree(_Frame.around(both).cells(both), leaf_rows)
+    ref_points = _named(placed, "r")
+    ask_points = _named(placed, "q")
+    nodes = _named(tree, "r")
     q_key = ["q_d", "q_cx", "q_cy"]
     q_cols = [*q_key, "q_minx", "q_maxx", "q_miny", "q_maxy"]
-    r_cols = [c for c in nodes.columns]
+    r_cols = nodes.columns
     root = nodes.filter(F.col("r_d") == 0).first()
     if root is None:
-        return _no_neighbours(asked)
-    frontier = ask_nodes.filter("q_leaf").select(*q_cols).withColumns({c: F.lit(root[c]) for c in r_cols})
+        return _no_neighbours(queries.select("id"))
+    frontier = _named(tree, "q").filter("q_leaf").select(*q_cols).withColumns({c: F.lit(root[c]) for c in r_cols})
     for level in range(1, depth + 1):
-        parents = frontier.filter(~F.col("r_leaf")).select(
-            *q_cols, F.col("r_cx").alias("_px"), F.col("r_cy").alias("_py")
-        )
         children = nodes.filter(F.col("r_d") == level).select(
-            *r_cols, F.shiftright("r_cx", 1).alias("_px"), F.shiftright("r_cy", 1).alias("_py")
+            F.shiftright("r_cx", 1).alias("_px"), F.shiftright("r_cy", 1).alias("_py"), F.struct(*r_cols).alias("_child")
         )
         # A level has at most 4^level cells: known small near the root, shuffled below.
         side = F.broadcast(children) if level <= BROADCAST_DEPTH else children
-        grown = parents.join(side, ["_px", "_py"]).select(*q_cols, *r_cols)
-        frontier = _prune(frontier.filter("r_leaf").select(*q_cols, *r_cols).unionByName(grown), q_key, need, max_distance)
-        if level % 3 == 0:
+        # Leaves have no join key and stay as they are; every other cell has children.
+        keyed = frontier.withColumns({f"_p{c}": F.when(~F.col("r_leaf"), F.col(f"r_c{c}")) for c in "xy"})
+        grown = keyed.join(side, ["_px", "_py"], "left")
+        stepped = [F.coalesce(F.col("_child")[c], F.col(c)).alias(c) for c in r_cols]
+        frontier = _prune(grown.select(*q_cols, *stepped), q_key, need, max_distance)
+        if level % ROUNDS_PER_WRITE == 0 and level < depth:
             frontier = materialize(frontier, "frontier")
+    # Few cells, much row-level work behind each: a fixed width keeps adaptive execution
+    # from packing them into a handful of tasks.
+    spread = frontier.select(*q_key, "r_d", "r_cx", "r_cy").repartition(shuffle_width(points.sparkSession), *q_key)
     pairs = (
-        frontier.select(*q_key, "r_d", "r_cx", "r_cy")
+        spread
         .join(ask_points.select(*q_key, "id", "x", "y"), q_key)
         .join(
             ref_points.select("r_d", "r_cx", "r_cy", F.col("id").alias("neighbour"), F.col("x").alias("_rx"), F.col("y").alias("_ry")),
@@ -398,19 +400,24 @@ def components(edges: DataFrame, by: Sequence[str] = (), max_rounds: int = 60) -
     pairs = edges.select(*by, F.col("src").alias("u"), F.col("dst").alias("v"))
     ends = pairs.select(*by, F.col("u").alias("id")).union(pairs.select(*by, F.col("v").alias("id"))).distinct()
     stars = materialize(pairs.filter(F.col("u") != F.col("v")).distinct(), "stars")
-    seen = None
     for _ in range(max_rounds):
         stars = materialize(_small_star(_large_star(stars, by), by), "stars")
-        mark = stars.agg(F.count("*"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if _settled(stars, by):
             break
-        seen = mark
     else:
         raise RuntimeError("components did not settle")
     labels = stars.select(*by, F.col("u").alias("id"), F.col("v").alias("label"))
     return ends.join(labels, [*by, "id"], "left").select(*by, "id", F.coalesce("label", "id").alias("label"))
 
 
+def _settled(stars: DataFrame, by: list[str]) -> bool:
+    """Every vertex hangs on one centre and no centre hangs on another."""
+    up = stars.select(*by, F.col("u").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("centre"))
+    down = stars.select(*by, F.col("v").alias("id"), F.lit(0).alias("below"), F.lit(1).alias("centre"))
+    roles = up.union(down).groupBy(*by, "id").agg(F.sum("below").alias("below"), F.max("centre").alias("centre"))
+    return roles.filter((F.col("below") > 1) | ((F.col("below") == 1) & (F.col("centre") == 1))).isEmpty()
+
+
 def _large_star(edges: DataFrame, by: list[str]) -> DataFrame:
     both = edges.select(*by, "u", "v").union(edges.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(*by, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
