@@ -145,11 +145,21 @@ def zoom_map(
     )
 
 
-def map_rows(cells: DataFrame, event: Sequence[str], theta_bins: int) -> DataFrame:
-    """One row per event with the map as a flat array, phi-major. Length is the bin count."""
+def map_rows(cells: DataFrame, event: Sequence[str], phi_bins: int, theta_bins: int) -> DataFrame:
+    """One row per event with the map as a flat array, phi-major; directions no pair sees are NULL.
+
+    The array length is the bin count, so the collected group is bounded.
+    """
     bin_number = F.col("phi_bin") * theta_bins + F.col("theta_bin")
-    packed = F.array_sort(F.collect_list(F.struct(bin_number.alias("k"), F.col("value").alias("v"))))
-    return cells.groupBy(*event).agg(packed.alias("_m")).select(*event, F.transform("_m", lambda e: e["v"]).alias("map"))
+    filled = F.map_from_entries(F.collect_list(F.struct(bin_number.cast("int").alias("k"), F.col("value").alias("v"))))
+    numbers = F.sequence(F.lit(0), F.lit(phi_bins * theta_bins - 1))
+    return cells.groupBy(*event).agg(filled.alias("_m")).select(
+        *event, F.transform(numbers, lambda k: F.try_element_at(F.col("_m"), k)).alias("map")
+    )
+
+
+def _grid(values: np.ndarray, phi_bins: int, theta_bins: int) -> np.ndarray:
+    return np.nan_to_num(np.asarray(values, float), nan=-np.inf).reshape(phi_bins, theta_bins)
 
 
 def map_peaks(
@@ -159,7 +169,7 @@ def map_peaks(
     phi, theta = np.asarray(phi_edges, float), np.asarray(theta_edges, float)
 
     def search(values: np.ndarray) -> list[dict]:
-        m = values.reshape(len(phi), len(theta))
+        m = _grid(values, len(phi), len(theta))
         padded = np.pad(np.concatenate([m[-1:], m, m[:1]]), ((0, 0), (1, 1)), constant_values=-np.inf)
         around = [
             padded[1 + i : 1 + i + len(phi), 1 + j : 1 + j + len(theta)]
@@ -181,7 +191,7 @@ def map_peaks(
 
     @F.pandas_udf("array<struct<value:double,phi:double,theta:double>>")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else search(np.asarray(v, float)) for v in s])
+        return pd.Series([None if v is None else search(v) for v in s])
 
     return run(map_array)
 
@@ -204,12 +214,14 @@ def quadratic_peak(map_array: Column, phi_bins: int, theta_bins: int, step: floa
     x, y = (g.ravel() for g in np.meshgrid(offsets, offsets, indexing="ij"))
 
     def fit(values: np.ndarray) -> tuple[float, float, float, float]:
-        m = values.reshape(phi_bins, theta_bins)
+        m = _grid(values, phi_bins, theta_bins)
         i, j = np.unravel_index(np.argmax(m), m.shape)
         at = (float(m[i, j]), i * step, j * step, float("nan"))
         if i < half or j < half or i + half >= phi_bins or j + half >= theta_bins:
             return at
         patch = m[i - half : i + half + 1, j - half : j + half + 1].ravel()
+        if not np.isfinite(patch).all():
+            return at
         a, b, c, d, e, f = inverse @ patch
         det = 4 * a * b - c * c
         if det == 0:
@@ -221,7 +233,7 @@ def quadratic_peak(map_array: Column, phi_bins: int, theta_bins: int, step: floa
 
     @F.pandas_udf("value double, d_phi double, d_theta double, chisq double")
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fit(np.asarray(v, float)) for v in s], columns=["value", "d_phi", "d_theta", "chisq"])
+        return pd.DataFrame([fit(v) for v in s], columns=["value", "d_phi", "d_theta", "chisq"])
 
     return run(map_array)
 
