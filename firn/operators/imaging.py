@@ -83,7 +83,8 @@ def coarse_delays(
         }
     ).withColumn("theta_bin", F.explode(F.sequence(F.lit(0), F.lit(theta_bins - 1))))
     placed = _with_geometry(cells, geometry)
-    phi = F.lit(phi0) + F.col("phi_bin") * F.lit(360.0 / phi_bins)
+    # Sector k spans half a sector each side of its centre, phi0 + k * 360 / sectors.
+    phi = F.lit(phi0 - 180.0 / sectors) + F.col("phi_bin") * F.lit(360.0 / phi_bins)
     delay = pair_delay(_antenna("a"), _antenna("b"), phi, theta)
     return placed.select("a", "b", "phi_bin", "theta_bin", delay.alias("delay"))
 
@@ -123,11 +124,14 @@ def coarse_map(correlated: DataFrame, delays: DataFrame, event: Sequence[str], d
 
 def zoom_map(
     correlated: DataFrame, geometry: DataFrame, peaks: DataFrame, event: Sequence[str], dt: float,
-    bins: int = ZOOM_BINS, step: float = ZOOM_STEP, sectors: int = SECTORS, phi0: float = 0.0,
+    bins: int = ZOOM_BINS, step: float = ZOOM_STEP, sectors: int = SECTORS, phi0: float = 0.0, peak: Sequence[str] = (),
 ) -> DataFrame:
-    """Fine map around one direction (``phi``, ``theta``) per event, from upsampled correlations."""
+    """Fine maps around given directions (``phi``, ``theta``) from upsampled correlations.
+
+    One direction per event, or several told apart by the ``peak`` columns.
+    """
     sector = F.pmod(F.floor((F.col("phi") - phi0) * sectors / 360.0 + 0.5), F.lit(sectors))
-    centred = correlated.join(peaks.select(*event, "phi", "theta", sector.alias("_s")), list(event))
+    centred = correlated.join(peaks.select(*event, *peak, "phi", "theta", sector.alias("_s")), list(event))
     used = centred.filter(
         (sector_gap(F.col("a"), F.col("_s"), sectors) <= PAIR_REACH) & (sector_gap(F.col("b"), F.col("_s"), sectors) <= PAIR_REACH)
     )
@@ -140,7 +144,7 @@ def zoom_map(
     theta = F.col("theta") + (F.col("theta_bin") - half) * F.lit(step)
     delay = pair_delay(_antenna("a"), _antenna("b"), phi, theta)
     value = at_lag(F.col("corr"), delay, dt)
-    return placed.select(*event, "phi_bin", "theta_bin", value.alias("v")).groupBy(*event, "phi_bin", "theta_bin").agg(
+    return placed.select(*event, *peak, "phi_bin", "theta_bin", value.alias("v")).groupBy(*event, *peak, "phi_bin", "theta_bin").agg(
         F.avg("v").alias("value")
     )
 
@@ -240,14 +244,16 @@ def quadratic_peak(map_array: Column, phi_bins: int, theta_bins: int, step: floa
 
 def coherent_sum(
     channels: DataFrame, geometry: DataFrame, directions: DataFrame, event: Sequence[str], dt: float, samples: int,
-    sectors: int = SECTORS, reach: int = PAIR_REACH, phi0: float = 0.0,
+    sectors: int = SECTORS, reach: int = PAIR_REACH, phi0: float = 0.0, peak: Sequence[str] = (),
 ) -> DataFrame:
     """Average of the channels facing a direction after removing each one's plane-wave delay.
 
-    ``directions`` has event, phi, theta. Result: event, wave (``samples`` long), channels.
+    ``directions`` has event, phi, theta and any ``peak`` columns. Result: those keys,
+    wave (``samples`` long), channels.
     """
+    keys = [*event, *peak]
     sector = F.pmod(F.floor((F.col("phi") - phi0) * sectors / 360.0 + 0.5), F.lit(sectors))
-    aimed = directions.select(*event, "phi", "theta", sector.alias("_s"))
+    aimed = directions.select(*keys, "phi", "theta", sector.alias("_s"))
     joined = channels.join(aimed, list(event)).filter(sector_gap(F.col("ant"), F.col("_s"), sectors) <= reach)
     placed = joined.join(F.broadcast(geometry.select("ant", F.col("z").alias("_z"), F.col("r").alias("_r"), F.col("phi").alias("_p"))), "ant")
     delay = plane_delay(F.col("_z"), F.col("_r"), F.col("_p"), F.col("phi"), F.col("theta"))
@@ -259,10 +265,10 @@ def coherent_sum(
             akima_values(dt * np.arange(len(v)), np.asarray(v, float), grid + d) for v, d in zip(y, late)
         ])
 
-    rows = placed.select(*event, F.posexplode(shifted(F.col("y"), delay)).alias("i", "v"))
-    means = rows.groupBy(*event, "i").agg(F.avg("v").alias("v"), F.count("*").alias("n"))
+    rows = placed.select(*keys, F.posexplode(shifted(F.col("y"), delay)).alias("i", "v"))
+    means = rows.groupBy(*keys, "i").agg(F.avg("v").alias("v"), F.count("*").alias("n"))
     packed = F.array_sort(F.collect_list(F.struct("i", "v")))
-    return means.groupBy(*event).agg(F.transform(packed, lambda e: e["v"]).alias("wave"), F.max("n").alias("channels"))
+    return means.groupBy(*keys).agg(F.transform(packed, lambda e: e["v"]).alias("wave"), F.max("n").alias("channels"))
 
 
 def sector_of(phi: Column, phi0: float = 0.0, sectors: int = SECTORS) -> Column:

@@ -329,3 +329,15 @@ def _pulser_flags(spark, folder):
     )
     flag = scores.pulser_flag(F.col("run"), F.col("trig"), F.col("wais"), F.col("ldb"))
     return df.groupBy("run", flag.alias("pulser")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "run_profile",
+    f"{FLAT_SQL} SELECT run, round(avg(peak_value), 6) AS mean, round(stddev_pop(peak_value), 6) AS spread, CAST(count(*) AS BIGINT) AS entries FROM flat"
+    " WHERE NOT run BETWEEN 257 AND 263 GROUP BY 1",
+)
+def _run_profile(spark, folder):
+    df = flat_events(spark, folder).filter(excluded_runs(F.col("run")))
+    return df.groupBy("run").agg(
+        F.round(F.avg("peak_value"), 6).alias("mean"), F.round(F.stddev_pop("peak_value"), 6).alias("spread"), F.count("*").alias("entries")
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from firn.functions import spectral, waveform
 from firn.operators import imaging, quality
+from firn.operators.summary import summarise
 from firn.plans.registry import query, table
 from firn.session import materialize
 
@@ -230,7 +231,7 @@ _THETA = imaging.coarse_theta_edges(10)
 _GEO = "g AS (SELECT a AS ant, 2.0 AS r, a % 2 * 0.5 AS z, a * 22.5 AS phi FROM range(0, 16) AS q(a))"
 _ARRIVE = "cos(radians(th)) * (-{0}.z * tan(radians(th)) - {0}.r * cos(radians(ph - {0}.phi))) * 1e9 / 299792458.0"
 _MAP_SQL = (
-    f"WITH {W_SQL}, {_GEO}, d AS (SELECT c.*, pb * 11.25 AS ph, [{', '.join(f'{t!r}::DOUBLE' for t in _THETA[:10])}][CAST(tb AS INT) + 1] AS th FROM (SELECT pb, tb, pb // 2 AS sec FROM range(0, 32) AS p(pb), range(0, 10) AS t(tb)) c),"
+    f"WITH {W_SQL}, {_GEO}, d AS (SELECT c.*, pb * 11.25 - 11.25 AS ph, [{', '.join(f'{t!r}::DOUBLE' for t in _THETA[:10])}][CAST(tb AS INT) + 1] AS th FROM (SELECT pb, tb, pb // 2 AS sec FROM range(0, 32) AS p(pb), range(0, 10) AS t(tb)) c),"
     f" pr AS (SELECT x.ant AS a, y.ant AS b, pb, tb, ({_ARRIVE.format('y')}) - ({_ARRIVE.format('x')}) AS delay FROM g x, g y, d WHERE x.ant < y.ant"
     " AND least(abs(x.ant - y.ant), 16 - abs(x.ant - y.ant)) <= 2 AND least(abs(x.ant - sec), 16 - abs(x.ant - sec)) <= 2 AND least(abs(y.ant - sec), 16 - abs(y.ant - sec)) <= 2),"
     " ab AS (SELECT DISTINCT a, b FROM pr),"
@@ -257,7 +258,7 @@ def _coarse_map(spark, folder):
 
 def _peaks(spark: SparkSession, folder: str) -> DataFrame:
     maps = imaging.map_rows(_coarse(spark, folder), ["event"], 32, 10)
-    edges = [k * 11.25 for k in range(32)]
+    edges = [k * 11.25 - 11.25 for k in range(32)]
     return maps.select("event", imaging.map_peaks(F.col("map"), edges, _THETA[:10], 3).alias("peaks"))
 
 
@@ -342,3 +343,13 @@ def _whitened(spark, folder):
     unit = spectral.inverse(spectral.normalise_spectrum(F.col("f"), N), N)
     made = df.select("vec_id", flat.alias("flat"), unit.alias("unit"))
     return made.select("vec_id", waveform.rms(F.col("flat")).alias("flat_rms"), waveform.rms(F.col("unit")).alias("unit_rms"))
+
+
+@query("event_summaries")
+def _event_summaries(spark, folder):
+    """Raw waveforms to nested summaries: filters, maps, peaks, coherent sums, features."""
+    made = summarise(
+        channels(spark, folder), ring_geometry(spark), ["event"], DT, N, "sine_subtract_brick_wall", phi_bins=32, theta_bins=10, zoom_bins=20
+    )
+    top = made.select("event", "nPeaks", F.col("peak")[0].alias("p"), F.col("coherent_filtered")[0].alias("w"))
+    return top.select("event", "nPeaks", "p.value", "p.phi", "p.theta", "w.snr", "w.peakHilbert", "w.impulsivityMeasure", "w.totalPower")
