@@ -129,10 +129,8 @@ def _over_bins(by: Sequence[str]):
 
 def integral(hist: DataFrame, ascending: bool = True, normalised: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """Cumulative content with its error, from the first bin up or from the last bin down."""
-    w = _over_bins(by)
-    span = (
-        w.rowsBetween(Window.unboundedPreceding, 0) if ascending else w.rowsBetween(0, Window.unboundedFollowing)
-    )
+    order = F.asc("bin") if ascending else F.desc("bin")
+    span = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     scale = F.sum("content").over(whole) if normalised else F.lit(1.0)
     return hist.select(

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from firn.session import materialize
 
-BLOCK_ROWS = 65_536
+BLOCK_ROWS = 32_768
 _WITHIN = (1 << 33) - 1
 
 
@@ -104,12 +104,32 @@ def rolling(
     )
 
 
+def rolling_sums(
+    placed: DataFrame, keys: Sequence[str], rows: int, wanted: dict[str, Column], size: int = BLOCK_ROWS
+) -> DataFrame:
+    """Sums over the current row and the ``rows`` - 1 before it: two prefix sums per row.
+
+    A sliding frame would add up ``rows`` values at every row.
+    """
+    size = max(size, rows)
+    w = Window.partitionBy("_block", *keys).orderBy("_g")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    spread = blocks(placed, size, before=rows)
+    summed = spread.withColumns({f"_s_{name}": F.sum(value).over(so_far) for name, value in wanted.items()})
+    added = [
+        (F.coalesce(F.col(f"_s_{name}"), F.lit(0)) - F.coalesce(F.lag(f"_s_{name}", rows).over(w), F.lit(0))).alias(name)
+        for name in wanted
+    ]
+    return summed.select("*", *added).filter("_home").drop("_home", "_block", *[f"_s_{name}" for name in wanted])
+
+
 def _with_carry(blocked: DataFrame, keys: Sequence[str], summary: Column, over: Column, reverse: bool) -> DataFrame:
     """Attach ``_carry``: the combined summary of this key's rows in all earlier (or later) blocks."""
     per_block = blocked.groupBy("_block", *keys).agg(summary.alias("_part"))
-    frame = (1, Window.unboundedFollowing) if reverse else (Window.unboundedPreceding, -1)
     # At most one row per block of a key, so this window is smaller than the data by the block size.
-    w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(*frame)
+    # Later blocks come by descending order: a frame that ends at the partition's end is rescanned per row.
+    order = F.desc("_block") if reverse else F.asc("_block")
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_block.select("_block", *keys, over.over(w).alias("_carry"))
     return blocked.join(carry, ["_block", *keys], "left")
 
@@ -138,13 +158,11 @@ def nearest_known(
 ) -> DataFrame:
     """Last non-NULL ``value`` at or before each row of the key; at or after it if ``forward``."""
     blocked = blocks(placed, size)
-    w = Window.partitionBy("_block", *keys).orderBy("_g")
+    order = F.desc("_g") if forward else F.asc("_g")
+    w = Window.partitionBy("_block", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col(value).isNotNull(), F.col("_g"))
-    if forward:
-        here = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        summary, over = F.min_by(value, known), F.first("_part", ignorenulls=True)
-    else:
-        here = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        summary, over = F.max_by(value, known), F.last("_part", ignorenulls=True)
+    here = F.last(value, ignorenulls=True).over(w)
+    summary = F.min_by(value, known) if forward else F.max_by(value, known)
+    over = F.last("_part", ignorenulls=True)
     joined = _with_carry(blocked.withColumn("_local", here), keys, summary, over, reverse=forward)
     return joined.withColumn(out, F.coalesce("_local", "_carry")).drop("_block", "_home", "_local", "_carry")

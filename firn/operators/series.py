@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from firn.operators.ordered import BLOCK_ROWS, neighbours, number, place, rolling, running_sum
+from firn.operators.ordered import BLOCK_ROWS, neighbours, number, place, rolling_sums, running_sum
 
 
 def unwrap(df: DataFrame, keys: Sequence[str], order: Sequence[str], y: str, wrap: float, out: str = "unwrapped", size: int = BLOCK_ROWS) -> DataFrame:
@@ -58,7 +58,9 @@ def integrated_power(df: DataFrame, keys: Sequence[str], order: Sequence[str], x
 def rolling_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], y: str, rows: int, size: int = BLOCK_ROWS) -> DataFrame:
     """Mean and count over the last ``rows`` rows of each series."""
     placed = place(df, [*keys, *order])
-    return rolling(placed, keys, rows, {"rolling_mean": F.avg(y), "rolling_count": F.count(y)}, size).drop("_g")
+    known = F.col(y).isNotNull().cast("long")
+    sums = rolling_sums(placed, keys, rows, {"_total": F.col(y), "rolling_count": known}, size)
+    return sums.withColumn("rolling_mean", F.try_divide("_total", "rolling_count")).drop("_g", "_total")
 
 
 def gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, size: int = BLOCK_ROWS) -> DataFrame:

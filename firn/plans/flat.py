@@ -187,9 +187,11 @@ def _fmt_pct(spark, folder):
 def _named_cuts(spark, folder):
     """Every named cut and its negation, counted in one scan."""
     cuts = catalogue()
-    df = flat_events(spark, folder)
-    aggs = [F.struct(F.lit(n).alias("cut"), F.count_if(cuts[n].column).alias("passed"), F.count_if((~cuts[n]).column).alias("failed")) for n in CUT_SQL]
-    return df.agg(F.array(*aggs).alias("rows")).select(F.inline("rows"))
+    flags = flat_events(spark, folder).select(*[cuts[n].column.alias(n) for n in CUT_SQL])
+    aggs = [
+        F.struct(F.lit(n).alias("cut"), F.count_if(F.col(n)).alias("passed"), F.count_if(~F.col(n)).alias("failed")) for n in CUT_SQL
+    ]
+    return flags.agg(F.array(*aggs).alias("rows")).select(F.inline("rows"))
 
 
 @query(
