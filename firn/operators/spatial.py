@@ -247,17 +247,24 @@ def link_edges(points: DataFrame, by: Sequence[str] = (), pair_rows: int = PAIR_
     values never link. Instead of all linked pairs the result holds about one edge per
     row plus one per pair of touching cells, which connects exactly the same groups.
     """
-    by = list(by)
+    members, touching = _links(points, list(by), pair_rows)
+    stars = members.filter(F.col("id") != F.col("rep")).select(*by, F.col("id").alias("src"), F.col("rep").alias("dst"))
+    return stars.unionByName(touching)
+
+
+def _links(points: DataFrame, by: list[str], pair_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Each point's cell representative, and one edge per pair of linked cells."""
     places = points.groupBy(*by, "x", "y").agg(F.min("id").alias("id"), F.max("rho").alias("rho"))
-    places = materialize(places.withColumn("_band", F.floor(F.log2("rho")).cast("int")), "places")
-    bands = {r["_band"]: r["m"] for r in places.groupBy("_band").agg(F.max("rho").alias("m")).collect()}
-    if not bands:
-        return points.select(*by, F.col("id").alias("src"), F.col("id").alias("dst"))
+    band = F.floor(F.log2("rho")).cast("int")
     # A cell's diagonal is below every radius of its band, so its points are all linked.
     side = F.pow(F.lit(2.0), F.col("_band") - 1)
-    celled = places.withColumns(
-        {"_cx": F.floor(F.col("x") / side).cast("long"), "_cy": F.floor(F.col("y") / side).cast("long")}
+    celled = materialize(
+        places.withColumn("_band", band).withColumns(
+            {"_cx": F.floor(F.col("x") / side).cast("long"), "_cy": F.floor(F.col("y") / side).cast("long")}
+        ),
+        "places",
     )
+    bands = sorted(r["_band"] for r in celled.select("_band").distinct().collect())  # one per power of two
     key = [*by, "_band", "_cx", "_cy"]
     nodes = materialize(
         celled.groupBy(*key).agg(
@@ -265,18 +272,9 @@ def link_edges(points: DataFrame, by: Sequence[str] = (), pair_rows: int = PAIR_
         ),
         "nodes",
     )
-    copies = (
-        points.join(places.select(*by, "x", "y", F.col("id").alias("dst")), [*by, "x", "y"])
-        .filter(F.col("id") != F.col("dst"))
-        .select(*by, F.col("id").alias("src"), "dst")
-    )
-    stars = (
-        celled.join(nodes.select(*key, "rep"), key)
-        .filter(F.col("id") != F.col("rep"))
-        .select(*by, F.col("id").alias("src"), F.col("rep").alias("dst"))
-    )
-    touching = _touching(celled, nodes, by, bands, pair_rows)
-    return copies.unionByName(stars).unionByName(touching).distinct()
+    homes = celled.select(*key, "x", "y").join(nodes.select(*key, "rep"), key)
+    members = points.select(*by, "id", "x", "y").join(homes.select(*by, "x", "y", "rep"), [*by, "x", "y"]).select(*by, "id", "rep")
+    return members, _touching(celled, nodes, by, bands, pair_rows)
 
 
 def _side_of(nodes: DataFrame, by: list[str], prefix: str) -> DataFrame:
@@ -295,24 +293,25 @@ def _judged(pairs: DataFrame) -> DataFrame:
     return near.withColumn("_linked", max_sq("a", "b") <= sure * sure)
 
 
-def _touching(celled: DataFrame, nodes: DataFrame, by: list[str], bands: dict[int, float], pair_rows: int) -> DataFrame:
+def _touching(celled: DataFrame, nodes: DataFrame, by: list[str], bands: list[int], pair_rows: int) -> DataFrame:
     """One edge per pair of cells with at least one link between them."""
-    wide = _side_of(nodes, by, "a")
-    reach = {b: int(-(-m // 2.0 ** (b - 1))) for b, m in bands.items()}
-    steps = F.coalesce(*[F.when(F.col("a_band") == b, F.lit(r)) for b, r in reach.items()])
+    # Blocks of 4 x 4 cells are wider than any radius of the band, so links reach the
+    # neighbouring blocks at most; a block holds at most 16 cells of its own band.
+    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
     around = (
-        wide.withColumn("_r", steps)
-        .withColumn("_gx", F.explode(F.sequence(F.col("a_cx") - F.col("_r"), F.col("a_cx") + F.col("_r"))))
-        .withColumn("_gy", F.explode(F.sequence(F.col("a_cy") - F.col("_r"), F.col("a_cy") + F.col("_r"))))
+        _side_of(nodes, by, "a")
+        .withColumn("_gx", F.explode(F.transform(step, lambda i: F.shiftright("a_cx", 2) + i)))
+        .withColumn("_gy", F.explode(F.transform(step, lambda i: F.shiftright("a_cy", 2) + i)))
         .withColumn("_gb", F.col("a_band"))
-        .drop("_r")
     )
     fine = _side_of(nodes, by, "b").withColumn(
-        "_gb", F.explode(F.filter(F.array(*[F.lit(b) for b in sorted(bands)]), lambda b: b >= F.col("b_band")))
-    )
-    lifted = fine.withColumns(
-        {c: F.floor(F.col(s) / F.pow(F.lit(2.0), F.col("_gb") - F.col("b_band"))).cast("long") for c, s in (("_gx", "b_cx"), ("_gy", "b_cy"))}
+        "_gb", F.explode(F.filter(F.array(*[F.lit(b) for b in bands]), lambda b: b >= F.col("b_band")))
     )
+
+    def lifted_to_block(cell: str) -> Column:
+        return F.shiftright(F.floor(F.col(cell) / F.pow(F.lit(2.0), F.col("_gb") - F.col("b_band"))).cast("long"), 2)
+
+    lifted = fine.withColumns({"_gx": lifted_to_block("b_cx"), "_gy": lifted_to_block("b_cy")})
     first = F.struct("a_cx", "a_cy") < F.struct(F.col("b_cx").alias("a_cx"), F.col("b_cy").alias("a_cy"))
     met = around.join(lifted, [*by, "_gb", "_gx", "_gy"]).filter((F.col("a_band") > F.col("b_band")) | first)
     current = materialize(_judged(met.drop("_gb", "_gx", "_gy")), "pairs")
@@ -422,7 +421,7 @@ def _large_star(edges: DataFrame, by: list[str]) -> DataFrame:
     both = edges.select(*by, "u", "v").union(edges.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(*by, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     moved = both.filter(F.col("v") > F.col("u")).join(least, [*by, "u"])
-    return moved.select(*by, F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
+    return moved.select(*by, F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
 
 
 def _small_star(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -436,6 +435,7 @@ def _small_star(edges: DataFrame, by: list[str]) -> DataFrame:
 def link_components(points: DataFrame, by: Sequence[str] = (), pair_rows: int = PAIR_ROWS) -> DataFrame:
     """Component label (smallest id) of every point of the link graph, isolated points included."""
     by = list(by)
-    labels = components(link_edges(points, by, pair_rows), by)
-    everyone = points.select(*by, "id").distinct()
-    return everyone.join(labels, [*by, "id"], "left").select(*by, "id", F.coalesce("label", "id").alias("label"))
+    members, touching = _links(points, by, pair_rows)
+    # Only cells enter the contraction; a cell's representative is its smallest id.
+    labels = components(touching, by).withColumnRenamed("id", "rep")
+    return members.join(labels, [*by, "rep"], "left").select(*by, "id", F.coalesce("label", "rep").alias("label"))
