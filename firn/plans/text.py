@@ -82,7 +82,7 @@ _HORNER = " + ".join(f"{c:.5e} * pow(off, {p})" for p, c in angles.OFF_AXIS_POWE
     "plane_delay",
     "WITH g AS (SELECT c_custkey, 0.5 + c_nationkey * 0.1 AS r, c_nationkey * 0.2 - 2.0 AS z, c_nationkey * 14.4 AS ant,"
     " c_custkey % 360 AS phi, c_acctbal / 200 AS theta FROM customer), o AS (SELECT *, (ant - phi) - 360 * floor(((ant - phi) + 180) / 360) AS off FROM g)"
-    " SELECT c_custkey, round(cos(radians(theta)) * (-z * tan(radians(theta)) - r * cos(radians(phi - ant))) * 1e9 / 299792458.0, 6) AS delay,"
+    " SELECT c_custkey, round(cos(radians(theta)) * (-z * tan(radians(theta)) - r * cos(radians(phi - ant))) * 1e9 / 299792458.0, 6) + 0.0 AS delay,"
     f" round({_HORNER}, 9) AS off_axis FROM o",
 )
 def _plane_delay(spark, folder):
