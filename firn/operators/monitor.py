@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from firn.functions.rayleigh import BINS, FRACTION, SCAN_STEPS, fit_windows
 from firn.functions.scores import rayleigh_axis_limit, rayleigh_scale_from_mean, rayleigh_survival
-from firn.operators.ordered import BLOCK_ROWS, blocks, place
+from firn.operators.ordered import blocks, place
+from firn.session import shuffle_width
 
 WINDOW = 1000
 ROWS_AT_ONCE = 2048
@@ -24,13 +25,13 @@ def good_new(df: DataFrame, good: Column) -> DataFrame:
     return df.filter(F.coalesce(good, F.lit(False)))
 
 
-def rolling_fit(df: DataFrame, keys: Sequence[str], order: Sequence[str], amplitude: str, rows: int = WINDOW, size: int = BLOCK_ROWS) -> DataFrame:
+def rolling_fit(df: DataFrame, keys: Sequence[str], order: Sequence[str], amplitude: str, rows: int = WINDOW, size: int | None = None) -> DataFrame:
     """Adds scale, chi_square, ndf, mean_power and log10_prob of the trailing window.
 
     The line is cut into blocks that carry the ``rows`` - 1 rows before them, so no task
     sees more than a block, however many rows one channel has.
     """
-    size = max(size, rows)
+    size = max(size or 8 * rows, rows)
     placed = place(df, [*keys, *order])
     cut = blocks(placed, size, before=rows - 1)
     extra = "scale double, chi_square double, ndf int, mean_power double, log10_prob double, window_rows int"
@@ -44,7 +45,8 @@ def rolling_fit(df: DataFrame, keys: Sequence[str], order: Sequence[str], amplit
         out = pd.concat(parts)
         return out[out["_home"]].drop(columns=["_g", "_block", "_home"])
 
-    return cut.groupBy("_block").applyInPandas(fit, f"{fields}, {extra}")
+    # Much work per byte: a fixed width keeps adaptive execution from packing blocks into few tasks.
+    return cut.repartition(shuffle_width(df.sparkSession), "_block").groupBy("_block").applyInPandas(fit, f"{fields}, {extra}")
 
 
 def _fit_series(series: pd.DataFrame, amplitude: str, rows: int) -> pd.DataFrame:
