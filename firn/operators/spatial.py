@@ -167,8 +167,10 @@ def knn(
     # The rank filter is applied before the shuffle too, so a pile of copies stays local.
     same_place = Window.partitionBy("x", "y").orderBy("id")
     distinct = points.select("id", "x", "y").withColumn("_r", F.row_number().over(same_place)).filter(F.col("_r") <= need)
+    # Queries at one place share one search.
+    asked = queries.groupBy("x", "y").agg(F.min("id").alias("id"))
     both = distinct.select(F.lit("r").alias("side"), "id", "x", "y").unionByName(
-        queries.select(F.lit("q").alias("side"), "id", "x", "y")
+        asked.select(F.lit("q").alias("side"), "id", "x", "y")
     )
     both = materialize(both, "points")
     placed, tree, depth = _tree(_Frame.around(both).cells(both), leaf_rows)
@@ -207,14 +209,18 @@ def knn(
         )
     )
     d2 = _square(F.col("x") - F.col("_rx"), F.col("y") - F.col("_ry"))
-    scored = pairs.select("id", "neighbour", d2.alias("_d2"))
-    if exclude_self:
-        scored = scored.filter(F.col("id") != F.col("neighbour"))
+    scored = pairs.select("id", "x", "y", "neighbour", d2.alias("_d2"))
     if max_distance is not None:
         scored = scored.filter(F.col("_d2") <= max_distance * max_distance)
     w = Window.partitionBy("id").orderBy("_d2", "neighbour")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select("id", "rank", "neighbour", F.sqrt("_d2").alias("distance"))
+    ranked = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= need)
+    # At most ``need`` neighbours per place, given back to every query there.
+    found = F.array_sort(F.collect_list(F.struct("_r", "neighbour", F.sqrt("_d2").alias("distance"))))
+    answers = ranked.groupBy("x", "y").agg(found.alias("_found"))
+    given = queries.select("id", "x", "y").join(answers, ["x", "y"])
+    others = F.filter("_found", lambda n: n["neighbour"] != F.col("id")) if exclude_self else F.col("_found")
+    listed = given.select("id", F.posexplode(F.slice(others, 1, k)).alias("_at", "_n"))
+    return listed.select("id", (F.col("_at") + 1).alias("rank"), "_n.neighbour", "_n.distance")
 
 
 def _prune(frontier: DataFrame, q_key: list[str], need: int, max_distance: float | None) -> DataFrame:
