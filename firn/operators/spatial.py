@@ -216,7 +216,7 @@ def knn(
     ranked = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= need)
     # At most ``need`` neighbours per place, given back to every query there.
     found = F.array_sort(F.collect_list(F.struct("_r", "neighbour", F.sqrt("_d2").alias("distance"))))
-    answers = ranked.groupBy("x", "y").agg(found.alias("_found"))
+    answers = ranked.groupBy("id").agg(F.first("x").alias("x"), F.first("y").alias("y"), found.alias("_found")).drop("id")
     given = queries.select("id", "x", "y").join(answers, ["x", "y"])
     others = F.filter("_found", lambda n: n["neighbour"] != F.col("id")) if exclude_self else F.col("_found")
     listed = given.select("id", F.posexplode(F.slice(others, 1, k)).alias("_at", "_n"))
