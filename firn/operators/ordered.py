@@ -130,8 +130,13 @@ def _with_carry(blocked: DataFrame, keys: Sequence[str], summary: Column, over:
     # Later blocks come by descending order: a frame that ends at the partition's end is rescanned per row.
     order = F.desc("_block") if reverse else F.asc("_block")
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_block.select("_block", *keys, over.over(w).alias("_carry"))
-    return blocked.join(carry, ["_block", *keys], "left")
+    names = {k: f"_of_{k}" for k in keys}
+    carry = per_block.select(
+        F.col("_block").alias("_of_block"), *[F.col(k).alias(n) for k, n in names.items()], over.over(w).alias("_carry")
+    )
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    joined = blocked.join(carry, [F.col("_block") == F.col("_of_block"), *same], "left")
+    return joined.drop("_of_block", *names.values())
 
 
 def running_sum(
