@@ -28,8 +28,8 @@ from firn.session import materialize
 
 BLOOM_BITS = 24
 CLUSTER_ELEMENTS = 2_000_000
-SMALL_K = 16
-_DEEPEST = 4
+SMALL_K = 6
+_LEVELS = 6
 _SEEN_SETS = 1 << 20
 _U = np.uint64
 
@@ -47,16 +47,32 @@ class Bands:
         return int(np.searchsorted(self.upper, size))
 
     @cache
-    def parts(self, band: int) -> tuple[int, int, int]:
-        """(n1, n2, k2) for two sets of this band or one of it and one of the next."""
+    def parts(self, band: int) -> tuple[int, int, int, int]:
+        """(n1, n2, k2, spare) for two sets of this band or one of it and one of the next.
+
+        ``spare`` parts are added, so that more than ``spare`` parts hold at most k2 differences. Few
+        sets leave a projection empty in more parts than that, and such sets are cut once more.
+        """
         largest = self.upper[band]
         together = largest + largest * self.den // self.num
         k = together * (self.den - self.num) // (self.den + self.num)
-        if k == 0:
-            return 1, 1, 0
-        if k <= SMALL_K:
-            return k // 2 + 1, 3, 1
-        return k + 1, 1, 0
+        n2, k2 = (3, 1) if 0 < k <= SMALL_K else (1, 0)
+        n1, spare = k // (k2 + 1) + 1, 0
+        smallest = max(1, largest * self.num // self.den)
+        for _ in range(3 if k2 == 0 else 0):
+            empty = n1 * n2 * (1 - (n2 - k2) / (n1 * n2)) ** smallest
+            spare = 0 if empty < 0.001 else int(np.ceil(empty + 3 * np.sqrt(empty)))
+            n1 = k // (k2 + 1) + 1 + spare
+        return n1, n2, k2, spare
+
+    @cache
+    def labels(self, band: int, level: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Hash seed of a cut, and for each choice of pieces the labels of the first-level parts."""
+        n1, n2, k2, _ = self.parts(band)
+        seed = mix(np.array([band * 1_000_003 + level * 7919 + 1], _U))
+        number = np.arange(n1, dtype=_U)
+        choices = len(list(combinations(range(n2), n2 - k2)))
+        return seed, [mix(seed + number * _U(64) + _U(c)) for c in range(choices)]
 
 
 def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
@@ -66,36 +82,35 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     out = []
     for band in (own, own - 1):
         if band >= 1:
-            out += _in_band(elements, band, bands.parts(band), 0)
+            out += _in_band(elements, band, bands)
     return np.concatenate(out)
 
 
-def _in_band(elements: np.ndarray, tag: int, parts: tuple[int, int, int], level: int) -> list[np.ndarray]:
-    n1, n2, k2 = parts
-    n = n1 * n2
-    seed = mix(np.array([(tag * 1_000_003 + level * 7919 + 1) % (1 << 64)], _U))
-    scattered = mix(elements ^ seed)
-    piece = (scattered >> _U(32)) % _U(n)
-    order = np.argsort(piece, kind="stable")
-    there, first = np.unique(piece[order], return_index=True)
-    sums = np.zeros(n, _U)
-    sums[there] = np.add.reduceat(mix(elements + seed)[order], first)
-    sums, filled = sums.reshape(n1, n2), np.isin(np.arange(n), there).reshape(n1, n2)
-    out, number = [], np.arange(n1, dtype=_U)
-    for choice, chosen in enumerate(combinations(range(n2), n2 - k2)):
-        total = sums[:, chosen].sum(axis=1, dtype=_U)
-        some = filled[:, chosen].any(axis=1)
-        label = seed + number * _U(64) + _U(choice)
-        out.append(mix(total ^ mix(label))[some])
-        # Sets with nothing in these pieces would all meet in one signature. Two of them are cut anew
-        # under a label of their own, where similar ones share a signature again.
-        for empty in np.flatnonzero(~some):
-            if level < _DEEPEST:
-                below = tag + (int(empty) + 1) * 10_007 + (choice + 1) * 1_299_709
-                out += _in_band(elements, below, parts, level + 1)
-            else:
-                out.append(mix(mix(label[empty : empty + 1])))
-    return out
+def _in_band(elements: np.ndarray, band: int, bands: Bands) -> list[np.ndarray]:
+    """Projections that hold no element are left out: sets without it would all meet there. Two similar
+    sets agree in more than ``spare`` parts, so they still share a signature unless both leave more
+    than ``spare`` parts with an empty projection; both are then cut anew by another hash."""
+    n1, n2, k2, spare = bands.parts(band)
+    n, out = n1 * n2, []
+    for level in range(_LEVELS):
+        seed, labels = bands.labels(band, level)
+        scattered = mix(elements ^ seed)
+        piece = ((scattered >> _U(32)) % _U(n)).astype(np.int64)
+        held, sums = np.bincount(piece, minlength=n), np.zeros(n, _U)
+        np.add.at(sums, piece, scattered * (scattered | _U(1)))
+        if n2 == 1:
+            filled = held > 0
+            out.append(mix(sums ^ labels[0])[filled])
+            bare = n - np.count_nonzero(filled)
+        else:
+            sums, held = sums.reshape(n1, n2), held.reshape(n1, n2)
+            some = [held[:, c].any(axis=1) for c in combinations(range(n2), n2 - k2)]
+            for c, label, there in zip(combinations(range(n2), n2 - k2), labels, some, strict=True):
+                out.append(mix(sums[:, c].sum(axis=1, dtype=_U) ^ label)[there])
+            bare = n1 - np.count_nonzero(np.logical_and.reduce(some))
+        if bare <= spare:
+            return out
+    return [*out, mix(np.array([band], _U))]
 
 
 def _set_hash(elements: np.ndarray) -> int:
