@@ -1,4 +1,4 @@
 """Loads every module of this package, so that its queries are registered."""
 
-from firn.llm import exact, jaccard, language, mixing, packing, shards  # noqa: F401
+from firn.llm import exact, jaccard, language, licenses, mixing, packing, secrets, shards, simhash, toxicity  # noqa: F401
 from firn.llm.lines import ORACLES, QUERIES  # noqa: F401
