@@ -21,6 +21,7 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 IDENTIFIER = r"[A-Za-z]+(?:[_-][A-Za-z]+)*"
 LEAST_IDENTIFIER = 8
 ODDS = 10_000.0
+BACKOFF = 20.0
 KINDS = ("assign", "access", "hex", "markov")
 
 
@@ -40,20 +41,22 @@ def markov_ratio(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of each character step, random over ordinary, learned from labelled samples.
 
     ``samples`` has ``token`` (over ALPHABET), ``secret`` and ``n``, how often the token stands. Both models
-    are first-order chains with one step added to every count. What reaches the driver is at most one row
-    for each class and pair of characters.
+    are first-order chains; a step's chance is its share after the first character, together with BACKOFF
+    imagined steps at the share of the second character in all steps (half a step added to each). What
+    reaches the driver is at most one row for each class and pair of characters.
     """
     steps = samples.select("secret", "n", F.explode(_steps(F.col("token"))).alias("step"))
     size = len(ALPHABET)
-    counts = {True: [1.0] * size**2, False: [1.0] * size**2}
+    counts = {True: [0.0] * size**2, False: [0.0] * size**2}
     for r in steps.groupBy("secret", "step").agg(F.sum("n").alias("n")).collect():
         counts[r["secret"]][r["step"]] += r["n"]
-    out = []
-    for a in range(size):
-        row = {c: counts[c][a * size : (a + 1) * size] for c in counts}
-        whole = {c: sum(row[c]) for c in counts}
-        out += [math.log(x / whole[True]) - math.log(y / whole[False]) for x, y in zip(row[True], row[False], strict=True)]
-    return out
+    logs = {}
+    for c, seen in counts.items():
+        second = [sum(seen[b::size]) + 0.5 for b in range(size)]
+        share = [x / sum(second) for x in second]
+        rows = [seen[a * size : (a + 1) * size] for a in range(size)]
+        logs[c] = [math.log((x + BACKOFF * share[b]) / (sum(row) + BACKOFF)) for row in rows for b, x in enumerate(row)]
+    return [x - y for x, y in zip(logs[True], logs[False], strict=True)]
 
 
 def log_ratio(token: Column, ratio: list[float]) -> Column:

@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from firn.llm.lines import query, table
 from firn.llm.words import hashed_words, mix, shingles
@@ -55,7 +56,7 @@ def with_fingerprint(df: DataFrame, text: str, high: str, low: str, shingle: int
             pair = fingerprint_words(batch.column(text), shingle)
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, pair)], names)
 
-    return df.mapInArrow(add, df.schema.add(high, "long").add(low, "long"))
+    return df.mapInArrow(add, StructType([*df.schema.fields, StructField(high, LongType()), StructField(low, LongType())]))
 
 
 def as_hex(high: str | Column, low: str | Column) -> Column:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from firn.llm.lines import query, remainder, table
 from firn.session import materialize
@@ -23,10 +24,12 @@ from firn.session import materialize
 MAX_EXAMPLES = 40_000
 MAX_WORDS = 4096
 LEAST_PHI2 = 0.004
-LEAST_CHI2 = 15.0
+LEAST_CHI2 = 40.0
+LEAST_TEXTS = 6
 NEIGHBOURS = 15
 BLOCK = 64
 BINS = 64
+STEM = 5
 _WORD = re.compile(r"[^\W_]+")
 _HELD_WORDS = 200_000
 _CACHE = 100_000
@@ -43,12 +46,16 @@ def examples(labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
 
 
 def _words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Terms of a text: its words, and for longer words their first letters, which inflected forms share."""
+    words = _WORD.findall((text or "").lower())
+    return words + [w[:STEM] + "*" for w in words if len(w) > STEM]
 
 
 def telling_words(texts: DataFrame, most: int = MAX_WORDS) -> list[str]:
     """Words whose presence depends most on the label: (``text``, ``toxic``) rows, phi squared at least
-    LEAST_PHI2 and chi squared at least LEAST_CHI2, the ``most`` with the largest phi squared."""
+    LEAST_PHI2, chi squared at least LEAST_CHI2, in at least LEAST_TEXTS different texts; the ``most`` with the
+    largest phi squared. Copies count once, so that a repeated text doesn't make its rare words telling."""
+    texts = texts.select("text", "toxic").dropDuplicates(["text", "toxic"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -77,7 +84,7 @@ def telling_words(texts: DataFrame, most: int = MAX_WORDS) -> list[str]:
     a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), bad + good
     gap = a * F.lit(float(good)) - b * F.lit(float(bad))
     phi2 = gap * gap / (F.lit(float(bad) * float(good)) * (a + b) * (F.lit(float(n)) - a - b))
-    told = by_word.filter(F.col("a") + F.col("b") < n).withColumn("phi2", phi2)
+    told = by_word.filter((F.col("a") + F.col("b") < n) & (F.col("a") + F.col("b") >= LEAST_TEXTS)).withColumn("phi2", phi2)
     told = told.filter((F.col("phi2") >= LEAST_PHI2) & (F.col("phi2") * n >= LEAST_CHI2))
     return sorted(r[0] for r in told.orderBy(F.desc("phi2"), "word").limit(most).select("word").collect())
 
@@ -98,7 +105,8 @@ def counted(docs: DataFrame, words: list[str]) -> DataFrame:
             kept = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], [*names, "_at", "_times"])
 
-    return docs.mapInArrow(count, docs.select(*names).schema.add("_at", "array<int>").add("_times", "array<int>"))
+    lists = [StructField(name, ArrayType(IntegerType())) for name in ("_at", "_times")]
+    return docs.mapInArrow(count, StructType([*docs.select(*names).schema.fields, *lists]))
 
 
 class BlockMaxIndex:
