@@ -7,16 +7,43 @@ these helpers: NaN or NULL on either side gives FALSE, and negation stays total.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def col(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def _two_valued(*conjuncts: Column) -> Column:
+    """TRUE where all hold, else FALSE. The conjuncts are kept beside it for filters."""
+    whole = F.coalesce(reduce(lambda a, b: a & b, conjuncts), F.lit(False))
+    whole.conjuncts = list(conjuncts)
+    return whole
+
+
+def conjuncts(condition: Column) -> list[Column]:
+    """The condition as plain conjuncts. A filter drops NULL as it drops FALSE, so it needs no two-valued
+    form, and plain comparisons reach the Parquet reader."""
+    return vars(condition).get("conjuncts") or [condition]
+
+
+def both(*conditions: Column) -> Column:
+    """Conjunction that keeps the conjuncts of its parts."""
+    whole = reduce(lambda a, b: a & b, conditions)
+    whole.conjuncts = [part for c in conditions for part in conjuncts(c)]
+    return whole
+
+
+def where(df: DataFrame, *conditions: Column) -> DataFrame:
+    """Rows on which every condition is TRUE."""
+    return reduce(lambda d, part: d.filter(part), [part for c in conditions for part in conjuncts(c)], df)
+
+
 def gt(a, b) -> Column:
     a, b = col(a), col(b)
-    return F.coalesce((a > b) & ~F.isnan(a), F.lit(False))
+    return _two_valued(a > b, ~F.isnan(a))
 
 
 def lt(a, b) -> Column:
@@ -25,7 +52,7 @@ def lt(a, b) -> Column:
 
 def ge(a, b) -> Column:
     a, b = col(a), col(b)
-    return F.coalesce((a >= b) & ~F.isnan(a), F.lit(False))
+    return _two_valued(a >= b, ~F.isnan(a))
 
 
 def le(a, b) -> Column:
@@ -34,18 +61,18 @@ def le(a, b) -> Column:
 
 def eq(a, b) -> Column:
     a, b = col(a), col(b)
-    return F.coalesce((a == b) & ~F.isnan(a), F.lit(False))
+    return _two_valued(a == b, ~F.isnan(a))
 
 
 def finite(a) -> Column:
     a = col(a)
     infinity = F.lit(float("inf"))
-    return F.coalesce(~F.isnan(a) & (F.abs(a) < infinity), F.lit(False))
+    return _two_valued(a < infinity, a > -infinity)
 
 
 def half_open(a, low, high) -> Column:
     """low <= a < high."""
-    return ge(a, low) & lt(a, high)
+    return both(ge(a, low), lt(a, high))
 
 
 def sentinel_to_null(a: Column, *sentinels: float) -> Column:

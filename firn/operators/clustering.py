@@ -209,13 +209,16 @@ def residuals(events: DataFrame, clusters: DataFrame, by: Sequence[str]) -> Data
 
 
 def fit_near_pairs(events: DataFrame, k: int, horizon: float) -> DataFrame:
-    """Joint source fit of each event with its k nearest neighbours within the horizon.
+    """Joint source fit of each event with its k nearest neighbours within the horizon, each pair once.
 
+    Nearness is not mutual: a pair counts if either end has the other among its k nearest.
     ``events`` comes from :func:`event_geometry` with a unique ``id``. The cheap distance
     join runs first; the fit sees only the surviving pairs.
     """
     points = events.filter("clusterable").select("id", F.col("easting").alias("x"), F.col("northing").alias("y"))
-    pairs = knn(points, points, k, exclude_self=True, max_distance=horizon).filter(F.col("id") < F.col("neighbour"))
+    pairs = knn(points, points, k, exclude_self=True, max_distance=horizon).filter(F.col("neighbour").isNotNull())
+    pairs = pairs.select(F.least("id", "neighbour").alias("id"), F.greatest("id", "neighbour").alias("neighbour"), "distance")
+    pairs = pairs.dropDuplicates(["id", "neighbour"])
     source = {
         "lon": "payload_longitude", "lat": "payload_latitude", "alt": "payload_altitude", "heading": "payload_heading",
         "theta": "theta", "phi": "phi", "sigma_theta": "sigma_theta", "sigma_phi": "sigma_phi",

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from firn.functions.angles import delta_angle
-from firn.functions.compare import eq, finite, ge, gt, half_open, lt
+from firn.functions.compare import both, eq, finite, ge, gt, half_open, lt
 from firn.functions.scores import (
     SCORE_INTERCEPT,
     SCORE_TERMS,
@@ -41,7 +41,7 @@ class Cut:
     def __and__(self, other: "Cut") -> "Cut":
         return Cut(
             f"{self.name} && {other.name}",
-            lambda e: self.rule(e) & other.rule(e),
+            lambda e: both(self.rule(e), other.rule(e)),
             self.per_element or other.per_element,
         )
 
@@ -71,19 +71,12 @@ class Catalogue(dict):
         cuts = [self[p] for p in parts]
         self[name] = Cut(
             name,
-            lambda e: _and([c.rule(e) for c in cuts]),
+            lambda e: both(*[c.rule(e) for c in cuts]),
             any(c.per_element for c in cuts),
         )
         return self[name]
 
 
-def _and(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out & c
-    return out
-
-
 # Cut constants.
 QUIET_TIME = (1419320000, 1420250000)
 BLAST_SLOPE_0A = 30.0 / 7
@@ -100,6 +93,7 @@ CLOSE_THETA = 3.5
 CLOSE_HICAL = 5.0
 WAIS_RUNS = (331, 354)
 LDB_LAST_RUN = 200
+LDB_FLIGHT = 3
 ROTATED_HILBERT = 100.0
 ROTATED_PEAK = 0.15
 
@@ -112,8 +106,11 @@ def _gradient(e: Column, waveform: str) -> Column:
     return window_gradient(e[waveform]["fracPowerWindowBegins"], e[waveform]["fracPowerWindowEnds"])
 
 
-def nested_cuts(elements: Column, on_continent: Callable[[Column, Column], Column] | None = None) -> Catalogue:
-    """Cuts for nested summaries; ``elements`` is the linear element array of a row."""
+def nested_cuts(elements: Column, on_continent: Callable[[Column, Column], Column] | None = None, flight: int = LDB_FLIGHT) -> Catalogue:
+    """Cuts for nested summaries; ``elements`` is the linear element array of a row.
+
+    Only flight 3 bounds the runs of its LDB pulser.
+    """
     c = Catalogue()
     flag = "flags.{}".format
     c.row("isRfTrigger", lambda: gt(_c(flag("isRF")), 0))
@@ -126,7 +123,8 @@ def nested_cuts(elements: Column, on_continent: Callable[[Column, Column], Colum
         | (eq(_c("mc.weight"), 0) & eq(_c(flag("isGood")), 1)),
     )
     c.row("isTaggedAsPayloadBlast", lambda: gt(_c(flag("isPayloadBlast")), 0))
-    c.row("isTaggedAsLDBPulser", lambda: lt(_c("run"), LDB_LAST_RUN) & eq(_c(flag("pulser")), 2))
+    ldb_run = (lambda: lt(_c("run"), LDB_LAST_RUN)) if flight == LDB_FLIGHT else (lambda: F.lit(True))
+    c.row("isTaggedAsLDBPulser", lambda: ldb_run() & eq(_c(flag("pulser")), 2))
     c.row("isTaggedAsWaisPulser", lambda: eq(_c(flag("pulser")), 1))
     c.row("isTaggedAsPulser", lambda: c["isTaggedAsLDBPulser"].column | c["isTaggedAsWaisPulser"].column)
     _blast_parts(

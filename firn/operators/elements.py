@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from firn.functions.compare import where
+
 Element = Callable[[Column], Column]
 WAVEFORMS = ("coherent", "coherent_filtered", "deconvolved", "deconvolved_filtered")
 
@@ -73,7 +75,7 @@ def kth_best(elements: Column, key: Element, k: int) -> Column:
 
 def skim(df: DataFrame, elements: Column, scalar_cuts: Sequence[Column], element_cuts: Sequence[Element]) -> DataFrame:
     """Rows passing, unchanged. Scalar cuts come first so Parquet filters can use them."""
-    kept = reduce(lambda d, c: d.filter(c), scalar_cuts, df)
+    kept = where(df, *scalar_cuts)
     return kept.filter(any_pass(elements, element_cuts)) if element_cuts else kept
 
 
@@ -85,7 +87,7 @@ def flatten_first(
     columns: dict[str, Column | Element],
 ) -> DataFrame:
     """One flat row per passing input row, evaluated at its first surviving element."""
-    kept = reduce(lambda d, c: d.filter(c), scalar_cuts, df)
+    kept = where(df, *scalar_cuts)
     chosen = kept.withColumn("_e", first_survivor(elements, element_cuts)).filter(F.col("_e").isNotNull())
     return chosen.select(
         *[(c if isinstance(c, Column) else c(F.col("_e"))).alias(name) for name, c in columns.items()]

@@ -50,9 +50,12 @@ class Axis:
 
 
 def data_axis(df: DataFrame, x: Column, bins: int, pad: float = 0.0) -> Axis:
-    """An axis from the smallest to the largest finite value (one small aggregate)."""
-    finite = F.when(~F.isnan(x.cast("double")), x.cast("double"))
+    """An axis from the smallest to the largest finite value (one small aggregate); from 0 to 1 without any."""
+    value = x.cast("double")
+    finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
     row = df.agg(F.min(finite).alias("lo"), F.max(finite).alias("hi")).first()
+    if row["lo"] is None:
+        return Axis(bins, 0.0, 1.0 + pad)
     low, high = float(row["lo"]), float(row["hi"])
     return Axis(bins, low, high + pad if high + pad > low else low + 1.0)
 

@@ -154,12 +154,17 @@ def map_rows(cells: DataFrame, event: Sequence[str], phi_bins: int, theta_bins:
 
     The array length is the bin count, so the collected group is bounded.
     """
-    bin_number = F.col("phi_bin") * theta_bins + F.col("theta_bin")
-    filled = F.map_from_entries(F.collect_list(F.struct(bin_number.cast("int").alias("k"), F.col("value").alias("v"))))
-    numbers = F.sequence(F.lit(0), F.lit(phi_bins * theta_bins - 1))
-    return cells.groupBy(*event).agg(filled.alias("_m")).select(
-        *event, F.transform(numbers, lambda k: F.try_element_at(F.col("_m"), k)).alias("map")
-    )
+    bin_number = (F.col("phi_bin") * theta_bins + F.col("theta_bin")).cast("int")
+    held = cells.groupBy(*event).agg(F.sort_array(F.collect_list(F.struct(bin_number.alias("k"), F.col("value").alias("v")))).alias("_m"))
+    none = F.lit(None).cast("double")
+
+    def before(i: Column) -> Column:
+        return F.when(i > 0, F.get("_m", i - 1)["k"]).otherwise(-1)
+
+    # Each bin brings the open bins before it, so the whole map is laid out in one pass.
+    laid = F.flatten(F.transform("_m", lambda e, i: F.concat(F.array_repeat(none, e["k"] - before(i) - 1), F.array(e["v"]))))
+    rest = F.array_repeat(none, F.lit(phi_bins * theta_bins - 1) - F.element_at("_m", -1)["k"])
+    return held.select(*event, F.concat(laid, rest).alias("map"))
 
 
 def _grid(values: np.ndarray, phi_bins: int, theta_bins: int) -> np.ndarray:

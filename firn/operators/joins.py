@@ -18,12 +18,12 @@ def friend_join(
 ) -> DataFrame:
     """Add a side table by event id. Never positional: partitioned files have no shared row order.
 
-    ``verify`` raises if any event has no friend row.
+    Events without a friend row keep NULLs; ``verify`` raises if there is any.
     """
     renamed = friend.withColumnsRenamed(dict(zip(friend_key, key)))
     if verify and not events.join(renamed, list(key), "left_anti").isEmpty():
         raise ValueError("side table lacks rows for some events")
-    return events.join(renamed, list(key))
+    return events.join(renamed, list(key), "left")
 
 
 def overlay(df: DataFrame, replacement: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -109,18 +109,35 @@ def rolling_sums(
 ) -> DataFrame:
     """Sums over the current row and the ``rows`` - 1 before it: two prefix sums per row.
 
-    A sliding frame would add up ``rows`` values at every row.
+    A sliding frame would add up ``rows`` values at every row. NaN and infinities are counted beside the
+    sums, so that they show in the windows that hold them and in no later one.
     """
     size = max(size, rows)
     w = Window.partitionBy("_block", *keys).orderBy("_g")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     spread = blocks(placed, size, before=rows)
-    summed = spread.withColumns({f"_s_{name}": F.sum(value).over(so_far) for name, value in wanted.items()})
-    added = [
-        (F.coalesce(F.col(f"_s_{name}"), F.lit(0)) - F.coalesce(F.lag(f"_s_{name}", rows).over(w), F.lit(0))).alias(name)
-        for name in wanted
-    ]
-    return summed.select("*", *added).filter("_home").drop("_home", "_block", *[f"_s_{name}" for name in wanted])
+    infinity = F.lit(float("inf"))
+    sums: dict[str, Column] = {}
+    fractional = {n for n, v in wanted.items() if spread.select(v.alias("v")).schema["v"].dataType.typeName() in ("double", "float")}
+    for name, value in wanted.items():
+        if name in fractional:
+            odd = {"nan": F.isnan(value), "up": value == infinity, "down": value == -infinity}
+            sums |= {f"_{label}_{name}": F.sum(F.when(rule, 1).otherwise(0)) for label, rule in odd.items()}
+            value = F.when(odd["nan"] | odd["up"] | odd["down"], 0.0).otherwise(value)
+        sums[f"_s_{name}"] = F.sum(value)
+    summed = spread.withColumns({name: total.over(so_far) for name, total in sums.items()})
+
+    def inside(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0)) - F.coalesce(F.lag(name, rows).over(w), F.lit(0))
+
+    added = []
+    for name in wanted:
+        total = inside(f"_s_{name}")
+        if name in fractional:
+            nan, up, down = (inside(f"_{label}_{name}") > 0 for label in ("nan", "up", "down"))
+            total = F.when(nan | (up & down), float("nan")).when(up, infinity).when(down, -infinity).otherwise(total)
+        added.append(total.alias(name))
+    return summed.select("*", *added).filter("_home").drop("_home", "_block", *sums)
 
 
 def _with_carry(blocked: DataFrame, keys: Sequence[str], summary: Column, over: Column, reverse: bool) -> DataFrame:

@@ -105,9 +105,9 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
     return number(place(df, [*keys, *order]), keys, out, size).drop("_g")
 
 
-def first_last(df: DataFrame, keys: Sequence[str], position: Column, columns: Sequence[str]) -> DataFrame:
-    """First and last value by position: one aggregate, no sort."""
-    aggs = [
+def first_last(df: DataFrame, keys: Sequence[str], position: Column, columns: Sequence[str], *more: Column) -> DataFrame:
+    """First and last value by position, and any further aggregates: one pass, no sort."""
+    aggs = [*more] + [
         f(F.col(c), position).alias(f"{label}_{c}")
         for c in columns
         for label, f in (("first", F.min_by), ("last", F.max_by))
@@ -129,10 +129,12 @@ def moments(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
 
 
 def normalise(df: DataFrame, keys: Sequence[str], y: str, out: str = "normalised") -> DataFrame:
-    """Mean 0 and RMS 1 per series: an aggregate joined back, so heavy keys can be split."""
+    """Mean 0 and RMS 1 per series (NULL is a key like any other): an aggregate joined back, so heavy keys can be split."""
     stats = df.groupBy(*keys).agg(F.avg(y).alias("_m"), F.stddev_pop(y).alias("_s"))
     spread = F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(1.0))
-    return df.join(stats, list(keys)).withColumn(out, (F.col(y) - F.col("_m")) / spread).drop("_m", "_s")
+    named = stats.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [df[k].eqNullSafe(named[f"_of_{k}"]) for k in keys]
+    return df.join(named, same).drop(*[f"_of_{k}" for k in keys]).withColumn(out, (F.col(y) - F.col("_m")) / spread).drop("_m", "_s")
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, unique: Sequence[str]) -> DataFrame:

@@ -184,13 +184,13 @@ def _fwhm(spark, folder):
 
 _FISH = h.Axis(128, 0.0, 0.6)
 _SIG = _dense_sql(128, "peak_value", _FISH, "flat WHERE mc_weight > 0", "weight")
-_BACK = _dense_sql(128, "peak_value", _FISH, "flat WHERE NOT mc_weight > 0 AND peak_value < 0.41")
+_BACK = _dense_sql(128, "peak_value", _FISH, "flat WHERE NOT mc_weight > 0")
 
 
 def _classes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     df = flat_events(spark, folder)
     signal = h.hist1d(df.filter(F.col("mc_weight") > 0), F.col("peak_value"), _FISH, F.col("weight"))
-    background = h.hist1d(df.filter(~(F.col("mc_weight") > 0) & (F.col("peak_value") < 0.41)), F.col("peak_value"), _FISH)
+    background = h.hist1d(df.filter(~(F.col("mc_weight") > 0)), F.col("peak_value"), _FISH)
     return h.dense(spark, signal, 128), h.dense(spark, background, 128)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from firn.functions import scores
+from firn.functions.compare import where
 from firn.operators.cutflow import cut_flow, efficiency, with_percent
 from firn.operators.cuts import Catalogue, excluded_runs, flat_cuts
 from firn.operators.learn import fisher, moments
@@ -203,7 +204,7 @@ def _named_cuts(spark, folder):
 def _cut_scalar_and(spark, folder):
     c = catalogue()
     chosen = c["analysisSample"] & c["smallDeltaRough"] & ~c["closeToHiCal"]
-    kept = flat_events(spark, folder).filter(chosen.column).filter(excluded_runs(F.col("run")))
+    kept = where(flat_events(spark, folder), chosen.column, excluded_runs(F.col("run")))
     return kept.groupBy("run").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 

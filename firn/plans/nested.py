@@ -270,14 +270,17 @@ def _data_reduction(spark, folder):
     """The full skim list, counted after each cut: fused into one scan."""
     df, elements = _events(spark, folder)
     cuts = _cuts(F.col("_el"))
-    rows = []
-    for k in range(len(_REDUCTION)):
-        part = [cuts[n] for n in _REDUCTION[: k + 1]]
-        passing = any_pass(F.col("_el"), [c for c in part if c.per_element])
-        for c in part:
-            passing = passing if c.per_element else passing & c.column
-        rows.append(F.struct(F.lit(k).alias("cuts"), F.lit(_REDUCTION[k]).alias("last_cut"), F.count_if(passing).alias("events")))
-    return df.withColumn("_el", elements).agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    listed = list(enumerate(cuts[n] for n in _REDUCTION))
+
+    def first_failure(e: Column) -> Column:
+        """Number of the first element cut that fails, so every cut is evaluated at most once per element."""
+        return F.coalesce(*[F.when(~F.coalesce(c(e), F.lit(False)), F.lit(k)) for k, c in listed if c.per_element], F.lit(len(listed)))
+
+    rowwise = [F.when(~F.coalesce(c.column, F.lit(False)), F.lit(k)) for k, c in listed if not c.per_element]
+    deepest = F.coalesce(F.array_max(F.transform("_el", first_failure)), F.lit(-1))
+    reached = df.withColumn("_el", elements).select(F.least(deepest, F.coalesce(*rowwise, F.lit(len(listed)))).alias("_k"))
+    rows = [F.struct(F.lit(k).alias("cuts"), F.lit(_REDUCTION[k]).alias("last_cut"), F.count_if(F.col("_k") > k).alias("events")) for k, _ in listed]
+    return reached.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 @query(

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from firn.functions import scores
+from firn.functions.compare import where
 from firn.operators import clustering as cl
 from firn.operators import joins, learn
 from firn.operators.cuts import Catalogue, nested_cuts
@@ -71,7 +72,7 @@ def refresh_flags(summaries: DataFrame, fresh: DataFrame, ids: DataFrame | None
 def optimise_cuts(signal: DataFrame, background: DataFrame, names: Sequence[str], cuts: Sequence[Column]) -> learn.Discriminant:
     """Train the discriminant on two selections; only the named columns and the weight are read."""
     for c in cuts:
-        signal, background = signal.filter(c), background.filter(c)
+        signal, background = where(signal, c), where(background, c)
     return learn.train(signal, background, {n: scores.term(n) for n in names}, F.col("weight"))
 
 
@@ -89,7 +90,7 @@ def cluster_events(
 
     ``points`` has id, x, y, sigma (km). Cuts are honoured.
     """
-    used = points if cut is None else points.filter(cut)
+    used = points if cut is None else where(points, cut)
     labels = cl.threshold_clusters(used, F.col("sigma"), thresholds, surface)
     if sites is None:
         events = labels.select("z", "id", F.col("label").alias("cluster"), F.lit(False).alias("known"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from firn.functions import geodesy, scores
 from firn.operators import clustering as cl
+from firn.operators.ordered import place
 from firn.operators.spatial import knn, link_components
 from firn.plans.registry import query, table
 from firn.session import materialize
@@ -262,7 +263,7 @@ def _small_cluster_trials(spark, folder):
 
 
 _DIRECTIONS = {
-    "id": "l_orderkey * 8 + l_linenumber",
+    "order_line": "l_orderkey * 8 + l_linenumber",
     "payload_longitude": "CAST((l_partkey * 13) % 3600 AS DOUBLE) * 0.1 - 180.0",
     "payload_latitude": "-70.0 - CAST(l_suppkey % 150 AS DOUBLE) * 0.1",
     "payload_altitude": "37000.0 + l_quantity * 40.0",
@@ -274,10 +275,9 @@ _DIRECTIONS = {
 
 
 def directions(spark: SparkSession, folder: str) -> DataFrame:
-    """Viewing directions of the order lines, one per (order, line) pair."""
+    """Viewing directions of all order lines, numbered in order because (order, line) pairs repeat."""
     rows = table(spark, folder, "lineitem").select(*[F.expr(e).alias(n) for n, e in _DIRECTIONS.items()])
-    others = [c for c in rows.columns if c != "id"]
-    return rows.groupBy("id").agg(F.min(F.struct(*others)).alias("_r")).select("id", "_r.*")
+    return place(rows, rows.columns).withColumnRenamed("_g", "id").drop("order_line")
 
 
 @query("event_geometry")

@@ -95,11 +95,12 @@ def _gap_fill(spark, folder):
 
 @query(
     "gap_detect",
-    "SELECT event_id, event_id - p AS step FROM (SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS p FROM events WHERE event_type <> 'click') WHERE event_id - p <> 1",
+    "SELECT event_id, event_type, event_id - p AS step FROM (SELECT event_id, event_type, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events) WHERE event_id - p <> 1",
 )
 def _gap_detect(spark, folder):
-    df = table(spark, folder, "events").filter(F.col("event_type") != "click").select("event_id")
-    return series.breaks(df, [], ["event_id"], "event_id").select("event_id", "step")
+    """Ids of one event type that do not follow each other."""
+    df = table(spark, folder, "events").select("event_id", "event_type")
+    return series.breaks(df, ["event_type"], ["event_id"], "event_id").select("event_id", "event_type", "step")
 
 
 @query("stride", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS g FROM events) WHERE g % 7 = 0")

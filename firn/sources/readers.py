@@ -28,16 +28,14 @@ def run_range(df: DataFrame, first: int, last: int) -> DataFrame:
 
 def extent(df: DataFrame) -> DataFrame:
     """Row count and the first and last event and time, in event order, in one aggregate."""
-    counted = df.agg(F.count("*").alias("rows"))
-    ends = first_last(df, [], F.col("eventNumber"), ["eventNumber", "realTime"])
-    return counted.join(F.broadcast(ends))
+    return first_last(df, [], F.col("eventNumber"), ["eventNumber", "realTime"], F.count("*").alias("rows"))
 
 
 def thermal(spark: SparkSession, path: str, table: str = "thermal", friends: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """Flat table joined with its side tables.
 
     Side table paths come from replacing ``table`` in ``path``; ``friends`` maps each name
-    to its (run, event) column names.
+    to its (run, event) column names. Events without a side row keep NULLs.
     """
     friends = friends or {"hiCal": ("run2", "eventNumber2"), "surface": ("run3", "eventNumber3")}
     df = schema.restore_types(spark.read.parquet(path))

@@ -77,3 +77,37 @@ def test_cut_flow_sequence_never_rises(spark):
     assert seq == sorted(seq, reverse=True)
     assert all(r["in_sequence"] <= r["if_only"] for r in table)
     assert table[-1]["in_sequence"] <= min(r["if_not"] for r in table)
+
+
+def test_cuts_reach_the_parquet_reader(spark, tmp_path):
+    from firn.functions.compare import gt, half_open, where
+    from firn.operators.elements import skim
+
+    rows = [(1, 5.0, 1419320000), (0, float("nan"), 1), (2, None, 1419320001)]
+    spark.createDataFrame(rows, "isRF int, x double, realTime long").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+
+    def pushed(found):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        return plan[plan.index("PushedFilters") :]
+
+    quiet = half_open(F.col("realTime"), 1419320000, 1420250000)
+    assert "GreaterThan(isRF,0)" in pushed(where(df, gt(F.col("isRF"), 0)))
+    assert "GreaterThanOrEqual(realTime,1419320000)" in pushed(where(df, quiet)) and "LessThan(realTime,1420250000)" in pushed(where(df, quiet))
+    assert "GreaterThan(isRF,0)" in pushed(skim(df, F.array(), [gt(F.col("isRF"), 0), quiet], []))
+    assert where(df, gt(F.col("x"), 0)).count() == 1 and df.filter(~gt(F.col("x"), 0)).count() == 2
+
+
+def test_map_rows_leaves_unseen_bins_null(spark):
+    from firn.operators.imaging import map_rows
+
+    cells = spark.createDataFrame([(1, 0, 1, 5.0), (1, 2, 0, 7.0), (2, 0, 0, 1.0), (2, 2, 1, 2.0)], "event int, phi_bin int, theta_bin int, value double")
+    got = {r["event"]: r["map"] for r in map_rows(cells, ["event"], 3, 2).collect()}
+    assert got == {1: [None, 5.0, None, None, 7.0, None], 2: [1.0, None, None, None, None, 2.0]}
+
+
+def test_normalise_keeps_rows_of_a_null_key(spark):
+    from firn.operators.series import normalise
+
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, y double")
+    assert sorted(r["normalised"] for r in normalise(df, ["k"], "y").collect()) == [-1.0, 0.0, 1.0]

@@ -81,3 +81,17 @@ def test_rolling_fit_does_not_depend_on_block_size(data):
 def test_division_remainder_goes_last(spark):
     got = series.divide(spark.range(23), ["id"], 5).groupBy("division").count().toPandas().set_index("division")["count"]
     assert got.sort_index().tolist() == [4, 4, 4, 4, 7]
+
+
+@pytest.mark.parametrize("size", [8, 64])
+def test_null_keys_and_nan_do_not_depend_on_the_block_size(spark, size):
+    rows = [(None, i, 1.0) for i in range(20)] + [("a", i, float("nan") if i == 3 else float("inf") if i == 9 else 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, i int, y double")
+    placed = ordered.place(df, ["k", "i"])
+    numbered = ordered.number(placed, ["k"], size=size).filter("k is null").agg({"rn": "max"}).head()[0]
+    assert numbered == 20
+    sums = ordered.rolling_sums(placed, ["k"], 4, {"s": F.col("y")}, size=size).filter("k = 'a'").collect()
+    got = {r["i"]: r["s"] for r in sums}
+    assert [i for i in sorted(got) if got[i] != got[i]] == [3, 4, 5, 6]
+    assert [i for i in sorted(got) if got[i] == float("inf")] == [9, 10, 11, 12]
+    assert all(got[i] == 4.0 for i in (7, 8, 13, 19))
