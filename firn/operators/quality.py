@@ -6,6 +6,8 @@ map-side combining, or row-local functions when a channel array is nested in the
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Voltage limits in mV and the channel counts that trip a rule.
@@ -56,19 +58,23 @@ def saturation(channels: DataFrame, event: str, high: Column, low: Column, limit
     return grouped.withColumn("passes", ok)
 
 
-def bottom_to_top(channels: DataFrame, event: str, limit: float = RATIO_LIMIT) -> DataFrame:
+def bottom_to_top(channels: DataFrame, event: str, limit: float = RATIO_LIMIT, skip: Sequence[tuple[int, int]] = ()) -> DataFrame:
     """Largest middle/bottom peak-to-peak per polarisation over the top channel of the same sector.
 
-    Channels have ``pol``, ``ring`` (0 top), ``sector`` and ``p2p``. One row per event: the
-    ratio, sector and maximum per polarisation, and whether any ratio is over the limit.
+    Channels have ``pol``, ``ring`` (0 top, 1 middle, 2 bottom), ``sector`` and ``p2p``; (pol, sector) pairs in
+    ``skip`` are left out. One row per event and polarisation: the ratio, sector and maximum, in how many
+    sectors the bottom channel beats the top one, and whether the ratio is over the limit.
     """
+    for pol, sector in skip:
+        channels = channels.filter(~((F.col("pol") == pol) & (F.col("sector") == sector)))
     per_sector = channels.groupBy(event, "pol", "sector").agg(
         F.max(F.when(F.col("ring") == 0, F.col("p2p"))).alias("top"),
         F.max(F.when(F.col("ring") > 0, F.col("p2p"))).alias("low"),
+        F.max(F.when(F.col("ring") == 2, F.col("p2p"))).alias("bottom"),
     )
     best = F.max(F.struct(F.col("low"), (-F.col("sector")).alias("m"), F.col("top")))
     per_pol = per_sector.filter(F.col("low").isNotNull()).groupBy(event, "pol").agg(
-        best.alias("_b"), F.sum((F.col("low") > F.col("top")).cast("long")).alias("sectors_exceeding")
+        best.alias("_b"), F.sum((F.col("bottom") > F.col("top")).cast("long")).alias("sectors_exceeding")
     )
     ratio = F.when(F.col("_b.top") > 0, F.col("_b.low") / F.col("_b.top")).otherwise(-1.0)
     return per_pol.select(

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from firn.session import materialize, shuffle_width
+from firn.session import discard, materialize, shuffle_width
 
 DEPTH = 24
 LEAF_ROWS = 32
@@ -406,7 +406,8 @@ def components(edges: DataFrame, by: Sequence[str] = (), max_rounds: int = 60) -
     ends = pairs.select(*by, F.col("u").alias("id")).union(pairs.select(*by, F.col("v").alias("id"))).distinct()
     stars = materialize(pairs.filter(F.col("u") != F.col("v")).distinct(), "stars")
     for _ in range(max_rounds):
-        stars = materialize(_small_star(_large_star(stars, by), by), "stars")
+        before, stars = stars, materialize(_small_star(_large_star(stars, by), by), "stars")
+        discard(before)
         if _settled(stars, by):
             break
     else:

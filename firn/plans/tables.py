@@ -22,11 +22,11 @@ _O = "(SELECT 130 + o_custkey % 310 AS run, o_orderkey AS \"eventNumber\", o_tot
 
 @query(
     "friend_join",
-    f'SELECT o.run, o."eventNumber", o.o_totalprice, f.lines, f.top FROM {_O} o JOIN'
+    f'SELECT o.run, o."eventNumber", o.o_totalprice, f.lines, f.top FROM {_O} o LEFT JOIN'
     ' (SELECT l_orderkey, CAST(count(*) AS BIGINT) AS lines, max(l_extendedprice) AS top FROM lineitem GROUP BY 1) f ON f.l_orderkey = o."eventNumber"',
 )
 def _friend_join(spark, folder):
-    """Per-order side table joined by id."""
+    """Per-order side table joined by id; orders without lines stay."""
     friend = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("eventNumber2")).agg(
         F.count("*").alias("lines"), F.max("l_extendedprice").alias("top")
     )
@@ -139,8 +139,8 @@ def _channels(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "ratio_to_ref",
-    f"WITH s AS (SELECT l_orderkey, pol, sector, max(CASE WHEN ring = 0 THEN p2p END) AS top, max(CASE WHEN ring > 0 THEN p2p END) AS low FROM {_CH} GROUP BY 1, 2, 3),"
-    " b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, pol ORDER BY low DESC, sector) AS rn, CAST(count(*) FILTER (WHERE low > top) OVER (PARTITION BY l_orderkey, pol) AS BIGINT) AS sectors_exceeding FROM s WHERE low IS NOT NULL)"
+    f"WITH s AS (SELECT l_orderkey, pol, sector, max(CASE WHEN ring = 0 THEN p2p END) AS top, max(CASE WHEN ring > 0 THEN p2p END) AS low, max(CASE WHEN ring = 2 THEN p2p END) AS bottom FROM {_CH} GROUP BY 1, 2, 3),"
+    " b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, pol ORDER BY low DESC, sector) AS rn, CAST(count(*) FILTER (WHERE bottom > top) OVER (PARTITION BY l_orderkey, pol) AS BIGINT) AS sectors_exceeding FROM s WHERE low IS NOT NULL)"
     " SELECT l_orderkey, pol, round(CASE WHEN top > 0 THEN low / top ELSE -1 END, 9) AS ratio, sector, low AS max_p2p, sectors_exceeding, CASE WHEN top > 0 THEN low / top ELSE -1 END > 2.8 AS blast FROM b WHERE rn = 1",
 )
 def _ratio_to_ref(spark, folder):

@@ -57,15 +57,26 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.scratch_path = path
+    return kept
 
 
-def release(spark: SparkSession) -> None:
-    """Delete this application's own lineage-cut tables."""
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``materialize`` once nothing reads it any more."""
+    _delete(df.sparkSession, df.scratch_path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/{context.applicationId}")
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete this application's own lineage-cut tables."""
+    _delete(spark, f"{scratch_root(spark)}/{spark.sparkContext.applicationId}")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
