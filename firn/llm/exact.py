@@ -167,11 +167,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     best = entries.select(F.col("_keep._row").alias("_row"), F.col("_keep.doc_id").alias("_id"))
     kept = best.join(placed.select("_row", "_raw", "_key", "_chain"), "_row").select("_id", F.col("_raw").alias("_text"))
     kept = kept.distinct()
-    marked = docs.withColumn("_raw", F.xxhash64("text"))
-    same = marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_raw"] == kept["_text"])
+    # The whole row travels as one column, so its own column names cannot clash with these.
+    marked = docs.select("doc_id", F.xxhash64("text").alias("_raw"), F.struct(*docs.columns).alias("_whole"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_raw") == F.col("_text"))
     repeat = Window.partitionBy("doc_id", "_raw").orderBy(F.lit(0))
     stays = marked.join(kept, same, "left_semi").withColumn("_nth", F.row_number().over(repeat)).filter("_nth = 1")
-    return stays.select(*[stays[c] for c in docs.columns])
+    return stays.select("_whole.*")
 
 
 @query(

@@ -310,6 +310,24 @@ def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10)
     return docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
 
 
-@query("op10_ngram_jaccard")
+@query(
+    "op10_ngram_jaccard",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+        FROM documents
+    ), d AS MATERIALIZED (
+        SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+        FROM w
+    ), s AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM d),
+    links AS MATERIALIZED (
+        SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+    ), r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT y, root FROM r JOIN links ON x = r.doc_id)
+    SELECT d.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(root) AS component_id
+    FROM d JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, len(g)
+    """,
+)
 def op10_ngram_jaccard(spark, folder):
     return similar_components(table(spark, folder, "documents"), shingle=3, num=90, den=100)

@@ -136,8 +136,10 @@ def mixed(docs: DataFrame, size: Column, seed: int = 17) -> DataFrame:
     found = mix_sources(docs, size, seed=seed).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
     times = F.when(F.col("s") == 0, 1).otherwise(F.floor(F.col("t") / F.col("s") + 0.5)).cast("int")
     counts = found.select(F.col("doc_id").alias("_id"), times.alias("_times")).filter("_times > 0")
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["_id"]))
-    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    # The whole row travels as one column, so its own column names cannot clash with these.
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("_whole"))
+    joined = rows.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.select("_whole", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_whole.*")
 
 
 @query("op5_mixing")

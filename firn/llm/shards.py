@@ -59,13 +59,14 @@ def assign_shards(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, s
 
 
 def write_shards(docs: DataFrame, path: str, weights: Sequence[float] = (1.0,) * SHARDS, files: int = 16, seed: int = SEED) -> None:
-    """Write whole rows of ``docs`` under ``path/shard=N``, each shard in at most ``files`` files.
+    """Write whole rows of ``docs`` (a column ``shard`` is replaced) under ``path/shard=N``, each shard in at most ``files`` files.
 
     A row's place is computed where it is read, so its text is shuffled once. Rows of a shard are
     spread over its files by a hash of the key and text.
     """
-    placed = docs.withColumn("shard", rendezvous(_record_key(), weights, seed)).withColumn("_file", F.pmod(F.xxhash64("doc_id", "text"), F.lit(files)))
-    placed.repartition("shard", "_file").drop("_file").write.partitionBy("shard").parquet(path)
+    shard = rendezvous(_record_key(), weights, seed)
+    placed = docs.drop("shard").withColumn("shard", shard)
+    placed.repartition("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(files))).write.partitionBy("shard").parquet(path)
 
 
 @query("op9_sharding")
