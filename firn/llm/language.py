@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +15,14 @@ LONGEST = 3
 PROFILE = 400
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
-_RUN = re.compile(r"[^\W\d_]+")
-_CACHED_WORDS = 100_000
-_CACHED_LETTERS = 40
+_BITS = 21
+_CHUNK = 1 << 20
+_HELD_KEYS = 1 << 22
 
 
-def _letters(text: str) -> list[str]:
-    """Lower-case runs of letters. The pattern also passes a few number signs, which are cut out."""
-    runs = _RUN.findall(text.lower())
-    return runs if all(map(str.isalpha, runs)) else "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
+@cache
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def grams(word: str, longest: int = LONGEST) -> list[str]:
@@ -33,34 +31,107 @@ def grams(word: str, longest: int = LONGEST) -> list[str]:
     return list(word) + [padded[i : i + n] for n in range(2, longest + 1) for i in range(len(padded) - n + 1)]
 
 
+def _codes(text: str) -> np.ndarray:
+    """Lower-case letters as code points, runs of other characters as one blank, a blank at either end."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _is_letter()[points]
+    if not letter.any():
+        return np.empty(0, np.uint64)
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]
+    line = np.where(letter, points, 32)[kept].astype(np.uint64)
+    return np.concatenate(([32], line, [] if line[-1] == 32 else [32])).astype(np.uint64)
+
+
+def _gram_keys(text: str, longest: int) -> Iterator[np.ndarray]:
+    """All n-grams of a text's words as numbers (21 bits a character), by chunks of a million characters.
+
+    Words are parted by one blank, so only n-grams with a blank inside reach over two words; they are left out.
+    """
+    codes, shift = _codes(text), np.uint64(_BITS)
+    for start in range(0, len(codes), _CHUNK):
+        here = codes[start : start + _CHUNK + longest - 1]
+        own = min(_CHUNK, len(codes) - start)
+        key, single = here[:own], here[:own] != 32
+        found = [key[single]]
+        for n in range(2, longest + 1):
+            size = min(own, len(here) - n + 1)
+            if size <= 0:
+                break
+            key = (key[:size] << shift) | here[n - 1 : n - 1 + size]
+            if n > 2:
+                inside = np.logical_and.reduce([here[i : i + size] != 32 for i in range(1, n - 1)])
+                found.append(key[inside])
+            else:
+                found.append(key)
+        yield np.concatenate(found)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
+def gram_counts(text: str, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram keys of a text, ascending, and how often each occurs."""
+    parts = [np.unique(keys, return_counts=True) for keys in _gram_keys(text, longest)]
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return parts[0] if len(parts) == 1 else _merged(parts)
+
+
+def _name(key: int) -> str:
+    out = ""
+    while key:
+        out = chr(key & ((1 << _BITS) - 1)) + out
+        key >>= _BITS
+    return out
+
+
+def _key(gram: str) -> int:
+    out = 0
+    for c in gram:
+        out = out << _BITS | ord(c)
+    return out
+
+
 def profiles(samples: DataFrame, size: int = PROFILE, longest: int = LONGEST) -> DataFrame:
     """The ``size`` most frequent n-grams of each language: ``lang``, ``gram``, ``rank`` (from 0).
 
     ``samples`` has ``text`` and ``lang``; rows where either is null are left out. Every text
-    counts whole. Each task adds up words per language and hands on n-gram counts whenever it
-    holds 100,000 words, so nothing is shuffled but partial counts. Equal counts rank by n-gram.
+    counts whole. Each task adds up n-grams per language, and hands on its counts when they are many,
+    so nothing is shuffled but partial counts. Equal counts rank by n-gram.
     """
+    _check(longest)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
+        counts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        raw: dict[str, list[np.ndarray]] = {}
+
+        def settle() -> None:
+            for lang, keys in raw.items():
+                counts.setdefault(lang, []).append(np.unique(np.concatenate(keys), return_counts=True))
+                counts[lang] = [_merged(counts[lang])]
+            raw.clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, seen in words.items():
-                total: Counter = Counter()
-                for word, n in seen.items():
-                    for gram in grams(word, longest):
-                        total[gram] += n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(total), pa.string()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
-                    ["lang", "gram", "n"],
-                )
-            words.clear()
+            for lang, ((keys, n),) in counts.items():
+                names = pa.array([_name(k) for k in keys.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), names, pa.array(n)], ["lang", "gram", "n"])
+            counts.clear()
 
+        held = 0
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
-                words.setdefault(lang.as_py(), Counter()).update(_letters(text.as_py()))
-                if sum(map(len, words.values())) > _CACHED_WORDS:
-                    yield from flush()
+                for keys in _gram_keys(text.as_py(), longest):
+                    raw.setdefault(lang.as_py(), []).append(keys)
+                    held += len(keys)
+                if held > _HELD_KEYS:
+                    settle()
+                    held = 0
+                    if sum(len(c[0][0]) for c in counts.values()) > _HELD_KEYS:
+                        yield from flush()
+        settle()
         yield from flush()
 
     known = samples.select("text", F.col("lang").cast("string").alias("lang")).dropna()
@@ -69,6 +140,11 @@ def profiles(samples: DataFrame, size: int = PROFILE, longest: int = LONGEST) ->
     return counts.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < size).select("lang", "gram", "rank")
 
 
+def _check(longest: int) -> None:
+    if not 1 <= longest <= 3:
+        raise ValueError("n-grams have 1 to 3 characters")
+
+
 class _Judge:
     """Out-of-place distances of texts to all profiles. Counts alone decide, so ties need no order:
     an n-gram's rank is the number of n-grams with a higher count, and all of rank < size take part."""
@@ -76,46 +152,24 @@ class _Judge:
     def __init__(self, rows: list[tuple[str, str, int]], size: int, longest: int) -> None:
         self.size, self.longest = size, longest
         self.langs = sorted({r[0] for r in rows})
-        self.ids = {gram: i for i, gram in enumerate(sorted({r[1] for r in rows}))}
-        self.known = len(self.ids)
-        self.ranks = np.full((len(self.langs), self.known + 1), -1, np.int32)
+        self.keys = np.array(sorted({_key(r[1]) for r in rows}), np.uint64)
+        self.ranks = np.full((len(self.langs), len(self.keys) + 1), -1, np.int32)
         at = {lang: i for i, lang in enumerate(self.langs)}
         for lang, gram, rank in rows:
-            self.ranks[at[lang], self.ids[gram]] = rank
-        self.words: dict[str, np.ndarray] = {}
-        self.emptied = 0
-
-    def _word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= _CACHED_WORDS or len(self.ids) >= self.known + 10 * _CACHED_WORDS:
-                self.words.clear()
-                self.emptied += 1
-                self.ids = dict(list(self.ids.items())[: self.known])
-            ids = self.ids
-            found = np.array([ids.setdefault(g, len(ids)) for g in grams(word, self.longest)], np.int64)
-            if len(word) <= _CACHED_LETTERS:
-                self.words[word] = found
-        return found
+            self.ranks[at[lang], np.searchsorted(self.keys, np.uint64(_key(gram)))] = rank
 
     def distances(self, text: str | None) -> np.ndarray | None:
         """Mean out-of-place distance to each language, from 0 to 1; None without a letter."""
-        seen = Counter(_letters(text or ""))
-        if not seen:
+        keys, counts = gram_counts(text or "", self.longest)
+        if not len(keys):
             return None
-        while True:
-            emptied = self.emptied
-            parts = [self._word(w) for w in seen]
-            if self.emptied == emptied:
-                break  # else the ids of the first words are stale
-        counts = np.bincount(np.concatenate(parts), np.repeat(list(seen.values()), [len(p) for p in parts]))
-        used = np.flatnonzero(counts)
-        n = counts[used]
-        values, back, times = np.unique(-n, return_inverse=True, return_counts=True)
-        rank = (np.cumsum(times) - times)[back]
+        falling = np.sort(-counts)
+        rank = np.searchsorted(falling, -counts)
         top = rank < self.size
-        used, rank = np.minimum(used[top], self.known), rank[top]
-        there = self.ranks[:, used]
+        keys, rank = keys[top], rank[top]
+        at = np.searchsorted(self.keys, keys)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+        there = self.ranks[:, np.where(known, at, len(self.keys))]
         gap = np.where(there < 0, self.size, np.minimum(np.abs(there - rank), self.size))
         return gap.mean(axis=1) / self.size
 
