@@ -7,11 +7,13 @@ never paired with each other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from firn.functions.angles import delta_angle, pair_delay, plane_delay
 from firn.functions.spectral import akima_values, cross_correlate, upsampled_correlation
@@ -122,6 +124,55 @@ def coarse_map(correlated: DataFrame, delays: DataFrame, event: Sequence[str], d
     )
 
 
+def event_maps(
+    channels: DataFrame, geometry: DataFrame, event: Sequence[str], dt: float,
+    phi_bins: int = COARSE_PHI_BINS, theta_bins: int = COARSE_THETA_BINS,
+) -> DataFrame:
+    """One row per event with its coarse map as a flat array, phi-major; NULL where no pair of the event looks.
+
+    The channels of an event (``ant`` and equally long ``y``) are brought together once; their number is bounded by
+    the array. Each is transformed once, and all directions are read from the pair correlations through
+    one index matrix, which the geometry fixes and which is shipped to every task.
+    """
+    looks = coarse_delays(channels.sparkSession, geometry, phi_bins=phi_bins, theta_bins=theta_bins).toArrow()
+    column = {c: np.asarray(looks.column(c)) for c in looks.column_names}
+    pairs, pair = np.unique(np.stack([column["a"], column["b"]]), axis=1, return_inverse=True)
+    cell = column["phi_bin"].astype(np.int64) * theta_bins + column["theta_bin"]
+    low, bins = np.floor(column["delay"] / dt).astype(np.int64), phi_bins * theta_bins
+    shared = channels.sparkSession.sparkContext.broadcast((pairs, pair.ravel(), cell, low, column["delay"] / dt - low))
+    names = [*event, "map"]
+
+    def mapped(waves: np.ndarray, antennas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pairs, pair, cell, low, part = shared.value
+        n, row = waves.shape[1], np.full(max(int(pairs.max()), int(antennas.max())) + 1, -1)
+        row[antennas] = np.arange(len(antennas))
+        first, second = row[pairs[0]], row[pairs[1]]
+        spectra = np.fft.rfft(waves, axis=1)
+        corr = np.fft.irfft(spectra[first] * np.conj(spectra[second]), n=n, axis=1) / n
+        seen = ((first >= 0) & (second >= 0))[pair]
+        before, after = corr[pair[seen], low[seen] % n], corr[pair[seen], (low[seen] + 1) % n]
+        total = np.bincount(cell[seen], before + part[seen] * (after - before), minlength=bins)
+        count = np.bincount(cell[seen], minlength=bins)
+        return total / np.maximum(count, 1), count == 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, unseen = [], []
+            for ants, waves in zip(batch.column("_ants"), batch.column("_waves"), strict=True):
+                held = waves.values
+                made, none = mapped(held.flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1), ants.values.to_numpy())
+                values.append(made)
+                unseen.append(none)
+            flat = pa.array(np.concatenate(values), mask=np.concatenate(unseen))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * bins), flat)
+            yield pa.RecordBatch.from_arrays([*[batch.column(e) for e in event], lists], names)
+
+    together = F.sort_array(F.collect_list(F.struct(F.col("ant").cast("int").alias("ant"), "y")))
+    grouped = channels.groupBy(*event).agg(together.alias("_c")).select(*event, F.col("_c.ant").alias("_ants"), F.col("_c.y").alias("_waves"))
+    keys = [grouped.schema[e] for e in event]
+    return grouped.mapInArrow(run, StructType([*keys, StructField("map", ArrayType(DoubleType()))]))
+
+
 def zoom_map(
     correlated: DataFrame, geometry: DataFrame, peaks: DataFrame, event: Sequence[str], dt: float,
     bins: int = ZOOM_BINS, step: float = ZOOM_STEP, sectors: int = SECTORS, phi0: float = 0.0, peak: Sequence[str] = (),

@@ -101,15 +101,11 @@ def summarise(
     Filter, correlate pairs, coarse map, greedy peaks, fine map and vertex, coherent sum,
     features. Every step is keyed by the event, whose rows are bounded by the array.
     """
-    spark = channels.sparkSession
     clean = materialize(filtered(channels, strategy, samples, dt), "filtered")
     pairs = imaging.antenna_pairs(geometry)
-    coarse = imaging.coarse_map(
-        imaging.correlations(clean, pairs, event), imaging.coarse_delays(spark, geometry, phi_bins=phi_bins, theta_bins=theta_bins), event, dt
-    )
     phi_edges = [360.0 * k / phi_bins - 180.0 / imaging.SECTORS for k in range(phi_bins)]
     theta_edges = imaging.coarse_theta_edges(theta_bins)[:theta_bins]
-    rough = imaging.map_rows(coarse, event, phi_bins, theta_bins).select(
+    rough = imaging.event_maps(clean.select(*event, "ant", "y"), geometry, event, dt, phi_bins, theta_bins).select(
         *event, F.posexplode(imaging.map_peaks(F.col("map"), phi_edges, theta_edges, peaks)).alias("rank", "p")
     )
     rough = materialize(rough.select(*event, "rank", F.col("p.value").alias("rough_value"), "p.phi", "p.theta"), "rough")

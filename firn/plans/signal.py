@@ -227,11 +227,12 @@ def _band_power(spark, folder):
     return out.select("event", F.round("low_power", 9).alias("low_power"), "pol", "sector", "low_ring", F.round("top_power", 9).alias("top_power"))
 
 
-_THETA = imaging.coarse_theta_edges(10)
+_PHI_BINS, _THETA_BINS = imaging.COARSE_PHI_BINS, imaging.COARSE_THETA_BINS
+_THETA = imaging.coarse_theta_edges()
 _GEO = "g AS (SELECT a AS ant, 2.0 AS r, a % 2 * 0.5 AS z, a * 22.5 AS phi FROM range(0, 16) AS q(a))"
 _ARRIVE = "cos(radians(th)) * (-{0}.z * tan(radians(th)) - {0}.r * cos(radians(ph - {0}.phi))) * 1e9 / 299792458.0"
 _MAP_SQL = (
-    f"WITH {W_SQL}, {_GEO}, d AS (SELECT c.*, pb * 11.25 - 11.25 AS ph, [{', '.join(f'{t!r}::DOUBLE' for t in _THETA[:10])}][CAST(tb AS INT) + 1] AS th FROM (SELECT pb, tb, pb // 2 AS sec FROM range(0, 32) AS p(pb), range(0, 10) AS t(tb)) c),"
+    f"WITH {W_SQL}, {_GEO}, d AS (SELECT c.*, pb * 2.5 - 11.25 AS ph, [{', '.join(f'{t!r}::DOUBLE' for t in _THETA[:-1])}][CAST(tb AS INT) + 1] AS th FROM (SELECT pb, tb, pb // 9 AS sec FROM range(0, {_PHI_BINS}) AS p(pb), range(0, {_THETA_BINS}) AS t(tb)) c),"
     f" pr AS (SELECT x.ant AS a, y.ant AS b, pb, tb, ({_ARRIVE.format('y')}) - ({_ARRIVE.format('x')}) AS delay FROM g x, g y, d WHERE x.ant < y.ant"
     " AND least(abs(x.ant - y.ant), 16 - abs(x.ant - y.ant)) <= 2 AND least(abs(x.ant - sec), 16 - abs(x.ant - sec)) <= 2 AND least(abs(y.ant - sec), 16 - abs(y.ant - sec)) <= 2),"
     " ab AS (SELECT DISTINCT a, b FROM pr),"
@@ -243,23 +244,21 @@ _MAP_SQL = (
 )
 
 
-def _coarse(spark: SparkSession, folder: str) -> DataFrame:
-    geometry = ring_geometry(spark)
-    corr = imaging.correlations(channels(spark, folder), imaging.antenna_pairs(geometry), ["event"])
-    delays = imaging.coarse_delays(spark, geometry, phi_bins=32, theta_bins=10)
-    return imaging.coarse_map(corr, delays, ["event"], DT)
+def _maps(spark: SparkSession, folder: str) -> DataFrame:
+    return imaging.event_maps(channels(spark, folder), ring_geometry(spark), ["event"], DT)
 
 
-@query("coarse_map", f"{_MAP_SQL} SELECT event, CAST(pb AS INT) AS phi_bin, CAST(tb AS INT) AS theta_bin, round(value, 8) AS value FROM m")
+@query("coarse_map", f"{_MAP_SQL} SELECT event, CAST(pb AS INT) AS phi_bin, CAST(tb AS INT) AS theta_bin, round(value, 8) + 0.0 AS value FROM m")
 def _coarse_map(spark, folder):
     """Mean interpolated correlation of the antenna pairs facing each direction."""
-    return _coarse(spark, folder).select("event", "phi_bin", "theta_bin", F.round("value", 8).alias("value"))
+    cells = _maps(spark, folder).select("event", F.posexplode("map").alias("cell", "value")).filter("value is not null")
+    phi, theta = F.floor(F.col("cell") / _THETA_BINS), F.col("cell") % _THETA_BINS
+    return cells.select("event", phi.cast("int").alias("phi_bin"), theta.cast("int").alias("theta_bin"), (F.round("value", 8) + 0.0).alias("value"))
 
 
 def _peaks(spark: SparkSession, folder: str) -> DataFrame:
-    maps = imaging.map_rows(_coarse(spark, folder), ["event"], 32, 10)
-    edges = [k * 11.25 - 11.25 for k in range(32)]
-    return maps.select("event", imaging.map_peaks(F.col("map"), edges, _THETA[:10], 3).alias("peaks"))
+    edges = [k * 360.0 / _PHI_BINS - 180.0 / imaging.SECTORS for k in range(_PHI_BINS)]
+    return _maps(spark, folder).select("event", imaging.map_peaks(F.col("map"), edges, _THETA[:-1], 3).alias("peaks"))
 
 
 @query("nms_topk")
@@ -349,7 +348,7 @@ def _whitened(spark, folder):
 def _event_summaries(spark, folder):
     """Raw waveforms to nested summaries: filters, maps, peaks, coherent sums, features."""
     made = summarise(
-        channels(spark, folder), ring_geometry(spark), ["event"], DT, N, "sine_subtract_brick_wall", phi_bins=32, theta_bins=10, zoom_bins=20
+        channels(spark, folder), ring_geometry(spark), ["event"], DT, N, "sine_subtract_brick_wall"
     )
-    top = made.select("event", "nPeaks", F.col("peak")[0].alias("p"), F.col("coherent_filtered")[0].alias("w"))
-    return top.select("event", "nPeaks", "p.value", "p.phi", "p.theta", "w.snr", "w.peakHilbert", "w.impulsivityMeasure", "w.totalPower")
+    each = made.select("event", "nPeaks", F.posexplode(F.arrays_zip(F.col("peak").alias("p"), F.col("coherent_filtered").alias("w"))).alias("rank", "_e"))
+    return each.select("event", "nPeaks", "rank", "_e.*").select("event", "nPeaks", "rank", "p.value", "p.phi", "p.theta", "w.snr", "w.peakHilbert", "w.impulsivityMeasure", "w.totalPower")
