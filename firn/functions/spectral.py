@@ -223,14 +223,17 @@ def impulsivity(envelope: Column) -> Column:
     return run(envelope)
 
 
-def sine_subtract(y: Column, max_sines: int = 3, min_reduction: float = 0.05) -> Column:
-    """Remove the strongest sinusoid while it takes out at least ``min_reduction`` of the power."""
+def sine_subtract(y: Column, min_reduction: float = 0.05) -> Column:
+    """Remove the strongest sinusoid while it takes out at least ``min_reduction`` of the power.
+
+    A removed frequency has no power left, so the loop ends after one round per frequency at most.
+    """
 
     def clean(m: np.ndarray) -> np.ndarray:
         out, n = m.copy(), m.shape[1]
         t = np.arange(n)
         active = np.ones(len(out), dtype=bool)
-        for _ in range(max_sines):
+        while active.any():
             spectrum = np.fft.rfft(out, axis=1)
             spectrum[:, 0] = 0
             k = np.argmax(np.abs(spectrum), axis=1)
@@ -239,7 +242,8 @@ def sine_subtract(y: Column, max_sines: int = 3, min_reduction: float = 0.05) ->
             wave = fold / n * (best * np.exp(2j * np.pi * k[:, None] * t / n)).real
             trial = out - wave
             before = (out**2).sum(axis=1)
-            active &= (before - (trial**2).sum(axis=1)) >= min_reduction * before
+            gone = before - (trial**2).sum(axis=1)
+            active &= (gone >= min_reduction * before) & (gone > 0)
             out[active] = trial[active]
         return out
 

@@ -98,8 +98,8 @@ def test_pair_fit_recovers_a_common_source():
         e["theta"], e["phi"] = r[0], r[1]
         e["sigma_theta"], e["sigma_phi"] = np.array([0.25]), np.array([0.5])
         events.append(e)
-    ll, flon, flat = fit_pairs(events[0], events[1], lon + 1.0, lat - 0.2)
-    assert ll[0] < 1e-6 and abs(flon[0] - 30.0) < 1e-3 and abs(flat[0] + 80.0) < 1e-3
+    ll, flon, flat, converged = fit_pairs(events[0], events[1], lon + 1.0, lat - 0.2)
+    assert converged[0] and ll[0] < 1e-6 and abs(flon[0] - 30.0) < 1e-3 and abs(flat[0] + 80.0) < 1e-3
 
 
 def test_rayleigh_fit_of_rayleigh_numbers():
