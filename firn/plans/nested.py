@@ -151,6 +151,12 @@ ELEMENT_CUT_SQL = {
 }
 
 
+def _projected(spark: SparkSession, folder: str) -> tuple[DataFrame, Column]:
+    """Events with their elements as a column, so that cuts that look at all elements don't build them again."""
+    df, elements = _events(spark, folder)
+    return df.withColumn("_el", elements), F.col("_el")
+
+
 def _cuts(elements: Column):
     return nested_cuts(elements, lambda lon, lat: (lon > -30) & (lat < -72))
 
@@ -192,7 +198,7 @@ def _where(names: list[str]) -> str:
 )
 def _elem_any_pass(spark, folder):
     """Skim: events where one single element passes all element cuts."""
-    df, elements = _events(spark, folder)
+    df, elements = _projected(spark, folder)
     cuts = _cuts(elements)
     return skim(df, elements, [cuts[n].column for n in _SKIM_ROW], [cuts[n] for n in _SKIM_EL]).select("eventNumber", "run")
 
@@ -204,7 +210,7 @@ def _elem_any_pass(spark, folder):
     + ' FROM e GROUP BY "eventNumber"',
 )
 def _elem_survivors(spark, folder):
-    df, elements = _events(spark, folder)
+    df, elements = _projected(spark, folder)
     cuts = _cuts(elements)
     counts = survivors_per_cut(elements, [cuts[n] for n in _SKIM_EL])
     return df.select("eventNumber", counts.alias("c")).select("eventNumber", *[F.col("c")[k].alias(f"after_{k}") for k in range(3)])
@@ -224,7 +230,7 @@ def _elem_survivors(spark, folder):
 )
 def _thermal_flatten(spark, folder):
     """Nested summaries to one flat row per event, at the highest peak."""
-    df, elements = _events(spark, folder)
+    df, elements = _projected(spark, folder)
     cuts = _cuts(elements)
     return thermal_columns(df, elements, [cuts["isRfTrigger"].column], [cuts["highestPeak"]])
 

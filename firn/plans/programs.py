@@ -39,9 +39,9 @@ def split_cuts(cuts: Catalogue, names: Sequence[str]) -> tuple[list[Column], lis
 
 def reduce(summaries: DataFrame, which: str, path: str | None = None) -> DataFrame:
     """Skim summaries by a named cut list; rows are unchanged."""
-    elements = linear_elements(FIELDS, DIRECTIONS)
+    elements = F.col("_el")
     rows, per_element = split_cuts(nested_cuts(elements), REDUCTIONS[which])
-    kept = skim(summaries, elements, rows, per_element)
+    kept = skim(summaries.withColumn("_el", linear_elements(FIELDS, DIRECTIONS)), elements, rows, per_element).drop("_el")
     if path:
         sinks.write(kept, path, by=["run"])
     return kept
@@ -49,9 +49,10 @@ def reduce(summaries: DataFrame, which: str, path: str | None = None) -> DataFra
 
 def thermal_table(summaries: DataFrame, run: int | None = None, path: str | None = None) -> DataFrame:
     """Flat table of the highest peak of each event."""
-    elements = linear_elements(FIELDS, DIRECTIONS)
+    elements = F.col("_el")
     cuts = nested_cuts(elements)
     source = summaries if run is None else readers.run_range(summaries, run, run)
+    source = source.withColumn("_el", linear_elements(FIELDS, DIRECTIONS))
     flat = thermal_columns(source, elements, [], [cuts["highestPeak"]])
     if path:
         sinks.write(flat, path, by=["run"])
