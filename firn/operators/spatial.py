@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from firn.functions.compare import finite, where
 from firn.session import discard, materialize, shuffle_width
 
 DEPTH = 24
@@ -160,8 +161,9 @@ def knn(
     """The k nearest points of every query.
 
     Both inputs have ``id``, ``x`` and ``y``; ties go to the smaller id. Result: ``id``,
-    ``rank`` (from 1), ``neighbour``, ``distance``.
+    ``rank`` (from 1), ``neighbour``, ``distance``. Rows without a finite place neither ask nor are found.
     """
+    queries, points = (where(side, finite(F.col("x")), finite(F.col("y"))) for side in (queries, points))
     need = k + 1 if exclude_self else k
     # Of points sharing one place only the first few ids can ever be among the nearest.
     # The rank filter is applied before the shuffle too, so a pile of copies stays local.
@@ -190,8 +192,10 @@ def knn(
         )
         # A level has at most 4^level cells: known small near the root, shuffled below.
         side = F.broadcast(children) if level <= BROADCAST_DEPTH else children
-        # Leaves have no join key and stay as they are; every other cell has children.
-        keyed = frontier.withColumns({f"_p{c}": F.when(~F.col("r_leaf"), F.col(f"r_c{c}")) for c in "xy"})
+        # Leaves match nothing and stay as they are; every other cell has children. Their keys are negative, as no
+        # cell's is, and spread: a NULL key would bring all of them into one partition.
+        apart = -1 - F.pmod(F.xxhash64(*q_key, "r_cx", "r_cy"), F.lit(1 << 20))
+        keyed = frontier.withColumns({f"_p{c}": F.when(~F.col("r_leaf"), F.col(f"r_c{c}")).otherwise(apart) for c in "xy"})
         grown = keyed.join(side, ["_px", "_py"], "left")
         stepped = [F.coalesce(F.col("_child")[c], F.col(c)).alias(c) for c in r_cols]
         frontier = _prune(grown.select(*q_cols, *stepped), q_key, need, max_distance)

@@ -63,3 +63,10 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert set(got[got["id"] <= 200]["label"]) == {0}
     assert set(got[got["id"] >= 1000]["label"]) == {1000}
     assert len(got) == 201 + 400
+
+
+def test_neighbours_with_a_place_that_is_not_finite(spark):
+    rows = [(i, float(i), 0.0) for i in range(40)] + [(99, float("nan"), 0.0), (98, None, 0.0), (97, float("inf"), 1.0)]
+    points = spark.createDataFrame(rows, "id int, x double, y double")
+    found = {(r["id"], r["neighbour"]) for r in knn(points, points, 1, exclude_self=True).collect()}
+    assert len(found) == 40 and all(abs(a - b) == 1 for a, b in found)
