@@ -220,7 +220,7 @@ def similar_components(
     (unless all its ids are null). Repeated rows are linked to each other. Other columns are not read; an empty
     table gives an empty result.
 
-    Copies count as one set. A cluster is cut into chunks of ``cluster_elements`` shingles and every
+    Copies count as one set. A cluster is searched band by band and cut into chunks of ``cluster_elements`` shingles and every
     pair of chunks is searched, so one task holds at most two chunks or two longer sets. Every link
     is found; the bitmap of document ids only spares reading texts that have no partner.
     """
@@ -241,14 +241,20 @@ def _labels(docs, names, edges, shingle, num, den, cluster_elements) -> DataFram
     """(``_set``, ``_root``): exact components among the sets that share signatures."""
     clusters = materialize(components(edges).select(F.col("id").alias("_set"), F.col("label").alias("_cluster")), "clusters")
     members = clusters.join(names, "_set")
-    whole = members.groupBy("_cluster").agg(F.ceil(F.sum("_size") / cluster_elements).cast("int").alias("_chunks"))
-    members = materialize(members.join(whole, "_cluster"), "members")
+    bands = Bands(num, den)
+    bands.of(members.agg(F.coalesce(F.max("_size"), F.lit(1))).head()[0])
+    own = F.size(F.filter(F.array(*[F.lit(u) for u in bands.upper]), lambda u: u < F.col("_size")))
+    # A set meets the sets of its own band and of both neighbours: those of its band and the next as ``own``,
+    # those of its band and the one below as ``own - 1``.
+    members = members.withColumn("_band", F.explode(F.array_distinct(F.array(own, F.greatest(own - 1, F.lit(1))))))
+    whole = members.groupBy("_cluster", "_band").agg(F.ceil(F.sum("_size") / cluster_elements).cast("int").alias("_chunks"), F.count("*").alias("_sets"))
+    members = materialize(members.join(whole.filter("_sets > 1").drop("_sets"), ["_cluster", "_band"]), "members")
     sets = _sets_of(docs, members, shingle)
     chunk = F.pmod(F.xxhash64("_set"), F.col("_chunks")).cast("int")
-    placed = sets.join(members.select("_set", "_cluster", "_chunks"), "_set").withColumn("_chunk", chunk)
+    placed = sets.join(members.select("_set", "_cluster", "_band", "_chunks"), "_set").withColumn("_chunk", chunk)
     other = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
-    spread = placed.select("_cluster", "_set", "_elements", "_chunk", other.alias("_other"))
-    paired = spread.select("_cluster", "_set", "_elements", F.least("_chunk", "_other").alias("_a"), F.greatest("_chunk", "_other").alias("_b"))
+    spread = placed.select("_cluster", "_band", "_set", "_elements", "_chunk", other.alias("_other"))
+    paired = spread.select("_cluster", "_band", "_set", "_elements", F.least("_chunk", "_other").alias("_a"), F.greatest("_chunk", "_other").alias("_b"))
 
     def search(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -261,7 +267,7 @@ def _labels(docs, names, edges, shingle, num, den, cluster_elements) -> DataFram
         linked = label != np.arange(len(ids))
         return pa.table({"src": pa.array(ids[label[linked]]), "dst": pa.array(ids[linked])})
 
-    links = materialize(paired.groupBy("_cluster", "_a", "_b").applyInArrow(search, "src long, dst long"), "links")
+    links = materialize(paired.groupBy("_cluster", "_band", "_a", "_b").applyInArrow(search, "src long, dst long"), "links")
     return components(links).select(F.col("id").alias("_set"), F.col("label").alias("_root"))
 
 
@@ -314,7 +320,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10)
     "op10_ngram_jaccard",
     r"""
     WITH RECURSIVE w AS (
-        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
         FROM documents
     ), d AS MATERIALIZED (
         SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
