@@ -1,9 +1,9 @@
-"""Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity scores from the nearest labelled examples by exact TF-IDF cosine over whole texts.
 
-Examples are a bounded sample of labelled rows. Their vocabulary is the words whose presence tells most
-about the label; inverse document frequencies are counted over all documents. The index holds the
-distinct example vectors in blocks with the largest weight of each word in each block, so a block whose
-bound is below the k-th best similarity so far is never opened, and the k nearest are exact.
+Examples are a bounded sample of labelled rows. The index holds every word of the distinct example
+vectors; inverse document frequencies are counted over all documents. Words whose presence tells about the
+label weigh more, no word is left out. All examples are scored for every text, and those that can be among
+the k nearest are scored again in double precision, so the k nearest are exact.
 """
 
 from __future__ import annotations
@@ -16,23 +16,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from firn.llm.lines import query, remainder, table
 from firn.session import materialize
 
 MAX_EXAMPLES = 40_000
-MAX_WORDS = 4096
 LEAST_PHI2 = 0.004
-LEAST_CHI2 = 40.0
-LEAST_TEXTS = 6
+TELLING = 8.0
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 12
 BINS = 64
 STEM = 5
 _WORD = re.compile(r"[^\W_]+")
 _HELD_WORDS = 200_000
 _CACHE = 100_000
+_QUERIES = 64
+_SLACK = 1e-5
+_GROUPS = 8
+_SHORT = 256
 
 
 def examples(labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
@@ -51,10 +52,10 @@ def _words(text: str | None) -> list[str]:
     return words + [w[:STEM] + "*" for w in words if len(w) > STEM]
 
 
-def telling_words(texts: DataFrame, most: int = MAX_WORDS) -> list[str]:
-    """Words whose presence depends most on the label: (``text``, ``toxic``) rows, phi squared at least
-    LEAST_PHI2, chi squared at least LEAST_CHI2, in at least LEAST_TEXTS different texts; the ``most`` with the
-    largest phi squared. Copies count once, so that a repeated text doesn't make its rare words telling."""
+def words_of(texts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All words of the (``text``, ``toxic``) rows, sorted, and how much more each weighs: 1, and up to 1 + TELLING for
+    words whose presence depends on the label (phi squared of at least LEAST_PHI2 over different texts, so that
+    copies don't make their rare words telling). What reaches the driver is the words of at most MAX_EXAMPLES texts."""
     texts = texts.select("text", "toxic").dropDuplicates(["text", "toxic"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,85 +77,183 @@ def telling_words(texts: DataFrame, most: int = MAX_WORDS) -> list[str]:
 
     sizes = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    if not bad or not good:
-        return []
-    by_word = texts.select("text", "toxic").mapInArrow(count, "word string, toxic int, n long").groupBy("word").agg(
+    by_word = texts.mapInArrow(count, "word string, toxic int, n long").groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")
     )
-    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), bad + good
-    gap = a * F.lit(float(good)) - b * F.lit(float(bad))
-    phi2 = gap * gap / (F.lit(float(bad) * float(good)) * (a + b) * (F.lit(float(n)) - a - b))
-    told = by_word.filter((F.col("a") + F.col("b") < n) & (F.col("a") + F.col("b") >= LEAST_TEXTS)).withColumn("phi2", phi2)
-    told = told.filter((F.col("phi2") >= LEAST_PHI2) & (F.col("phi2") * n >= LEAST_CHI2))
-    return sorted(r[0] for r in told.orderBy(F.desc("phi2"), "word").limit(most).select("word").collect())
+    told = by_word.toArrow()
+    words = told.column("word").to_pylist()
+    a, b = (np.asarray(told.column(c)).astype(float) for c in "ab")
+    rest = (bad + good - a - b) * bad * good
+    phi2 = np.divide((a * good - b * bad) ** 2, (a + b) * rest, out=np.zeros(len(words)), where=(a + b) * rest > 0)
+    extra = 1.0 + TELLING * np.where(phi2 >= LEAST_PHI2, np.sqrt(phi2), 0.0)
+    order = sorted(range(len(words)), key=words.__getitem__)
+    return [words[i] for i in order], extra[order]
 
 
 def counted(docs: DataFrame, words: list[str]) -> DataFrame:
-    """``docs`` with ``_at`` and ``_times``: which of ``words`` (at most MAX_WORDS) the whole text holds, how often."""
-    place = {w: i for i, w in enumerate(words)}
+    """``docs`` with ``_at`` and ``_times``, which of ``words`` the whole text holds and how often (bytes of 32-bit numbers,
+    by word), and ``_other``, the sum of (1 + ln times) squared over its words outside ``words``."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
     names = [c for c in docs.columns if c != "text"]
+    place: dict[str, int] = {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not place:
+            place.update(zip(shared.value, range(len(shared.value)), strict=True))
         for batch in batches:
-            at, times = [], []
+            at, times, other = [], [], []
             for text in batch.column("text"):
-                held = Counter(place[w] for w in _words(text.as_py()) if w in place)
-                keys = sorted(held)
-                at.append(keys)
-                times.append([held[k] for k in keys])
+                held = Counter(_words(text.as_py()))
+                keys = np.fromiter((place.get(w, -1) for w in held), np.int32, len(held))
+                often = np.fromiter(held.values(), np.int32, len(held))
+                order = np.argsort(keys)[np.count_nonzero(keys < 0) :]
+                at.append(keys[order].tobytes())
+                times.append(often[order].tobytes())
+                other.append(float(((1.0 + np.log(often[keys < 0])) ** 2).sum()))
             kept = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], [*names, "_at", "_times"])
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(at, pa.binary()), pa.array(times, pa.binary()), pa.array(other, pa.float64())], [*names, "_at", "_times", "_other"]
+            )
 
-    lists = [StructField(name, ArrayType(IntegerType())) for name in ("_at", "_times")]
-    return docs.mapInArrow(count, StructType([*docs.select(*names).schema.fields, *lists]))
+    types = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    return docs.mapInArrow(count, f"{types}, _at binary, _times binary, _other double")
 
 
-class BlockMaxIndex:
-    """Distinct example vectors in blocks, posting lists per word, and block maxima per word.
+def document_counts(vectors: DataFrame, size: int) -> np.ndarray:
+    """How many rows hold each of the ``size`` words."""
 
-    ``vectors`` are (word numbers, occurrence counts, toxic votes, votes, smallest doc_id). Vectors with the
-    same words lie next to each other, which makes block maxima tight.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, np.int64)
+        for batch in batches:
+            for at in batch.column("_at"):
+                held[np.frombuffer(at.as_buffer(), np.int32)] += 1
+        found = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(held[found])], ["w", "n"])
+
+    counts = vectors.select("_at").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[np.asarray(counts.column("w"))] = np.asarray(counts.column("n"))
+    return out
+
+
+class ExampleIndex:
+    """Distinct example vectors: word by word for scoring all of them, and one by one for exact cosines.
+
+    ``vectors`` are (word numbers, occurrence counts, toxic votes, votes, smallest doc_id); ``idf`` has the weight of
+    each word and ``unseen`` that of a word outside. Vectors are dealt to a few groups; words that at least one in
+    ``block`` of a group holds are columns of its dense block, the others have posting lists. Both are made where
+    they are first used.
     """
 
-    def __init__(self, vectors: list[tuple], idf: np.ndarray, block: int = BLOCK) -> None:
-        self.idf, self.block = idf, block
-        weighted = sorted(((tuple(at), self.weigh(at, times), bad, n, doc) for at, times, bad, n, doc in vectors), key=lambda v: (v[0], v[4]))
-        self.bad = np.array([v[2] for v in weighted], float)
-        self.votes = np.array([v[3] for v in weighted], float)
-        self.docs = [v[4] for v in weighted]
-        self.size = len(weighted)
-        self.blocks = -(-self.size // block)
-        owner = np.repeat(np.arange(self.size), [len(v[0]) for v in weighted])
-        word = np.concatenate([np.array(v[0], np.int64) for v in weighted]) if weighted else np.empty(0, np.int64)
-        weight = np.concatenate([v[1] for v in weighted]) if weighted else np.empty(0)
-        order = np.lexsort((owner, word))
-        self.posting, self.weight = owner[order], weight[order]
-        self.starts = np.searchsorted(word[order], np.arange(len(idf) + 1))
-        self.top = np.zeros((len(idf), self.blocks))
-        np.maximum.at(self.top, (word, owner // block), weight)
-
-    def weigh(self, at, times) -> np.ndarray:
+    def __init__(self, vectors: list[tuple], idf: np.ndarray, block: int = BLOCK, unseen: float = 0.0) -> None:
+        vectors = sorted(vectors, key=lambda v: (v[4] is None, v[4]))
+        self.idf, self.block, self.unseen = idf, block, unseen
+        self.size = len(vectors)
+        self.bad = np.array([v[2] for v in vectors], float)
+        self.votes = np.array([v[3] for v in vectors], float)
+        self.docs = [v[4] for v in vectors]
+        self.bounds = np.concatenate(([0], np.cumsum([len(v[0]) for v in vectors]))).astype(np.int64)
+        self.word = np.concatenate([np.asarray(v[0], np.int32) for v in vectors]) if vectors else np.empty(0, np.int32)
+        self.times = np.concatenate([np.asarray(v[1], np.int32) for v in vectors]) if vectors else np.empty(0, np.int32)
+        self.made = False
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("members", "dense", "column", "posting", "weight", "starts", "lengths")} | {"made": False}
+
+    def _make(self) -> None:
+        self.lengths = np.empty(self.size)
+        weight = np.empty(len(self.word), np.float32)
+        for x in range(self.size):
+            s, e = self.bounds[x], self.bounds[x + 1]
+            raw = (1.0 + np.log(self.times[s:e])) * self.idf[self.word[s:e]]
+            self.lengths[x] = math.sqrt(float(raw @ raw))
+            weight[s:e] = raw / self.lengths[x]
+        owner = np.repeat(np.arange(self.size), np.diff(self.bounds))
+        group = self._grouped(owner, weight)
+        self.members = [np.flatnonzero(group == g) for g in range(_GROUPS)]
+        thin = np.ones(len(self.word), bool)
+        self.column, self.dense = [], []
+        for g, members in enumerate(self.members):
+            here = np.flatnonzero(group[owner] == g)
+            many = np.bincount(self.word[here], minlength=len(self.idf)) * self.block >= max(1, len(members))
+            thick = here[many[self.word[here]]]
+            column = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
+            seat = np.searchsorted(members, owner[thick])
+            dense = np.zeros((int(many.sum()), len(members)), np.float32)
+            dense[column[self.word[thick]], seat] = weight[thick]
+            thin[thick] = False
+            self.column.append(column), self.dense.append(dense)
+        rest = self.word[thin]
+        order = np.argsort(rest, kind="stable")
+        self.posting, self.weight = owner[thin][order], weight[thin][order]
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(rest, minlength=len(self.idf)))))
+        self.made = True
+
+    def _grouped(self, owner: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """A group for each vector by its most frequent words, so that a group's frequent words stand in dense columns. Only
+        the speed depends on it."""
+        common = np.argsort(-np.bincount(self.word, minlength=len(self.idf)), kind="stable")[:256]
+        column = np.full(len(self.idf), -1)
+        column[common] = np.arange(len(common))
+        known = column[self.word] >= 0
+        place = np.zeros((self.size, len(common)), np.float32)
+        place[owner[known], column[self.word[known]]] = weight[known]
+        place /= np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-9)
+        centres = [place[0]]
+        while len(centres) < _GROUPS:
+            centres.append(place[np.argmin((place @ np.array(centres).T).max(axis=1))])
+        for _ in range(5):
+            group = (place @ np.array(centres).T).argmax(axis=1)
+            centres = [c if not (group == g).any() else (m := place[group == g].mean(axis=0)) / max(1e-9, float(np.linalg.norm(m))) for g, c in enumerate(centres)]
+        return group
+
+    def weigh(self, at, times, other: float = 0.0) -> np.ndarray:
         raw = (1.0 + np.log(np.asarray(times, float))) * self.idf[np.asarray(at, np.int64)]
-        return raw / math.sqrt(float(raw @ raw)) if len(raw) else raw
-
-    def nearest(self, at, times, k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
-        """The k nearest (cosine, vector), best first; equal cosines by vector number."""
-        query_weight = self.weigh(at, times)
-        words = np.asarray(at, np.int64)
-        bound = query_weight @ self.top[words]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            low, high = b * self.block, min((b + 1) * self.block, self.size)
-            score = np.zeros(high - low)
-            for w, q in zip(words, query_weight, strict=True):
-                s, e = self.starts[w], self.starts[w + 1]
-                i, j = s + np.searchsorted(self.posting[s:e], (low, high))
-                score[self.posting[i:j] - low] += q * self.weight[i:j]
-            found = [(round(float(score[x]), 12), int(low + x)) for x in np.flatnonzero(score > 0) if low + x != without]
-            best = sorted([*best, *found], key=lambda p: (-p[0], p[1]))[:k]
-        return best
+        return raw / math.sqrt(float(raw @ raw) + other * self.unseen**2) if len(raw) else raw
+
+    def nearest(self, at, times, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+        return self.nearest_of([(at, times, 0.0)], k)[0]
+
+    def nearest_of(self, queries: list[tuple], k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
+        """The k nearest (cosine, vector) of each (word numbers, occurrence counts, other), best first; equal cosines by
+        vector number. Vectors without a common word are not near."""
+        if not self.size:
+            return [[] for _ in queries]
+        if not self.made:
+            self._make()
+        asked = [(np.asarray(at, np.int64), self.weigh(at, times, other)) for at, times, other in queries]
+        scores = np.zeros((len(asked), self.size), np.float32)
+        for members, column, dense in zip(self.members, self.column, self.dense, strict=True):
+            left = np.zeros((len(asked), len(dense)), np.float32)
+            for i, (at, weight) in enumerate(asked):
+                seat = column[at]
+                left[i, seat[seat >= 0]] = weight[seat >= 0]
+            used = np.flatnonzero(left.any(axis=0))
+            if len(used):
+                scores[:, members] = left[:, used] @ dense[used] if len(used) < len(dense) * 0.9 else left @ dense
+        full = np.zeros(len(self.idf))
+        out = []
+        for (at, weight), score in zip(asked, scores, strict=True):
+            starts = self.starts[at]
+            many = self.starts[at + 1] - starts
+            for s, n, q in zip(starts[many >= _SHORT].tolist(), many[many >= _SHORT].tolist(), weight[many >= _SHORT].tolist(), strict=True):
+                score[self.posting[s : s + n]] += self.weight[s : s + n] * q
+            few = np.flatnonzero((many > 0) & (many < _SHORT))
+            if len(few):
+                n = many[few]
+                each = np.repeat(starts[few] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                score += np.bincount(self.posting[each], self.weight[each] * np.repeat(weight[few], n), self.size)
+            least = np.partition(score, self.size - k)[self.size - k] - _SLACK if k < self.size else 0.0
+            near = np.flatnonzero((score >= least) & (score > 0))
+            full[at] = weight
+            found = []
+            for x in near.tolist():
+                s, e = self.bounds[x], self.bounds[x + 1]
+                raw = (1.0 + np.log(self.times[s:e])) * self.idf[self.word[s:e]]
+                found.append((round(float(full[self.word[s:e]] @ raw) / self.lengths[x], 12), x))
+            full[at] = 0.0
+            out.append(sorted(found, key=lambda p: (-p[0], p[1]))[:k])
+        return out
 
     def vote(self, found: list[tuple[float, int]], prior: float, but: tuple[int, int] | None = None) -> float:
         """Toxic share of the neighbours' votes, each weighted by 1 / (distance + 0.05), with one vote of
@@ -169,6 +268,10 @@ class BlockMaxIndex:
         return bad / total
 
 
+#: The name under which the index was first known.
+BlockMaxIndex = ExampleIndex
+
+
 def _calibration(bins: list[tuple[int, int, int]], prior: float) -> np.ndarray:
     """Chance of label 1 per bin of raw votes: pooled adjacent violators over (bin, labels, toxic), each
     pool with two examples of the prior added; empty bins take the bin below."""
@@ -188,81 +291,64 @@ def _calibration(bins: list[tuple[int, int, int]], prior: float) -> np.ndarray:
 def score_toxicity(docs: DataFrame, labelled: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """``docs`` (``doc_id``, ``text``) with ``score``, ``predicted`` and ``evidence`` of every row.
 
-    ``labelled`` is the bounded sample of ``examples`` (``doc_id``, ``toxic``); its ids and its index are
-    broadcast (at most MAX_EXAMPLES vectors of at most MAX_WORDS words). The raw vote of the k
-    nearest examples is calibrated on the examples themselves, each scored without its own vote.
-    Evidence lists the nearest examples (doc_id, cosine, share of toxic labels among the examples
-    of that vector). A text with none of the telling words, as a null or empty one, gets the share of toxic
-    labels among examples like it and no evidence. With no examples every score is 0. Repeated rows are scored
-    each; other columns are not read.
+    ``labelled`` is the bounded sample of ``examples`` (``doc_id``, ``toxic``); its ids, its words and its index are
+    broadcast (at most MAX_EXAMPLES whole texts). The raw vote of the k nearest examples is calibrated on the
+    examples themselves, each scored without its own vote. Evidence lists the nearest examples (doc_id,
+    cosine, share of toxic labels among the examples of that vector). Every text with words is searched; its words
+    that no example holds count in its length, each as a word of one document. A text without words, as a null
+    or empty one, gets the share of toxic labels among examples like it and no evidence. With no examples every
+    score is 0. Repeated rows are scored each; other columns are not read.
     """
     sample = materialize(labelled.select("doc_id", "toxic"), "labelled")
     read = docs.select("doc_id", "text")
     # The sample has at most MAX_EXAMPLES rows by contract.
-    taught = read.join(F.broadcast(sample), "doc_id")
-    words = telling_words(taught)
-    vectors = materialize(counted(read, words), "vectors")
-    total = vectors.select(F.count("*")).head()[0]
-    df = np.zeros(len(words))
-    for r in vectors.select(F.explode("_at").alias("w")).groupBy("w").count().collect():
-        df[r[0]] = r[1]
-    idf = np.log((1 + total) / (1 + df)) + 1e-3
-    known = vectors.join(F.broadcast(sample), "doc_id")
-    merged = known.groupBy("_at", "_times").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"), F.min("doc_id").alias("doc")).collect()
-    all_bad, all_n = sum(r["bad"] for r in merged), sum(r["n"] for r in merged)
+    words, extra = words_of(read.join(F.broadcast(sample), "doc_id"))
+    vectors = materialize(counted(read.join(F.broadcast(sample), "doc_id", "left"), words), "vectors")
+    total = vectors.count()
+    idf = (np.log((1 + total) / (1 + document_counts(vectors, len(words)))) + 1e-3) * extra
+    known = vectors.filter("toxic is not null")
+    merged = known.groupBy("_at", "_times").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"), F.min("doc_id").alias("doc")).toArrow()
+    all_bad, all_n = (sum(merged.column(c).to_pylist()) for c in ("bad", "n"))
     prior = all_bad / all_n if all_n else 0.0
-    bare = [(r["bad"], r["n"]) for r in merged if not r["_at"]]
+    columns = [[np.frombuffer(v.as_buffer(), np.int32) for v in merged.column(c)] for c in ("_at", "_times")]
+    rows = list(zip(*columns, *(merged.column(c).to_pylist() for c in ("bad", "n", "doc")), strict=True))
+    bare = [(bad, n) for at, _, bad, n, _ in rows if not len(at)]
     plain = (bare[0][0] + prior) / (bare[0][1] + 1) if bare else prior
-    index = BlockMaxIndex([(r["_at"], r["_times"], r["bad"], r["n"], r["doc"]) for r in merged if r["_at"]], idf)
+    index = ExampleIndex([r for r in rows if len(r[0])], idf, unseen=math.log((1 + total) / 2) + 1e-3 if total else 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        number = {}
-        for batch in batches:
-            out, label = [], []
-            for at, times, toxic in zip(batch.column("_at").to_pylist(), batch.column("_times").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                if not at:
-                    continue
-                key = (tuple(at), tuple(times))
-                if key not in number:
-                    if len(number) > _CACHE:
-                        number.clear()
-                    found = own.nearest(at, times, k)
-                    mine = next((x for c, x in found if c > 1 - 1e-9), None)
-                    number[key] = found, mine
-                found, mine = number[key]
-                out.append(min(BINS - 1, int(BINS * own.vote(found, prior, (mine, toxic) if mine is not None else None))))
-                label.append(toxic)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), pa.array(label, pa.int32())], ["bin", "toxic"])
-
-    bins = known.select("_at", "_times", "toxic").mapInArrow(raw, "bin int, toxic int").groupBy("bin").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
-    table_of = _calibration([tuple(r) for r in bins.collect()], prior)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        cache: dict[tuple, tuple[float, list]] = {}
-        for batch in batches:
-            scores, evidence = [], []
-            for at, times in zip(batch.column("_at").to_pylist(), batch.column("_times").to_pylist(), strict=True):
-                if not at or not own.size:
-                    scores.append(plain), evidence.append([])
-                    continue
-                key = (tuple(at), tuple(times))
-                if key not in cache:
-                    if len(cache) > _CACHE:
-                        cache.clear()
-                    found = own.nearest(at, times, k)
-                    chance = float(table_of[min(BINS - 1, int(BINS * own.vote(found, prior)))])
+        cache: dict[tuple, tuple] = {}
+        for whole in batches:
+            for first in range(0, whole.num_rows, _QUERIES):
+                batch = whole.slice(first, _QUERIES)
+                keys = list(zip(*(batch.column(c).to_pylist() for c in ("_at", "_times", "_other")), strict=True))
+                if len(cache) > _CACHE:
+                    cache.clear()
+                new = [key for key in dict.fromkeys(keys) if key not in cache]
+                asked = [(np.frombuffer(at, np.int32), np.frombuffer(times, np.int32), other) for at, times, other in new]
+                for key, found in zip(new, own.nearest_of(asked, k), strict=True):
                     told = [{"doc_id": own.docs[x], "cosine": min(c, 1.0), "toxic_share": own.bad[x] / own.votes[x]} for c, x in found[:5]]
-                    cache[key] = chance, told
-                chance, told = cache[key]
-                scores.append(chance), evidence.append(told)
-            arrow = pa.list_(pa.struct([("doc_id", batch.column("doc_id").type), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, arrow)], ["doc_id", "score", "evidence"])
+                    mine = next((x for c, x in found if c > 1 - 1e-9), None)
+                    votes = [own.vote(found, prior, but) for but in (None, *(((mine, t) if mine is not None else None) for t in (0, 1)))]
+                    cache[key] = [min(BINS - 1, int(BINS * v)) for v in votes], told
+                toxic = batch.column("toxic").to_pylist()
+                bins = [cache[key][0][0] if key[0] or key[2] else None for key in keys]
+                without = [cache[key][0][1 + t] if t is not None and key[0] else None for key, t in zip(keys, toxic, strict=True)]
+                arrow = pa.list_(pa.struct([("doc_id", batch.column("doc_id").type), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(toxic, pa.int32()), pa.array(bins, pa.int32()), pa.array(without, pa.int32()), pa.array([cache[key][1] for key in keys], arrow)],
+                    ["doc_id", "toxic", "bin", "without", "evidence"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    judged = vectors.mapInArrow(judge, f"doc_id {kind}, score double, evidence array<struct<doc_id:{kind},cosine:double,toxic_share:double>>")
+    evidence = f"evidence array<struct<doc_id:{kind},cosine:double,toxic_share:double>>"
+    searched = materialize(vectors.mapInArrow(search, f"doc_id {kind}, toxic int, bin int, without int, {evidence}"), "searched")
+    bins = searched.filter("without is not null").groupBy("without").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    table_of = _calibration([tuple(r) for r in bins.collect()], prior)
+    chance = F.element_at(F.array(*[F.lit(float(v)) for v in table_of]), F.col("bin") + 1)
+    judged = searched.select("doc_id", F.coalesce(chance, F.lit(plain)).alias("score"), "evidence")
     return judged.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

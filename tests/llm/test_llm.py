@@ -301,6 +301,18 @@ def test_toxicity_on_held_out_rows(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in held)
 
 
+def test_toxicity_searches_whole_texts(spark):
+    texts = ["alpha beta gamma delta", "one two three four", "five six seven eight", "alpha beta gamma delta", "omega alpha", "nothing shared here"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    taught = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(frame, taught).collect()}
+    assert [(e["doc_id"], e["cosine"]) for e in got[3]["evidence"]] == [(0, 1.0)]
+    assert got[3]["score"] == got[0]["score"] and [e["doc_id"] for e in got[4]["evidence"]] == [0]
+    words, extra = toxicity.words_of(frame.join(taught, "doc_id"))
+    assert len(words) == 12 and all(extra >= 1)
+    assert 0 < got[4]["evidence"][0]["cosine"] < 1 and got[5]["evidence"] == []
+
+
 def test_block_max_search_is_exact():
     import numpy as np
 
