@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 
 from firn.llm.lines import query, table
 
-HINTS = ("licen", "permission", "redistribut", "warrant", "copyright", "spdx", "all rights", "public domain")
+# Every known sentence holds one of these once it is normalised, so nothing is skipped that a pattern could find.
+HINTS = ("licen", "permission", "redistribut", "warrant", "copyright", "spdx", "all rights", "public domain", " cc", "creative commons", "endorse", " as is")
 _SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?](?=\S)|\n(?!\s*\n))+[.!?]*")
 _LEADER = re.compile(r"(?m)^[ \t]*(?://+|#+|/\*+|\*+/?|--+|;+|<!--)[ \t]*")
 _NOISE = re.compile(r"[\"'`‘’“”()]")
@@ -20,7 +21,7 @@ _V = r"(?:,? ?(?:version|v\.?)? ?)(?P<v>\d+(?:\.\d+)?)?(?: of the license)?(?P<l
 
 # Known sentences: identifier and pattern over the normalised sentence (lower case, one blank, no quotes or brackets).
 SENTENCES = [(name, re.compile(pattern)) for name, pattern in (
-    ("spdx", r"spdx-license-identifier: ?(?P<v>[a-z0-9.+-]+)"),
+    ("spdx", r"spdx-license-identifier: ?(?P<v>[a-z0-9.+:-]+)"),
     ("apache-name", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?apache license" + _V),
     ("apache-comply", r"you may not use this (?:file|work|software) except in compliance with the license"),
     ("apache-asis", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis"),
@@ -72,9 +73,17 @@ RULES = (
 _ASIDE = {"copyright", "reserved"}
 
 
+# The rest of an SPDX expression, whose signs are upper case: each operand is a licence of its own.
+_SPDX = re.compile(r"(?i:spdx-license-identifier): ?((?i:[a-z0-9.+:-]+)(?: (?:AND|OR|WITH) (?i:[a-z0-9.+:-]+))*)")
+
+
+def _plain(sentence: str) -> str:
+    return _GAP.sub(" ", _NOISE.sub("", _LEADER.sub("", sentence))).strip()
+
+
 def normalise(sentence: str) -> str:
     """Lower case, comment signs, quotes and brackets gone, white space collapsed."""
-    return _GAP.sub(" ", _NOISE.sub("", _LEADER.sub("", sentence))).strip().lower()
+    return _plain(sentence).lower()
 
 
 def _version(match: re.Match) -> str:
@@ -86,22 +95,32 @@ def _version(match: re.Match) -> str:
     return version
 
 
+def _known(sentence: str) -> list[tuple[str, str]]:
+    """(identifier, version) of all known sentences in a sentence, in order, each once."""
+    low = sentence.lower()
+    found = [(m.start(), n, name, _version(m)) for n, (name, pattern) in enumerate(SENTENCES) if name != "spdx" for m in pattern.finditer(low)]
+    for m in _SPDX.finditer(sentence):
+        found += [(m.start(), n, "spdx", x.rstrip(".").upper()) for n, x in enumerate(re.split(" (?:AND|OR) ", m.group(1)))]
+    return list(dict.fromkeys(f[2:] for f in sorted(found)))
+
+
 def recognise(text: str) -> tuple[list[dict], list[str], bool]:
     """Licences found (name, start, end in code points), sentence identifiers in order, and whether a sentence
     speaks of a licence but is not known."""
-    low = text.lower()
+    low = normalise(text)
     if not any(h in low for h in HINTS):
         return [], [], False
     marks: list[tuple[str, str, int, int]] = []
     unknown = False
     for part in _SENTENCE.finditer(text):
-        sentence = normalise(part.group())
-        if not any(h in sentence for h in HINTS) and " as is" not in sentence:
+        sentence = _plain(part.group())
+        low = sentence.lower()
+        if not any(h in low for h in HINTS):
             continue
-        known = [(name, _version(m)) for name, pattern in SENTENCES if (m := pattern.search(sentence))]
+        known = _known(sentence)
         start = part.end() - len(part.group().lstrip())
         marks += [(name, version, start, part.end()) for name, version in known]
-        unknown |= not known and "licen" in sentence
+        unknown |= not known and "licen" in low
     found, at = [], 0
     while at < len(marks):
         for licence, needs in RULES:

@@ -394,6 +394,36 @@ def test_licence_sentences(text, licences, unknown):
     assert all(text[f["start"] : f["end"]].strip() for f in found)
 
 
+@pytest.mark.parametrize("text,licences", [
+    ("This dataset is available under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+    ("Released under Creative\n# Commons Attribution 4.0.", ["CC-BY-4.0"]),
+    ("Placed in the public\n// domain.", ["public-domain"]),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["APACHE-2.0", "MIT"]),
+    ("SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 OR MIT) AND ISC", ["GPL-2.0-ONLY WITH CLASSPATH-EXCEPTION-2.0", "ISC", "MIT"]),
+    ("SPDX-License-Identifier: MIT and more", ["MIT"]),
+    ("Licensed under CC BY 4.0 or available under CC BY-NC 4.0.", ["CC-BY-4.0", "CC-BY-NC-4.0"]),
+])
+def test_licences_without_the_word_and_several_in_a_sentence(text, licences):
+    found, _, odd = licenses.recognise(text)
+    assert (sorted({f["licence"] for f in found}), odd) == (licences, False)
+
+
+@pytest.mark.parametrize("name,sentence", [
+    ("spdx", "SPDX-License-Identifier: MIT"), ("apache-name", "Licensed under the Apache License"), ("apache-comply", "You may not use this file except in compliance with the License"),
+    ("apache-asis", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis"),
+    ("apache-see", "See the License for the specific language governing permissions and limitations"), ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies"), ("asis", "This software is provided \"as\nis\""), ("mit-name", "Released under the MIT licence"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"), ("bsd-source", "Redistributions of source code must retain the above copyright notice"),
+    ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice"), ("bsd-endorse", "Neither the name of the firm may be used to endorse or promote products"), ("bsd-name", "Released under a 3-clause BSD license"),
+    ("agpl", "Released under the GNU Affero General Public License"), ("lgpl", "Released under the GNU Lesser General Public License"), ("gpl", "Released under the GNU General Public License"),
+    ("gpl-nowarranty", "This program is distributed in the hope that it will be useful, but without any warranty"), ("mpl", "Subject to the terms of the Mozilla Public License"), ("cc", "Released under CC BY 4.0"),
+    ("public-domain", "Dedicated to the public domain"), ("copyright", "Copyright 2020 A"), ("reserved", "All\nrights reserved"),
+])
+def test_every_known_sentence_passes_the_prefilter(name, sentence):
+    assert name in licenses.recognise(sentence)[1] and name in [n for n, _ in licenses.SENTENCES]
+
+
 def test_pipeline_stages(spark, docs, local):
     import corpus_pipeline as pipeline
 
