@@ -117,8 +117,9 @@ def _set_hash(elements: np.ndarray) -> int:
     return int(mix(np.array([mix(elements).sum(dtype=_U) + _U(len(elements))], _U))[0].view(np.int64))
 
 
-def set_rows(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``_set``, the 64-bit hash of the shingle set (null if empty)."""
+def set_rows(docs: DataFrame, shingle: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``also``, ``n_shingles`` and ``_set``, the 64-bit hash of the shingle set (null if empty)."""
+    names = ["doc_id", *also]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,11 +128,11 @@ def set_rows(docs: DataFrame, shingle: int) -> DataFrame:
                 sizes.append(len(elements))
                 hashes.append(_set_hash(elements) if len(elements) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.int64())], ["doc_id", "n_shingles", "_set"]
+                [*map(batch.column, names), pa.array(sizes, pa.int64()), pa.array(hashes, pa.int64())], [*names, "n_shingles", "_set"]
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_shingles long, _set long")
+    kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
+    return docs.select(*names, "text").mapInArrow(rows, f"{kinds}, n_shingles long, _set long")
 
 
 def signature_rows(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -209,9 +210,9 @@ def _reach(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 
 def similar_components(
-    docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, cluster_elements: int = CLUSTER_ELEMENTS
+    docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, cluster_elements: int = CLUSTER_ELEMENTS, also: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (``doc_id``, ``text``).
+    """``doc_id``, ``n_shingles``, ``component_id`` and the columns ``also`` of every row of ``docs`` (``doc_id``, ``text``).
 
     Rows are linked when den * |A and B| >= num * |A or B| for their sets of distinct word shingles
     (words lower-cased in A-Z); a text with fewer words than a shingle has its whole sequence as
@@ -224,7 +225,7 @@ def similar_components(
     pair of chunks is searched, so one task holds at most two chunks or two longer sets. Every link
     is found; the bitmap of document ids only spares reading texts that have no partner.
     """
-    rows = materialize(set_rows(docs, shingle), "sets")
+    rows = materialize(set_rows(docs, shingle, also), "sets")
     by_signature = Window.partitionBy("_sig").orderBy("_set").rowsBetween(Window.unboundedPreceding, 0)
     hub = signature_rows(docs, shingle, num, den).withColumn("_hub", F.first("_set").over(by_signature))
     edges = materialize(hub.filter("_hub != _set").select(F.col("_hub").alias("src"), F.col("_set").alias("dst")).distinct(), "edges")
@@ -234,7 +235,7 @@ def similar_components(
     named = rooted.join(rooted.groupBy("_root").agg(F.min("_first").alias("component_id")), "_root").select("_set", "component_id")
     found = rows.join(named, "_set", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), *also)
 
 
 def _labels(docs, names, edges, shingle, num, den, cluster_elements) -> DataFrame:
@@ -309,11 +310,13 @@ def _lists(names: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
 def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """The rows of ``docs`` that name their component (the smallest doc_id), with all their columns.
 
-    Rows without words or without doc_id stay. Rows that repeat that doc_id stay with it.
+    Rows without words or without doc_id stay. Rows that repeat that doc_id in the same component stay with it; where
+    a doc_id stands on texts of several components, each row goes or stays by its own text.
     """
-    found = similar_components(docs, shingle, num, den)
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    found = similar_components(keyed, shingle, num, den, also=("_text_key",))
+    gone = found.filter("doc_id != component_id").select("doc_id", "_text_key").distinct()
+    return keyed.join(gone, ["doc_id", "_text_key"], "left_anti").select(*docs.columns)
 
 
 @query(

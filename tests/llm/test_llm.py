@@ -116,6 +116,12 @@ def test_jaccard_equals_brute_force(spark, shingle, num, den):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_one_of_each_when_a_doc_id_stands_on_two_texts(spark):
+    a, b = "one two three four five six", "red blue green white black brown"
+    frame = spark.createDataFrame([(5, a), (7, a), (5, b), (3, b)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.one_of_each(frame).collect())) == [(3, b), (5, a)]
+
+
 def test_signatures_share_for_every_similar_pair():
     import numpy as np
 
