@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["flat", "nested", "text", "bins", "timeline", "tables", "space", "signal"]
+MODULES = ["flat", "nested", "text", "bins", "timeline", "tables", "space", "likelihood", "signal"]
 
 
 def load_all() -> None:
