@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from firn.operators import histogram as h
 from firn.operators.learn import exponential_tail, unpivot
+from firn.operators.tails import fit_slices, tail_estimates, tail_scan
 from firn.plans.flat import FLAT_SQL, flat_events
 from firn.plans.registry import query, table
 
@@ -272,3 +273,56 @@ def _lsq_slope(spark, folder):
         F.round(F.regr_slope("l_extendedprice", "l_quantity"), 6).alias("slope"),
         F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 4).alias("intercept"),
     )
+
+
+_PRICES = h.Axis(60, 0.0, 480_000.0)
+_LIMIT = 250_000.0
+_SCAN_SQL = (
+    f"WITH f AS (SELECT o_orderpriority AS priority, {bin_sql('o_totalprice', _PRICES)} AS bin, count(*) * 1.0::DOUBLE AS content FROM orders GROUP BY 1, 2),"
+    f" c AS (SELECT *, (bin - 0.5::DOUBLE) * {_PRICES.width} AS c FROM f WHERE bin BETWEEN 1 AND {_PRICES.bins}),"
+    f" p AS (SELECT priority, bin, content, ln(content) AS y, m.model, CASE WHEN m.model = 'power' THEN ln(c) - ln({_LIMIT}) ELSE c - {_LIMIT} END AS x, CASE WHEN m.model = 'power' THEN ln({_LIMIT}) ELSE {_LIMIT} END AS o"
+    " FROM c, (VALUES ('exponential'), ('power')) m(model)),"
+    " s AS (SELECT priority, model, bin, o, count(*) OVER d AS bins, sum(content) OVER d AS s0, sum(content * x) OVER d AS sx, sum(content * y) OVER d AS sy, sum(content * x * x) OVER d AS sxx,"
+    " sum(content * x * y) OVER d AS sxy, sum(content * y * y) OVER d AS syy FROM p WINDOW d AS (PARTITION BY priority, model ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)),"
+    " l AS (SELECT *, CASE WHEN bins >= 2 THEN (s0 * sxy - sx * sy) / nullif(s0 * sxx - sx * sx, 0) END AS slope FROM s), a AS (SELECT *, (sy - slope * sx) / s0 AS v FROM l),"
+    " r AS (SELECT *, CASE WHEN bins >= 3 THEN greatest(syy - v * sy - slope * sxy, 0) / (bins - 2) END AS chi FROM a),"
+    f" e AS (SELECT priority, model, CAST((bin - 1) * {_PRICES.width} AS DOUBLE) AS start, CAST(bins AS BIGINT) AS bins, slope, v - slope * o AS intercept, chi, coalesce(chi < 1.5, false) AS good, exp(v) AS at_threshold,"
+    f" CASE WHEN model = 'power' THEN CASE WHEN slope < -1 THEN exp(v) * {_LIMIT} / (-slope - 1) END ELSE CASE WHEN slope < 0 THEN exp(v) / -slope END END / {_PRICES.width} AS above FROM r)"
+)
+
+
+def _scan(spark: SparkSession, folder: str) -> DataFrame:
+    hist = h.hist1d(table(spark, folder, "orders"), F.col("o_totalprice"), _PRICES, by=["o_orderpriority"]).withColumnRenamed("o_orderpriority", "priority")
+    return tail_scan(hist, _PRICES, _LIMIT, ["priority"])
+
+
+@query(
+    "tail_scan",
+    _SCAN_SQL + " SELECT priority, model, start, bins, round(slope * 1000, 5) AS slope, round(intercept, 5) AS intercept, round(chi, 5) AS reduced_chi, round(at_threshold, 4) AS at_threshold, round(above, 3) AS above FROM e WHERE bins >= 4",
+)
+def _tail_scan(spark, folder):
+    """Exponential and power-law tail of order prices from every start bin of at least four non-empty bins, per priority."""
+    out = _scan(spark, folder).filter("bins >= 4")
+    return out.select(
+        "priority", "model", "start", "bins", F.round(F.col("slope") * 1000, 5).alias("slope"), F.round("intercept", 5).alias("intercept"),
+        F.round("reduced_chi", 5).alias("reduced_chi"), F.round("at_threshold", 4).alias("at_threshold"), F.round("above", 3).alias("above"),
+    )
+
+
+@query(
+    "tail_estimates",
+    _SCAN_SQL + " SELECT priority, model, count(*) AS fits, round(avg(above), 3) AS mean, round(stddev_pop(above), 3) AS spread, round(min(above), 3) AS lowest, round(max(above), 3) AS highest"
+    " FROM e WHERE bins >= 4 AND good AND above IS NOT NULL GROUP BY 1, 2",
+)
+def _tail_estimates(spark, folder):
+    """Entries expected above the threshold, over all starts with a good fit."""
+    found = tail_estimates(_scan(spark, folder).filter("bins >= 4"), ["priority"])
+    return found.select("priority", "model", "fits", *[F.round(c, 3).alias(c) for c in ("mean", "spread", "lowest", "highest")])
+
+
+@query("slice_fit")
+def _slice_fit(spark, folder):
+    """Gaussian of the price distribution in each slice of quantity."""
+    x, y = h.Axis(25, 0.0, 50.0), h.Axis(120, 0.0, 120_000.0)
+    hist = h.hist2d(table(spark, folder, "lineitem"), F.col("l_quantity"), F.col("l_extendedprice"), x, y)
+    return fit_slices(hist, y).select("bin_x", "bins", *[F.round(c, 4).alias(c) for c in ("height", "mean", "width", "reduced_chi")], "converged")
