@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+#: Spark deletes a query's shuffle files at its end where this is set.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session(app: str = "firn", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,11 +54,17 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once as Parquet in the scratch folder and read it back.
 
     Computed exactly once, columnar, and safe against executor loss; downstream
-    plans see a plain scan with statistics instead of a growing lineage.
+    plans see a plain scan with statistics instead of a growing lineage. The shuffle files
+    behind it are deleted with the last task, as nothing can ask for them again.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     kept = spark.read.schema(df.schema).parquet(path)
     kept.scratch_path = path
     return kept
