@@ -7,14 +7,15 @@ part is cut into n2 > k2 pieces and every choice of n2 - k2 pieces gives one sig
 the set's elements in those pieces. Similar sets therefore share a signature, always.
 
 What shares a signature is only a candidate. Candidates are joined into clusters over signatures
-(a hub per signature, never all pairs), and each cluster is searched exactly: from every set not yet
-reached, the similarity to all others of the cluster is counted from posting lists.
+(a hub per signature, never all pairs). Similar sets also share one of their rarest shingles, so clusters
+are parted again by those, and each part is searched exactly: from every set not yet reached,
+the sets that share a rare shingle with it are counted against it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,10 +25,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from firn.llm.lines import query, table
 from firn.llm.words import mix, shingle_sets
 from firn.operators.spatial import components
-from firn.session import materialize
+from firn.session import discard, materialize
 
 BLOOM_BITS = 24
+RARITY_BITS = 16
 CLUSTER_ELEMENTS = 2_000_000
+CLUSTER_SETS = 50_000
+#: Signatures are shuffled in so many shares, one after the other: less disk, more hashing, the same result.
+PASSES = 2
+HELD_KEYS = 1 << 20
 SMALL_K = 6
 _LEVELS = 6
 _SEEN_SETS = 1 << 20
@@ -135,36 +141,69 @@ def set_rows(docs: DataFrame, shingle: int, also: tuple[str, ...] = ()) -> DataF
     return docs.select(*names, "text").mapInArrow(rows, f"{kinds}, n_shingles long, _set long")
 
 
-def signature_rows(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """(``_sig``, ``_set``) of all texts. A task leaves out sets that it has just handed on (it
-    remembers a million), so copies are combined before the shuffle."""
+class _Hubs:
+    """Keys of sets in one task. A flush gives each key once, with one of its sets (the hub), and ties the other
+    sets that hold the key to the hub, so a key of very many sets leaves a task as one row."""
+
+    def __init__(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.names: list[int] = []
+        self.held = 0
+
+    def add(self, name: int, keys: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.names.append(name)
+        self.held += len(keys)
+
+    def flush(self) -> pa.RecordBatch:
+        keys = np.concatenate([np.empty(0, _U), *self.keys])
+        sets = np.repeat(np.array(self.names, np.int64), [len(k) for k in self.keys])
+        order = np.argsort(keys, kind="stable")
+        keys, sets = keys[order], sets[order]
+        opens = np.ones(len(keys), bool)
+        opens[1:] = keys[1:] != keys[:-1]
+        hubs = sets[opens][np.cumsum(opens) - 1]
+        tied = np.unique(np.stack((hubs, sets), axis=1)[hubs != sets], axis=0)
+        self.keys, self.names, self.held = [], [], 0
+        out_keys = np.concatenate((keys[opens].view(np.int64), tied[:, 1]))
+        out_sets = np.concatenate((sets[opens], tied[:, 1]))
+        out_hubs = pa.array(np.concatenate((np.zeros(opens.sum(), np.int64), tied[:, 0])), mask=np.arange(len(out_keys)) < opens.sum())
+        return pa.RecordBatch.from_arrays([pa.array(out_keys), pa.array(out_sets), out_hubs], ["_key", "_set", "_hub"])
+
+
+def _distinct_sets(texts: Iterator[pa.Array], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(set hash, elements) of the non-empty sets of a task's texts; sets just handed on are left out (a million are remembered)."""
+    seen: set[int] = set()
+    for column in texts:
+        for elements in shingle_sets(column, shingle):
+            if not len(elements) or (name := _set_hash(elements)) in seen:
+                continue
+            if len(seen) >= _SEEN_SETS:
+                seen.clear()
+            seen.add(name)
+            yield name, elements
+
+
+def signature_rows(docs: DataFrame, shingle: int, num: int, den: int, passes: int = 1, share: int = 0) -> DataFrame:
+    """(``_key``, ``_set``, ``_hub``) of the signatures of all texts whose remainder by ``passes`` is ``share``, combined in each task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(num, den), set()
-        held: list[np.ndarray] = []
-        owners: list[int] = []
+        bands, hubs = Bands(num, den), _Hubs()
+        for name, elements in _distinct_sets((b.column("text") for b in batches), shingle):
+            found = signatures(elements, bands)
+            hubs.add(name, found[(found >> _U(32)) % _U(passes) == share] if passes > 1 else found)
+            if hubs.held >= HELD_KEYS:
+                yield hubs.flush()
+        yield hubs.flush()
 
-        def out() -> pa.RecordBatch:
-            owner = np.repeat(np.array(owners, np.int64), [len(h) for h in held])
-            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(owner)], ["_sig", "_set"])
-            held.clear(), owners.clear()
-            return batch
+    return docs.select("text").mapInArrow(rows, "_key long, _set long, _hub long")
 
-        for batch in batches:
-            for elements in shingle_sets(batch.column("text"), shingle):
-                if not len(elements) or (name := _set_hash(elements)) in seen:
-                    continue
-                if len(seen) >= _SEEN_SETS:
-                    seen.clear()
-                seen.add(name)
-                held.append(np.unique(signatures(elements, bands)))
-                owners.append(name)
-                if len(held) >= 512:
-                    yield out()
-        if held:
-            yield out()
 
-    return docs.select("text").mapInArrow(rows, "_sig long, _set long")
+def _hub_edges(keyed: DataFrame) -> DataFrame:
+    """Edges (``src``, ``dst``) that join the sets of each key; a key has at most one row for each flush of a task."""
+    of_key = Window.partitionBy("_key").orderBy("_set").rowsBetween(Window.unboundedPreceding, 0)
+    joined = keyed.withColumn("_src", F.coalesce("_hub", F.first("_set").over(of_key)))
+    return joined.filter("_src != _set").select(F.col("_src").alias("src"), F.col("_set").alias("dst")).distinct()
 
 
 def _bloom(ids: DataFrame, bits: int) -> np.ndarray:
@@ -177,40 +216,78 @@ def _bloom(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All indices of the ranges that start at ``starts`` and have ``counts`` members, one after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _prefix(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many of a set's elements, rarest first, hold at least one that each similar set has among its own so many."""
+    return sizes - (num * sizes + den - 1) // den + 1
+
+
 def _reach(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Label of each set: the first set of its component of links with similarity >= num / den.
 
-    Breadth-first: overlaps of one set with all unreached ones are counted from posting lists.
+    Breadth-first. A set meets only unreached ones that share an element of both prefixes; the posting lists
+    are made anew when half of their sets are reached, so reached sets cost nothing later.
     """
     sizes = np.array([len(s) for s in sets])
-    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    values, codes, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(values))
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(codes, kind="stable")
-    posting = owner[order]
-    post_at = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=len(values)))))
+    codes = rank[codes]
+    codes = codes[np.lexsort((codes, owner))]
+    reach = _prefix(sizes, num, den)
+    at = _ranges(bounds[:-1], reach)
+    prefix_code, prefix_owner = codes[at], owner[at]
+    order = np.argsort(prefix_code, kind="stable")
+    prefix_code, prefix_owner = prefix_code[order], prefix_owner[order]
     label = np.full(len(sets), -1)
+    mark = np.zeros(len(values), bool)
+    indexed = left = len(sets)
     for start in range(len(sets)):
         if label[start] >= 0:
             continue
         label[start] = start
+        left -= 1
         todo = [start]
-        while todo:
+        while todo and left:
+            if 2 * left < indexed:
+                open_ = label[prefix_owner] < 0
+                prefix_code, prefix_owner, indexed = prefix_code[open_], prefix_owner[open_], left
             one = todo.pop()
             own = codes[bounds[one] : bounds[one + 1]]
-            lists = [posting[post_at[c] : post_at[c + 1]] for c in own]
-            common = np.bincount(np.concatenate(lists), minlength=len(sets))
-            linked = (label < 0) & (den * common >= num * (sizes[one] + sizes - common))
-            found = np.flatnonzero(linked)
+            asked = own[: reach[one]]
+            first = np.searchsorted(prefix_code, asked)
+            met = prefix_owner[_ranges(first, np.searchsorted(prefix_code, asked, "right") - first)]
+            met = met[(label[met] < 0) & (den * sizes[met] >= num * sizes[one]) & (den * sizes[one] >= num * sizes[met])]
+            if not len(met):
+                continue
+            met = np.unique(met)
+            mark[own] = True
+            shared = mark[codes[_ranges(bounds[met], sizes[met])]]
+            common = np.add.reduceat(shared, np.cumsum(sizes[met]) - sizes[met], dtype=np.int64)
+            mark[own] = False
+            found = met[den * common >= num * (sizes[one] + sizes[met] - common)]
             label[found] = start
+            left -= len(found)
             todo += found.tolist()
-            if (label >= 0).all():
-                break
     return label
 
 
 def similar_components(
-    docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, cluster_elements: int = CLUSTER_ELEMENTS, also: tuple[str, ...] = ()
+    docs: DataFrame,
+    shingle: int = 5,
+    num: int = 8,
+    den: int = 10,
+    cluster_elements: int = CLUSTER_ELEMENTS,
+    also: tuple[str, ...] = (),
+    passes: int = PASSES,
+    cluster_sets: int = CLUSTER_SETS,
 ) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and the columns ``also`` of every row of ``docs`` (``doc_id``, ``text``).
 
@@ -221,16 +298,16 @@ def similar_components(
     (unless all its ids are null). Repeated rows are linked to each other. Other columns are not read; an empty
     table gives an empty result.
 
-    Copies count as one set. A cluster is searched band by band and cut into chunks of ``cluster_elements`` shingles and every
-    pair of chunks is searched, so one task holds at most two chunks or two longer sets. Every link
-    is found; the bitmap of document ids only spares reading texts that have no partner.
+    Copies count as one set. A cluster is cut into chunks of about ``cluster_elements`` shingles and ``cluster_sets`` sets,
+    each searched together with one set of the whole cluster. Sets that this does not join to the cluster's largest group
+    then meet all chunks, so one task holds about two chunks or two longer sets. Every link is found; the
+    bitmap of document ids only spares reading texts that have no partner. Signatures are shuffled in ``passes`` shares.
     """
     rows = materialize(set_rows(docs, shingle, also), "sets")
-    by_signature = Window.partitionBy("_sig").orderBy("_set").rowsBetween(Window.unboundedPreceding, 0)
-    hub = signature_rows(docs, shingle, num, den).withColumn("_hub", F.first("_set").over(by_signature))
-    edges = materialize(hub.filter("_hub != _set").select(F.col("_hub").alias("src"), F.col("_set").alias("dst")).distinct(), "edges")
+    shares = [materialize(_hub_edges(signature_rows(docs, shingle, num, den, passes, i)), "edges") for i in range(passes)]
+    edges = reduce(DataFrame.unionByName, shares)
     names = rows.filter("_set is not null").groupBy("_set").agg(F.min("doc_id").alias("_first"), F.max("n_shingles").alias("_size"))
-    labels = _labels(docs, names, edges, shingle, num, den, cluster_elements)
+    labels = _labels(docs, names, edges, shingle, num, den, cluster_elements, cluster_sets)
     rooted = names.join(labels, "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
     named = rooted.join(rooted.groupBy("_root").agg(F.min("_first").alias("component_id")), "_root").select("_set", "component_id")
     found = rows.join(named, "_set", "left")
@@ -238,58 +315,87 @@ def similar_components(
     return found.select("doc_id", "n_shingles", component.alias("component_id"), *also)
 
 
-def _labels(docs, names, edges, shingle, num, den, cluster_elements) -> DataFrame:
+def _labels(docs, names, edges, shingle, num, den, cluster_elements, cluster_sets) -> DataFrame:
     """(``_set``, ``_root``): exact components among the sets that share signatures."""
     clusters = materialize(components(edges).select(F.col("id").alias("_set"), F.col("label").alias("_cluster")), "clusters")
-    members = clusters.join(names, "_set")
-    bands = Bands(num, den)
-    bands.of(members.agg(F.coalesce(F.max("_size"), F.lit(1))).head()[0])
-    own = F.size(F.filter(F.array(*[F.lit(u) for u in bands.upper]), lambda u: u < F.col("_size")))
-    # A set meets the sets of its own band and of both neighbours: those of its band and the next as ``own``,
-    # those of its band and the one below as ``own - 1``.
-    members = members.withColumn("_band", F.explode(F.array_distinct(F.array(own, F.greatest(own - 1, F.lit(1))))))
-    whole = members.groupBy("_cluster", "_band").agg(F.ceil(F.sum("_size") / cluster_elements).cast("int").alias("_chunks"), F.count("*").alias("_sets"))
-    members = materialize(members.join(whole.filter("_sets > 1").drop("_sets"), ["_cluster", "_band"]), "members")
-    sets = _sets_of(docs, members, shingle)
+    candidates = _Asked(docs, clusters.join(names, "_set"), shingle)
+    rare = materialize(_hub_edges(_rare_rows(candidates, num, den)), "rare")
+    parts = components(rare).select(F.col("id").alias("_set"), F.col("label").alias("_part"))
+    members = materialize(clusters.join(parts, "_set").join(names, "_set"), "parts")
+    group = ["_cluster", "_part"]
+    needed = F.greatest(F.ceil(F.sum("_size") / cluster_elements), F.ceil(F.count("*") / cluster_sets)).cast("int")
+    whole = members.groupBy(*group).agg(needed.alias("_chunks"), F.min("_set").alias("_pivot"), F.count("*").alias("_sets"))
+    members = materialize(members.join(whole.filter("_sets > 1").drop("_sets"), group), "members")
     chunk = F.pmod(F.xxhash64("_set"), F.col("_chunks")).cast("int")
-    placed = sets.join(members.select("_set", "_cluster", "_band", "_chunks"), "_set").withColumn("_chunk", chunk)
-    other = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
-    spread = placed.select("_cluster", "_band", "_set", "_elements", "_chunk", other.alias("_other"))
-    paired = spread.select("_cluster", "_band", "_set", "_elements", F.least("_chunk", "_other").alias("_a"), F.greatest("_chunk", "_other").alias("_b"))
+    held = _Asked(docs, members, shingle).lists().join(members.select("_set", *group, "_chunks", "_pivot"), "_set")
+    lists = materialize(held.withColumn("_chunk", chunk), "lists")
 
     def search(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         ids = np.asarray(group.column("_set"))
-        _, keep = np.unique(ids, return_index=True)
-        lists = group.column("_elements").chunk(0) if group.num_rows else []
-        sets = [np.asarray(lists[int(i)].values) for i in keep]
-        ids = ids[keep]
-        label = _reach(sets, num, den)
+        ids, keep = np.unique(ids, return_index=True)
+        elements = group.column("_elements").chunk(0) if group.num_rows else []
+        label = _reach([np.asarray(elements[int(i)].values) for i in keep], num, den)
         linked = label != np.arange(len(ids))
         return pa.table({"src": pa.array(ids[label[linked]]), "dst": pa.array(ids[linked])})
 
-    links = materialize(paired.groupBy("_cluster", "_band", "_a", "_b").applyInArrow(search, "src long, dst long"), "links")
-    return components(links).select(F.col("id").alias("_set"), F.col("label").alias("_root"))
-
-
-def _sets_of(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """(``_set``, ``_elements``) of the cluster members, from the first document of each set."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(members.select(F.col("_first").alias("doc_id")), BLOOM_BITS))
-    shift = 64 - BLOOM_BITS
-    asked = docs.select("text", F.shiftrightunsigned(F.xxhash64("doc_id"), shift).alias("_at"))
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            at = np.asarray(batch.column("_at"))
-            texts = batch.column("text").filter(pa.array((bits.value[at >> 6] >> (at & 63)) & 1 == 1))
+    every = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
+    pivots = lists.filter("_chunks > 1 and _set = _pivot").select(*group, every.alias("_chunk"), "_set", "_elements")
+    near = lists.select(*group, "_chunk", "_set", "_elements").unionByName(pivots)
+    links = materialize(near.groupBy(*group, "_chunk").applyInArrow(search, "src long, dst long"), "links")
+    cut = members.filter("_chunks > 1")
+    if not cut.isEmpty():
+        across = _across(cut, lists, links, group, cluster_elements, cluster_sets)
+        found = across.groupBy(*group, "_chunk", "_other").applyInArrow(search, "src long, dst long")
+        links = links.unionByName(materialize(found, "links"))
+    labels = materialize(components(links).select(F.col("id").alias("_set"), F.col("label").alias("_root")), "labels")
+    for done in (clusters, rare, members, lists):
+        discard(done)
+    return labels
+
+
+def _across(cut: DataFrame, lists: DataFrame, links: DataFrame, group: list[str], cluster_elements: int, cluster_sets: int) -> DataFrame:
+    """Rows of the pairs of chunks still to be searched: each chunk of a part against the sets outside the part's largest
+    group of linked sets, which are dealt to chunks (``_other``) of their own. Sets of the largest group need not meet again."""
+    joined = components(links).select(F.col("id").alias("_set"), F.col("label").alias("_group"))
+    grouped = cut.join(joined, "_set", "left").withColumn("_group", F.coalesce("_group", "_set"))
+    sizes = grouped.groupBy(*group, "_group").count()
+    largest = sizes.groupBy(*group).agg(F.max_by("_group", F.struct("count", "_group")).alias("_most"))
+    outside = grouped.join(largest, group).filter("_group != _most").select(*group, "_set", "_size")
+    needed = F.greatest(F.ceil(F.sum("_size") / cluster_elements), F.ceil(F.count("*") / cluster_sets)).cast("int")
+    outside = materialize(outside, "outside")
+    others = outside.groupBy(*group).agg(needed.alias("_others"))
+    spread = lists.join(others, group)
+    columns = [*group, "_chunk", "_other", "_set", "_elements"]
+    at_home = spread.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_others") - 1))).select(*columns)
+    guests = spread.join(outside.select("_set"), "_set", "left_semi").withColumn("_other", F.pmod(F.xxhash64("_set", F.lit(1)), F.col("_others")).cast("int"))
+    guests = guests.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select(*columns)
+    return at_home.unionByName(guests)
+
+
+class _Asked:
+    """The shingle sets of the first document of each of ``members`` (and of a few more that the bitmap lets through)."""
+
+    def __init__(self, docs: DataFrame, members: DataFrame, shingle: int) -> None:
+        bits = docs.sparkSession.sparkContext.broadcast(_bloom(members.select(F.col("_first").alias("doc_id")), BLOOM_BITS))
+        self.docs = docs.select("text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BLOOM_BITS).alias("_at"))
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+            at = ((b, np.asarray(b.column("_at"))) for b in batches)
+            return _distinct_sets((b.column("text").filter(pa.array((bits.value[i >> 6] >> (i & 63)) & 1 == 1)) for b, i in at), shingle)
+
+        self.sets = sets
+
+    def map(self, rows, schema: str) -> DataFrame:
+        return self.docs.mapInArrow(rows, schema)
+
+    def lists(self) -> DataFrame:
+        """(``_set``, ``_elements``)."""
+        sets = self.sets
+
+        def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, values = [], []
-            for found in shingle_sets(texts, shingle):
-                if not len(found) or (name := _set_hash(found)) in seen:
-                    continue
-                if len(seen) >= _SEEN_SETS:
-                    seen.clear()
-                seen.add(name)
+            for name, found in sets(batches):
                 names.append(name)
                 values.append(found.view(np.int64))
                 if len(names) >= 256:
@@ -298,7 +404,40 @@ def _sets_of(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
             if names:
                 yield _lists(names, values)
 
-    return asked.mapInArrow(elements, "_set long, _elements array<long>")
+        return self.map(elements, "_set long, _elements array<long>")
+
+
+def _bucket(elements: np.ndarray) -> np.ndarray:
+    return (mix(elements) >> _U(64 - RARITY_BITS)).astype(np.int64)
+
+
+def _rare_rows(asked: _Asked, num: int, den: int) -> DataFrame:
+    """(``_key``, ``_set``, ``_hub``) of the prefixes of the asked sets. Shingles are ordered by the count of their bucket (2**RARITY_BITS of
+    them, over all asked sets), then by hash: one order for all sets, so buckets that several shingles share cost only time."""
+    sets = asked.sets
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << RARITY_BITS, np.int64)
+        for _, elements in sets(batches):
+            held += np.bincount(_bucket(elements), minlength=len(held))
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], ["b", "n"])
+
+    counted = asked.map(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << RARITY_BITS, np.int64)
+    often[np.asarray(counted.column("b"))] = np.asarray(counted.column("n"))
+    shared = asked.docs.sparkSession.sparkContext.broadcast(often)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hubs = _Hubs()
+        for name, elements in sets(batches):
+            order = np.lexsort((elements, shared.value[_bucket(elements)]))
+            hubs.add(name, elements[order[: _prefix(np.array([len(elements)]), num, den)[0]]])
+            if hubs.held >= HELD_KEYS:
+                yield hubs.flush()
+        yield hubs.flush()
+
+    return asked.map(rows, "_key long, _set long, _hub long")
 
 
 def _lists(names: list[int], values: list[np.ndarray]) -> pa.RecordBatch:

@@ -122,6 +122,56 @@ def test_one_of_each_when_a_doc_id_stands_on_two_texts(spark):
     assert sorted(map(tuple, jaccard.one_of_each(frame).collect())) == [(3, b), (5, a)]
 
 
+@pytest.mark.parametrize("num,den", [(8, 10), (1, 2)])
+def test_search_of_a_cluster_equals_brute_force(num, den):
+    import numpy as np
+
+    draw = random.Random(11)
+    for _ in range(60):
+        base = [{draw.getrandbits(64) for _ in range(draw.randrange(1, 30))} for _ in range(4)]
+        sets = {}
+        for i in range(40):
+            s = set(draw.choice(base)) | (base[0] if draw.random() < 0.2 else set())
+            for _ in range(draw.randrange(4)):
+                s.discard(draw.choice(sorted(s))) if len(s) > 1 and draw.random() < 0.5 else s.add(draw.getrandbits(64))
+            sets[i] = s
+        label = jaccard._reach([np.array(sorted(s), np.uint64) for s in sets.values()], num, den)
+        assert dict(enumerate(label.tolist())) == brute_components(sets, num, den)
+
+
+def test_unlinked_texts_of_one_template_take_linear_work():
+    import time
+
+    import numpy as np
+
+    draw = random.Random(12)
+    template = [draw.getrandbits(64) for _ in range(14)]
+    sets = [np.unique(np.array(template + [draw.getrandbits(64) for _ in range(5)], np.uint64)) for _ in range(100_000)]
+    begun = time.monotonic()
+    assert (jaccard._reach(sets, 8, 10) == np.arange(len(sets))).all()
+    assert time.monotonic() - begun < 120
+
+
+@pytest.mark.parametrize("elements,members", [(300, 50_000), (10**6, 7), (150, 5)])
+def test_a_family_cut_into_chunks_equals_brute_force(spark, elements, members):
+    draw = random.Random(13)
+    texts = []
+    for _ in range(3):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(40)]
+        for i in range(60):
+            if i % 3 == 0:
+                words[draw.randrange(40)] = f"v{draw.randrange(10**6)}"
+            copy = list(words)
+            copy[draw.randrange(40)] = f"x{draw.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = {i: shingle_set(t, 3) for i, t in enumerate(texts)}
+    want = brute_components(sets, 8, 10)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for passes in (1, 3):
+        got = jaccard.similar_components(frame, 3, 8, 10, cluster_elements=elements, cluster_sets=members, passes=passes)
+        assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
 def test_signatures_share_for_every_similar_pair():
     import numpy as np
 
