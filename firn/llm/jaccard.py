@@ -450,12 +450,24 @@ def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10)
     """The rows of ``docs`` that name their component (the smallest doc_id), with all their columns.
 
     Rows without words or without doc_id stay. Rows that repeat that doc_id in the same component stay with it; where
-    a doc_id stands on texts of several components, each row goes or stays by its own text.
+    a doc_id stands on texts of several components, each row goes or stays by its own text. A bitmap of fixed size
+    lets most rows that stay pass without a shuffle; the others are settled by an exact join.
     """
     keyed = docs.withColumn("_text_key", F.xxhash64("text"))
     found = similar_components(keyed, shingle, num, den, also=("_text_key",))
-    gone = found.filter("doc_id != component_id").select("doc_id", "_text_key").distinct()
-    return keyed.join(gone, ["doc_id", "_text_key"], "left_anti").select(*docs.columns)
+    gone = materialize(found.filter("doc_id != component_id").select("doc_id", "_text_key").distinct(), "gone")
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom(gone, BLOOM_BITS))
+    placed = keyed.withColumn("_at", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BLOOM_BITS))
+
+    def marked(hit: bool) -> DataFrame:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.asarray(batch.column("_at"))
+                yield batch.filter(pa.array(((bits.value[at >> 6] >> (at & 63)) & 1 == 1) == hit))
+
+        return placed.mapInArrow(rows, placed.schema)
+
+    return marked(False).select(*docs.columns).union(marked(True).join(gone, ["doc_id", "_text_key"], "left_anti").select(*docs.columns))
 
 
 @query(
