@@ -2,14 +2,16 @@
 
 Examples are a bounded sample of labelled rows. The index holds every word of the distinct example
 vectors; inverse document frequencies are counted over all documents. Words whose presence tells about the
-label weigh more, no word is left out. All examples are scored for every text, and those that can be among
-the k nearest are scored again in double precision, so the k nearest are exact.
+label weigh more, no word is left out. The index skips blocks of examples whose largest weights cannot reach the
+k-th cosine; examples that can be among the k nearest are scored again in double precision, so the k nearest are exact.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,21 +20,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from firn.llm.lines import query, remainder, table
-from firn.session import materialize
+from firn.session import discard, materialize
 
 MAX_EXAMPLES = 40_000
 LEAST_PHI2 = 0.004
 TELLING = 8.0
 NEIGHBOURS = 15
-BLOCK = 12
+BLOCK = 32
 BINS = 64
 STEM = 5
 _WORD = re.compile(r"[^\W_]+")
-_HELD_WORDS = 200_000
-_CACHE = 100_000
+_CHUNK = 512
+_LANES = 16
+_ROWS = 65_536
+_CACHE = 20_000
 _QUERIES = 64
 _SLACK = 1e-5
 _GROUPS = 8
+_OFTEN = 16
+_GATHER = 4
+_LOOKS = 8
 _SHORT = 256
 
 
@@ -52,47 +59,104 @@ def _words(text: str | None) -> list[str]:
     return words + [w[:STEM] + "*" for w in words if len(w) > STEM]
 
 
-def words_of(texts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """All words of the (``text``, ``toxic``) rows, sorted, and how much more each weighs: 1, and up to 1 + TELLING for
-    words whose presence depends on the label (phi squared of at least LEAST_PHI2 over different texts, so that
-    copies don't make their rare words telling). What reaches the driver is the words of at most MAX_EXAMPLES texts."""
-    texts = texts.select("text", "toxic").dropDuplicates(["text", "toxic"])
+def _packed(numbers: np.ndarray) -> bytes:
+    """Counts as bytes where all are below 256, else as 32-bit numbers."""
+    return numbers.astype(np.uint8 if not len(numbers) or numbers.max() < 256 else np.int32).tobytes()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for toxic, c in enumerate(seen):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), pa.string()), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["word", "toxic", "n"]
-                )
-                c.clear()
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == size else np.int32)
 
-        for batch in batches:
-            for text, toxic in zip(batch.column("text"), batch.column("toxic"), strict=True):
-                seen[toxic.as_py()].update(set(_words(text.as_py())))
-                if len(seen[0]) + len(seen[1]) > _HELD_WORDS:
-                    yield from flush()
-        yield from flush()
-
-    sizes = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    by_word = texts.mapInArrow(count, "word string, toxic int, n long").groupBy("word").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")
-    )
-    told = by_word.toArrow()
-    words = told.column("word").to_pylist()
-    a, b = (np.asarray(told.column(c)).astype(float) for c in "ab")
+
+def _steps(at: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as differences, first all low bytes, last all high ones, which compresses well."""
+    return np.diff(at, prepend=np.int32(0)).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.int32).ravel(), dtype=np.int32)
+
+
+def example_vectors(texts: DataFrame) -> tuple[list[str], np.ndarray, list[tuple]]:
+    """Words, their factors and the distinct vectors of the (``doc_id``, ``text``, ``toxic``) rows.
+
+    Words are sorted by how many rows hold them. A word's factor is 1, and up to 1 + TELLING for words whose presence depends on
+    the label (phi squared of at least LEAST_PHI2 over different vectors, so that copies don't make their
+    rare words telling). Vectors are (word numbers, counts, toxic votes, votes, smallest doc_id). What reaches the
+    driver is the words of at most MAX_EXAMPLES texts, each once for every _CHUNK texts; no text is shuffled."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, _CHUNK):
+                batch = whole.slice(first, _CHUNK)
+                place: dict[str, int] = {}
+                at, times = [], []
+                for text in batch.column("text"):
+                    held = Counter(_words(text.as_py()))
+                    at.append(np.fromiter((place.setdefault(w, len(place)) for w in held), np.int32, len(held)).tobytes())
+                    times.append(_packed(np.fromiter(held.values(), np.int64, len(held))))
+                words = pa.array([list(place), *[None] * (batch.num_rows - 1)], pa.list_(pa.string()))
+                kept = [batch.column("doc_id"), batch.column("toxic").cast(pa.int32())]
+                yield pa.RecordBatch.from_arrays([*kept, words, pa.array(at, pa.binary()), pa.array(times, pa.binary())], ["doc_id", "toxic", "words", "at", "times"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    told = texts.select("doc_id", "text", "toxic").mapInArrow(code, f"doc_id {kind}, toxic int, words array<string>, at binary, times binary").toArrow()
+    number: dict[str, int] = {}
+    known = np.empty(0, np.int32)
+    read = []
+    for batch in told.to_batches():
+        # The rows of a chunk follow its words, in the order in which the task made them.
+        for doc, toxic, words, at, times in zip(*(batch.column(c) for c in ("doc_id", "toxic", "words", "at", "times")), strict=True):
+            if words.is_valid:
+                known = np.fromiter((number.setdefault(w, len(number)) for w in words.as_py()), np.int32)
+            own = known[np.frombuffer(at.as_py(), np.int32)]
+            read.append((doc.as_py(), toxic.as_py(), own, _unpacked(times.as_py(), len(own))))
+    del told
+    words = list(number)
+    rows = np.zeros(len(words), np.int64)
+    for _, _, at, _ in read:
+        rows[at] += 1
+    order = sorted(range(len(words)), key=lambda i: (-rows[i], words[i]))
+    rank = np.empty(len(words), np.int32)
+    rank[order] = np.arange(len(words), dtype=np.int32)
+    merged: dict[bytes, list] = {}
+    for doc, toxic, at, times in read:
+        at = rank[at]
+        sort = np.argsort(at)
+        at, times = at[sort], times[sort]
+        found = merged.setdefault(_digest(at.tobytes(), times.tobytes()), [at, times, 0, 0, doc])
+        found[2] += toxic
+        found[3] += 1
+        found[4] = min(found[4], doc)
+    sizes = np.zeros(2)
+    held = np.zeros((2, len(words)))
+    for at, _, bad, n, _ in merged.values():
+        for toxic in [0] * (bad < n) + [1] * (bad > 0):
+            sizes[toxic] += 1
+            held[toxic, at] += 1
+    (good, bad), (b, a) = sizes, held
     rest = (bad + good - a - b) * bad * good
     phi2 = np.divide((a * good - b * bad) ** 2, (a + b) * rest, out=np.zeros(len(words)), where=(a + b) * rest > 0)
     extra = 1.0 + TELLING * np.where(phi2 >= LEAST_PHI2, np.sqrt(phi2), 0.0)
-    order = sorted(range(len(words)), key=words.__getitem__)
-    return [words[i] for i in order], extra[order]
+    return [words[i] for i in order], extra, [tuple(v) for v in merged.values()]
+
+
+def words_of(texts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Words and factors of ``example_vectors``."""
+    return example_vectors(texts)[:2]
+
+
+def _digest(*parts: bytes) -> bytes:
+    whole = hashlib.blake2b(digest_size=16)
+    for part in parts:
+        whole.update(len(part).to_bytes(8, "little"))
+        whole.update(part)
+    return whole.digest()
 
 
 def counted(docs: DataFrame, words: list[str]) -> DataFrame:
-    """``docs`` with ``_at`` and ``_times``, which of ``words`` the whole text holds and how often (bytes of 32-bit numbers,
-    by word), and ``_other``, the sum of (1 + ln times) squared over its words outside ``words``."""
+    """``docs`` with ``_at`` and ``_times``, which of ``words`` the whole text holds and how often (in the forms of ``_steps``
+    and ``_packed``, by word), and ``_other``, the sum of (1 + ln times) squared over its words outside ``words``."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
     names = [c for c in docs.columns if c != "text"]
     place: dict[str, int] = {}
@@ -107,8 +171,8 @@ def counted(docs: DataFrame, words: list[str]) -> DataFrame:
                 keys = np.fromiter((place.get(w, -1) for w in held), np.int32, len(held))
                 often = np.fromiter(held.values(), np.int32, len(held))
                 order = np.argsort(keys)[np.count_nonzero(keys < 0) :]
-                at.append(keys[order].tobytes())
-                times.append(often[order].tobytes())
+                at.append(_steps(keys[order]))
+                times.append(_packed(often[order]))
                 other.append(float(((1.0 + np.log(often[keys < 0])) ** 2).sum()))
             kept = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(
@@ -120,29 +184,38 @@ def counted(docs: DataFrame, words: list[str]) -> DataFrame:
 
 
 def document_counts(vectors: DataFrame, size: int) -> np.ndarray:
-    """How many rows hold each of the ``size`` words."""
+    """How many rows hold each of the ``size`` words; tasks send _LANES counts a row."""
+    lanes = [f"n{i}" for i in range(_LANES)]
+    blocks = -(-size // _LANES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(size, np.int64)
+        held = np.zeros(blocks * _LANES, np.int64)
         for batch in batches:
             for at in batch.column("_at"):
-                held[np.frombuffer(at.as_buffer(), np.int32)] += 1
-        found = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(held[found])], ["w", "n"])
+                held[_ascending(at.as_py())] += 1
+        held = held.reshape(-1, _LANES)
+        found = np.flatnonzero(held.any(axis=1))
+        for first in range(0, len(found), _ROWS):
+            part = found[first : first + _ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(np.ascontiguousarray(held[part, i])) for i in range(_LANES))], ["b", *lanes])
 
-    counts = vectors.select("_at").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size)
-    out[np.asarray(counts.column("w"))] = np.asarray(counts.column("n"))
-    return out
+    counts = vectors.select("_at").mapInArrow(count, "b long, " + ", ".join(f"{n} long" for n in lanes)).groupBy("b").agg(*[F.sum(n).alias(n) for n in lanes]).toArrow()
+    out = np.zeros((blocks, _LANES))
+    for i, lane in enumerate(lanes):
+        out[np.asarray(counts.column("b")), i] = np.asarray(counts.column(lane))
+    return out.ravel()[:size]
 
 
-class ExampleIndex:
-    """Distinct example vectors: word by word for scoring all of them, and one by one for exact cosines.
+class BlockMaxIndex:
+    """Distinct example vectors under a block-max inverted index, and one by one for exact cosines.
 
     ``vectors`` are (word numbers, occurrence counts, toxic votes, votes, smallest doc_id); ``idf`` has the weight of
-    each word and ``unseen`` that of a word outside. Vectors are dealt to a few groups; words that at least one in
-    ``block`` of a group holds are columns of its dense block, the others have posting lists. Both are made where
-    they are first used.
+    each word and ``unseen`` that of a word outside. Vectors are dealt to a few groups and stand there in blocks of
+    ``block``. Words that at least one in _OFTEN of a group holds are frequent there: an entry of each block keeps the largest weight
+    of each frequent word, which bounds what they add to any cosine in the block. All other words have posting
+    lists, which are added up first. A block is then skipped where lists and bound together cannot reach the k-th
+    cosine known so far; in the others a vector is scored where its own frequent part is long enough for that.
+    ``met`` and ``skipped`` count the blocks of all searches. Everything is made where it is first used.
     """
 
     def __init__(self, vectors: list[tuple], idf: np.ndarray, block: int = BLOCK, unseen: float = 0.0) -> None:
@@ -154,38 +227,53 @@ class ExampleIndex:
         self.docs = [v[4] for v in vectors]
         self.bounds = np.concatenate(([0], np.cumsum([len(v[0]) for v in vectors]))).astype(np.int64)
         self.word = np.concatenate([np.asarray(v[0], np.int32) for v in vectors]) if vectors else np.empty(0, np.int32)
-        self.times = np.concatenate([np.asarray(v[1], np.int32) for v in vectors]) if vectors else np.empty(0, np.int32)
-        self.made = False
+        times = np.concatenate([np.asarray(v[1]) for v in vectors]) if vectors else np.empty(0, np.uint8)
+        self.times = times.astype(np.uint8 if times.max(initial=0) < 256 else np.int32)
+        self.made, self.met, self.skipped = False, 0, 0
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("members", "dense", "column", "posting", "weight", "starts", "lengths")} | {"made": False}
+        names = ("idf", "block", "unseen", "size", "bad", "votes", "docs", "bounds", "word", "times")
+        return {n: self.__dict__[n] for n in names} | {"made": False, "met": 0, "skipped": 0}
 
     def _make(self) -> None:
+        self.scale = 1.0 + np.log(np.maximum(1, np.arange(int(self.times.max()) + 1)))
         self.lengths = np.empty(self.size)
         weight = np.empty(len(self.word), np.float32)
         for x in range(self.size):
             s, e = self.bounds[x], self.bounds[x + 1]
-            raw = (1.0 + np.log(self.times[s:e])) * self.idf[self.word[s:e]]
+            raw = self.scale[self.times[s:e]] * self.idf[self.word[s:e]]
             self.lengths[x] = math.sqrt(float(raw @ raw))
             weight[s:e] = raw / self.lengths[x]
-        owner = np.repeat(np.arange(self.size), np.diff(self.bounds))
+        owner = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.bounds))
         group = self._grouped(owner, weight)
-        self.members = [np.flatnonzero(group == g) for g in range(_GROUPS)]
-        thin = np.ones(len(self.word), bool)
-        self.column, self.dense = [], []
-        for g, members in enumerate(self.members):
-            here = np.flatnonzero(group[owner] == g)
-            many = np.bincount(self.word[here], minlength=len(self.idf)) * self.block >= max(1, len(members))
-            thick = here[many[self.word[here]]]
-            column = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
-            seat = np.searchsorted(members, owner[thick])
-            dense = np.zeros((int(many.sum()), len(members)), np.float32)
-            dense[column[self.word[thick]], seat] = weight[thick]
-            thin[thick] = False
-            self.column.append(column), self.dense.append(dense)
-        rest = self.word[thin]
+        thick = np.zeros(len(self.word), bool)
+        words = []
+        for g in range(_GROUPS):
+            here = np.flatnonzero((group == g)[owner])
+            often = np.bincount(self.word[here], minlength=len(self.idf)) * _OFTEN >= max(1, np.count_nonzero(group == g))
+            thick[here] = often[self.word[here]]
+            words.append(np.flatnonzero(often) if len(here) else np.empty(0, np.int64))
+        norm = np.sqrt(np.bincount(owner[thick], weight[thick].astype(float) ** 2, self.size))
+        #: vectors by group, those with long frequent parts first, so that a block's members are alike in it
+        self.order = np.lexsort((-norm, group))
+        place = np.empty(self.size, np.int32)
+        place[self.order] = np.arange(self.size, dtype=np.int32)
+        self.norm = norm[self.order].astype(np.float32) * (1 + 1e-6)
+        edges = np.searchsorted(group[self.order], np.arange(_GROUPS + 1))
+        self.groups, starts = [], []
+        for g, (first, last) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            if first == last:
+                continue
+            mine = np.flatnonzero(thick & (group == g)[owner])
+            dense = np.zeros((last - first, len(words[g])), np.float32)
+            dense[place[owner[mine]] - first, np.searchsorted(words[g], self.word[mine])] = weight[mine]
+            cuts = np.arange(0, last - first, self.block)
+            self.groups.append((first, last, len(starts), words[g], dense, np.maximum.reduceat(dense, cuts, axis=0), cuts))
+            starts.extend((cuts + first).tolist())
+        self.blocks = np.array(starts)
+        rest = self.word[~thick]
         order = np.argsort(rest, kind="stable")
-        self.posting, self.weight = owner[thin][order], weight[thin][order]
+        self.posting, self.weight = place[owner[~thick][order]], weight[~thick][order]
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(rest, minlength=len(self.idf)))))
         self.made = True
 
@@ -222,39 +310,90 @@ class ExampleIndex:
         if not self.made:
             self._make()
         asked = [(np.asarray(at, np.int64), self.weigh(at, times, other)) for at, times, other in queries]
-        scores = np.zeros((len(asked), self.size), np.float32)
-        for members, column, dense in zip(self.members, self.column, self.dense, strict=True):
-            left = np.zeros((len(asked), len(dense)), np.float32)
-            for i, (at, weight) in enumerate(asked):
-                seat = column[at]
-                left[i, seat[seat >= 0]] = weight[seat >= 0]
-            used = np.flatnonzero(left.any(axis=0))
-            if len(used):
-                scores[:, members] = left[:, used] @ dense[used] if len(used) < len(dense) * 0.9 else left @ dense
+        rare = np.zeros((len(asked), self.size), np.float32)
+        for (at, weight), score in zip(asked, rare, strict=True):
+            self._add_lists(at, weight, score)
+        # What a vector, and what any vector of a block, can reach at most.
+        most, bound, left = rare.copy(), np.empty((len(asked), len(self.blocks)), np.float32), []
+        for first, last, block, words, _, top, cuts in self.groups:
+            own = np.zeros((len(asked), len(words)), np.float32)
+            if len(words):
+                for i, (at, weight) in enumerate(asked):
+                    seat = np.minimum(np.searchsorted(words, at), len(words) - 1)
+                    here = words[seat] == at
+                    own[i, seat[here]] = weight[here]
+            left.append(own)
+            most[:, first:last] += np.linalg.norm(own, axis=1)[:, None] * self.norm[first:last]
+            bound[:, block : block + len(cuts)] = own @ top.T + np.maximum.reduceat(rare[:, first:last], cuts, axis=1)
+        np.minimum(bound, np.maximum.reduceat(most, self.blocks, axis=1), out=bound)
+        score = np.full((len(asked), self.size), -1.0, np.float32)
+        least = self._first_looks(rare, bound, left, score, k)
+        for (first, last, block, _, dense, _, cuts), own in zip(self.groups, left, strict=True):
+            reach = bound[:, block : block + len(cuts)] >= least[:, None]
+            self.met += reach.size
+            self.skipped += int(reach.size - np.count_nonzero(reach))
+            rows = np.flatnonzero(reach.any(axis=1))
+            sizes = np.diff(cuts, append=last - first)
+            need = (most[rows, first:last] >= least[rows, None]) & np.repeat(reach[rows], sizes, axis=1)
+            many = np.count_nonzero(need, axis=1) * _GATHER >= last - first
+            if many.any():
+                score[rows[many], first:last] = rare[rows[many], first:last] + own[rows[many]] @ dense.T
+            for i, needed in zip(rows[~many].tolist(), need[~many], strict=True):
+                at = np.flatnonzero(needed)
+                score[i, first + at] = rare[i, first + at] + dense[at] @ own[i]
         full = np.zeros(len(self.idf))
         out = []
-        for (at, weight), score in zip(asked, scores, strict=True):
-            starts = self.starts[at]
-            many = self.starts[at + 1] - starts
-            for s, n, q in zip(starts[many >= _SHORT].tolist(), many[many >= _SHORT].tolist(), weight[many >= _SHORT].tolist(), strict=True):
-                score[self.posting[s : s + n]] += self.weight[s : s + n] * q
-            few = np.flatnonzero((many > 0) & (many < _SHORT))
-            if len(few):
-                n = many[few]
-                each = np.repeat(starts[few] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                score += np.bincount(self.posting[each], self.weight[each] * np.repeat(weight[few], n), self.size)
-            least = np.partition(score, self.size - k)[self.size - k] - _SLACK if k < self.size else 0.0
-            near = np.flatnonzero((score >= least) & (score > 0))
-            full[at] = weight
+        for (at, weight), own, floor in zip(asked, score, least.tolist(), strict=True):
+            near = np.flatnonzero((own >= floor) & (own > 0))
+            if len(near) > k:
+                near = near[own[near] >= np.partition(own[near], len(near) - k)[len(near) - k] - _SLACK]
             found = []
-            for x in near.tolist():
-                s, e = self.bounds[x], self.bounds[x + 1]
-                raw = (1.0 + np.log(self.times[s:e])) * self.idf[self.word[s:e]]
-                found.append((round(float(full[self.word[s:e]] @ raw) / self.lengths[x], 12), x))
-            full[at] = 0.0
+            if len(near):
+                near = self.order[near]
+                s, n = self.bounds[near], self.bounds[near + 1] - self.bounds[near]
+                ends = np.cumsum(n)
+                each = np.repeat(s - ends + n, n) + np.arange(ends[-1])
+                full[at] = weight
+                common = full[self.word[each]] > 0
+                each, seat = each[common], np.repeat(np.arange(len(near)), n)[common]
+                word = self.word[each]
+                cosines = np.bincount(seat, self.scale[self.times[each]] * self.idf[word] * full[word], len(near)) / self.lengths[near]
+                full[at] = 0.0
+                found = [(round(c, 12), x) for c, x in zip(cosines.tolist(), near.tolist(), strict=True)]
             out.append(sorted(found, key=lambda p: (-p[0], p[1]))[:k])
         return out
 
+    def _add_lists(self, at: np.ndarray, weight: np.ndarray, score: np.ndarray) -> None:
+        """Adds the posting lists of the query's words that are rare in a group."""
+        starts = self.starts[at]
+        many = self.starts[at + 1] - starts
+        for s, n, q in zip(starts[many >= _SHORT].tolist(), many[many >= _SHORT].tolist(), weight[many >= _SHORT].astype(np.float32), strict=True):
+            score[self.posting[s : s + n]] += self.weight[s : s + n] * q
+        few = np.flatnonzero((many > 0) & (many < _SHORT))
+        if len(few):
+            n = many[few]
+            each = np.repeat(starts[few] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            score += np.bincount(self.posting[each], self.weight[each] * np.repeat(weight[few], n), self.size)
+
+    def _first_looks(self, rare: np.ndarray, bound: np.ndarray, left: list, score: np.ndarray, k: int) -> np.ndarray:
+        """Scores the blocks with the highest bounds of each query; the k-th cosine there, less the slack."""
+        looks = min(len(self.blocks), max(_LOOKS, -(-2 * k // self.block)))
+        best = np.argpartition(-bound, looks - 1, axis=1)[:, :looks]
+        group = np.searchsorted([g[2] for g in self.groups], np.arange(len(self.blocks)), side="right") - 1
+        least = np.zeros(len(score), np.float32)
+        for i, blocks in enumerate(best.tolist()):
+            seen = []
+            for b in blocks:
+                first, last, _, _, dense, _, _ = self.groups[group[b]]
+                s = int(self.blocks[b])
+                e = min(s + self.block, last)
+                score[i, s:e] = rare[i, s:e] + dense[s - first : e - first] @ left[group[b]][i]
+                seen.append(score[i, s:e])
+            seen = np.concatenate(seen)
+            if len(seen) > k:
+                least[i] = max(0.0, float(np.partition(seen, len(seen) - k)[len(seen) - k]) - _SLACK)
+        return least
+
     def vote(self, found: list[tuple[float, int]], prior: float, but: tuple[int, int] | None = None) -> float:
         """Toxic share of the neighbours' votes, each weighted by 1 / (distance + 0.05), with one vote of
         weight 1 for the prior. ``but`` (vector, toxic) takes one vote back: an example does not vote on itself."""
@@ -268,10 +407,6 @@ class ExampleIndex:
         return bad / total
 
 
-#: The name under which the index was first known.
-BlockMaxIndex = ExampleIndex
-
-
 def _calibration(bins: list[tuple[int, int, int]], prior: float) -> np.ndarray:
     """Chance of label 1 per bin of raw votes: pooled adjacent violators over (bin, labels, toxic), each
     pool with two examples of the prior added; empty bins take the bin below."""
@@ -302,40 +437,37 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, k: int = NEIGHBOURS) ->
     sample = materialize(labelled.select("doc_id", "toxic"), "labelled")
     read = docs.select("doc_id", "text")
     # The sample has at most MAX_EXAMPLES rows by contract.
-    words, extra = words_of(read.join(F.broadcast(sample), "doc_id"))
+    words, extra, rows = example_vectors(read.join(F.broadcast(sample), "doc_id"))
     vectors = materialize(counted(read.join(F.broadcast(sample), "doc_id", "left"), words), "vectors")
     total = vectors.count()
     idf = (np.log((1 + total) / (1 + document_counts(vectors, len(words)))) + 1e-3) * extra
-    known = vectors.filter("toxic is not null")
-    merged = known.groupBy("_at", "_times").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"), F.min("doc_id").alias("doc")).toArrow()
-    all_bad, all_n = (sum(merged.column(c).to_pylist()) for c in ("bad", "n"))
+    all_bad, all_n = (sum(r[c] for r in rows) for c in (2, 3))
     prior = all_bad / all_n if all_n else 0.0
-    columns = [[np.frombuffer(v.as_buffer(), np.int32) for v in merged.column(c)] for c in ("_at", "_times")]
-    rows = list(zip(*columns, *(merged.column(c).to_pylist() for c in ("bad", "n", "doc")), strict=True))
     bare = [(bad, n) for at, _, bad, n, _ in rows if not len(at)]
     plain = (bare[0][0] + prior) / (bare[0][1] + 1) if bare else prior
-    index = ExampleIndex([r for r in rows if len(r[0])], idf, unseen=math.log((1 + total) / 2) + 1e-3 if total else 0.0)
+    index = BlockMaxIndex([r for r in rows if len(r[0])], idf, unseen=math.log((1 + total) / 2) + 1e-3 if total else 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        cache: dict[tuple, tuple] = {}
+        cache: dict[bytes, tuple] = {}
         for whole in batches:
             for first in range(0, whole.num_rows, _QUERIES):
                 batch = whole.slice(first, _QUERIES)
-                keys = list(zip(*(batch.column(c).to_pylist() for c in ("_at", "_times", "_other")), strict=True))
+                coded = list(zip(*(batch.column(c).to_pylist() for c in ("_at", "_times", "_other")), strict=True))
+                keys = [_digest(at, times, struct.pack("d", other)) for at, times, other in coded]
                 if len(cache) > _CACHE:
                     cache.clear()
-                new = [key for key in dict.fromkeys(keys) if key not in cache]
-                asked = [(np.frombuffer(at, np.int32), np.frombuffer(times, np.int32), other) for at, times, other in new]
+                new = {key: c for key, c in zip(keys, coded, strict=True) if key not in cache}
+                asked = [(at := _ascending(a), _unpacked(times, len(at)), other) for a, times, other in new.values()]
                 for key, found in zip(new, own.nearest_of(asked, k), strict=True):
                     told = [{"doc_id": own.docs[x], "cosine": min(c, 1.0), "toxic_share": own.bad[x] / own.votes[x]} for c, x in found[:5]]
                     mine = next((x for c, x in found if c > 1 - 1e-9), None)
                     votes = [own.vote(found, prior, but) for but in (None, *(((mine, t) if mine is not None else None) for t in (0, 1)))]
                     cache[key] = [min(BINS - 1, int(BINS * v)) for v in votes], told
                 toxic = batch.column("toxic").to_pylist()
-                bins = [cache[key][0][0] if key[0] or key[2] else None for key in keys]
-                without = [cache[key][0][1 + t] if t is not None and key[0] else None for key, t in zip(keys, toxic, strict=True)]
+                bins = [cache[key][0][0] if at or other else None for key, (at, _, other) in zip(keys, coded, strict=True)]
+                without = [cache[key][0][1 + t] if t is not None and at else None for key, (at, _, _), t in zip(keys, coded, toxic, strict=True)]
                 arrow = pa.list_(pa.struct([("doc_id", batch.column("doc_id").type), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(toxic, pa.int32()), pa.array(bins, pa.int32()), pa.array(without, pa.int32()), pa.array([cache[key][1] for key in keys], arrow)],
@@ -346,6 +478,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, k: int = NEIGHBOURS) ->
     evidence = f"evidence array<struct<doc_id:{kind},cosine:double,toxic_share:double>>"
     searched = materialize(vectors.mapInArrow(search, f"doc_id {kind}, toxic int, bin int, without int, {evidence}"), "searched")
     bins = searched.filter("without is not null").groupBy("without").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    discard(vectors)
     table_of = _calibration([tuple(r) for r in bins.collect()], prior)
     chance = F.element_at(F.array(*[F.lit(float(v)) for v in table_of]), F.col("bin") + 1)
     judged = searched.select("doc_id", F.coalesce(chance, F.lit(plain)).alias("score"), "evidence")

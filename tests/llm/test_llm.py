@@ -389,6 +389,43 @@ def test_block_max_search_is_exact():
         assert got == sorted((c for c in everything if c > 0), reverse=True)[:15]
 
 
+def test_block_max_search_skips_blocks_and_loses_nothing():
+    import numpy as np
+
+    draw = random.Random(16)
+    topics, words = 12, 400
+    vectors = []
+    for doc in range(1500):
+        topic = draw.randrange(topics)
+        own = draw.sample(range(40 + topic * 30, 70 + topic * 30), 12) + draw.sample(range(40), 6)
+        at = sorted(set(own))
+        vectors.append((at, [draw.randrange(1, 300) if draw.random() < 0.02 else 1 for _ in at], draw.randrange(2), 1, doc))
+    vectors += [(at, times, bad, n, 1500 + i) for i, (at, times, bad, n, _) in enumerate(vectors[:40])]
+    index = toxicity.BlockMaxIndex(vectors, np.linspace(0.2, 3, words), block=16)
+    table = np.zeros((len(vectors), words))
+    for x, (at, times, *_) in enumerate(vectors):
+        table[x, at] = index.weigh(at, times)
+    asked = [(np.array(vectors[x][0]), np.array(vectors[x][1]), 0.0) for x in range(0, 1500, 25)]
+    for (at, times, _), found in zip(asked, index.nearest_of(asked, 15), strict=True):
+        query = np.zeros(words)
+        query[at] = index.weigh(at, times)
+        cosines = np.round(table @ query, 12)
+        want = sorted(((-c, x) for x, c in enumerate(cosines.tolist()) if c > 0))[:15]
+        assert [x for _, x in found] == [x for _, x in want]
+        assert np.allclose([c for c, _ in found], [-c for c, _ in want], atol=1e-11)
+    assert 0 < index.skipped < index.met
+
+
+def test_toxicity_forms_of_vectors_come_back():
+    import numpy as np
+
+    for at in ([], [0], [3, 4, 900_000], [255, 256, 65_536]):
+        at = np.array(at, np.int32)
+        assert toxicity._ascending(toxicity._steps(at)).tolist() == at.tolist()
+    for times in ([], [1, 255], [1, 256, 70_000]):
+        assert toxicity._unpacked(toxicity._packed(np.array(times, np.int64)), len(times)).tolist() == times
+
+
 PATTERNS = (("assign", re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile(r"[0-9a-f]+"), 0, 16))
 
 
