@@ -12,6 +12,7 @@ import hashlib
 import math
 import re
 import struct
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -93,14 +94,16 @@ def example_vectors(texts: DataFrame) -> tuple[list[str], np.ndarray, list[tuple
                 at, times = [], []
                 for text in batch.column("text"):
                     held = Counter(_words(text.as_py()))
-                    at.append(np.fromiter((place.setdefault(w, len(place)) for w in held), np.int32, len(held)).tobytes())
-                    times.append(_packed(np.fromiter(held.values(), np.int64, len(held))))
-                words = pa.array([list(place), *[None] * (batch.num_rows - 1)], pa.list_(pa.string()))
+                    own = np.fromiter((place.setdefault(w, len(place)) for w in held), np.int32, len(held))
+                    sort = np.argsort(own)
+                    at.append(zlib.compress(_steps(own[sort]), 1))
+                    times.append(zlib.compress(_packed(np.fromiter(held.values(), np.int64, len(held))[sort]), 1))
+                words = pa.array([zlib.compress("\n".join(place).encode(), 1), *[None] * (batch.num_rows - 1)], pa.binary())
                 kept = [batch.column("doc_id"), batch.column("toxic").cast(pa.int32())]
                 yield pa.RecordBatch.from_arrays([*kept, words, pa.array(at, pa.binary()), pa.array(times, pa.binary())], ["doc_id", "toxic", "words", "at", "times"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    told = texts.select("doc_id", "text", "toxic").mapInArrow(code, f"doc_id {kind}, toxic int, words array<string>, at binary, times binary").toArrow()
+    told = texts.select("doc_id", "text", "toxic").mapInArrow(code, f"doc_id {kind}, toxic int, words binary, at binary, times binary").toArrow()
     number: dict[str, int] = {}
     known = np.empty(0, np.int32)
     read = []
@@ -108,19 +111,22 @@ def example_vectors(texts: DataFrame) -> tuple[list[str], np.ndarray, list[tuple
         # The rows of a chunk follow its words, in the order in which the task made them.
         for doc, toxic, words, at, times in zip(*(batch.column(c) for c in ("doc_id", "toxic", "words", "at", "times")), strict=True):
             if words.is_valid:
-                known = np.fromiter((number.setdefault(w, len(number)) for w in words.as_py()), np.int32)
-            own = known[np.frombuffer(at.as_py(), np.int32)]
-            read.append((doc.as_py(), toxic.as_py(), own, _unpacked(times.as_py(), len(own))))
+                known = np.fromiter((number.setdefault(w, len(number)) for w in zlib.decompress(words.as_py()).decode().split("\n") if w), np.int32)
+            own = known[_ascending(zlib.decompress(at.as_py()))]
+            read.append((doc.as_py(), toxic.as_py(), own, _unpacked(zlib.decompress(times.as_py()), len(own))))
     del told
-    words = list(number)
+    words = sorted(number)
+    by_name = np.fromiter((number[w] for w in words), np.int64, len(words))
+    del number
     rows = np.zeros(len(words), np.int64)
     for _, _, at, _ in read:
         rows[at] += 1
-    order = sorted(range(len(words)), key=lambda i: (-rows[i], words[i]))
+    order = np.argsort(-rows[by_name], kind="stable")
     rank = np.empty(len(words), np.int32)
-    rank[order] = np.arange(len(words), dtype=np.int32)
+    rank[by_name[order]] = np.arange(len(words), dtype=np.int32)
     merged: dict[bytes, list] = {}
-    for doc, toxic, at, times in read:
+    while read:
+        doc, toxic, at, times = read.pop()
         at = rank[at]
         sort = np.argsort(at)
         at, times = at[sort], times[sort]
@@ -138,7 +144,7 @@ def example_vectors(texts: DataFrame) -> tuple[list[str], np.ndarray, list[tuple
     rest = (bad + good - a - b) * bad * good
     phi2 = np.divide((a * good - b * bad) ** 2, (a + b) * rest, out=np.zeros(len(words)), where=(a + b) * rest > 0)
     extra = 1.0 + TELLING * np.where(phi2 >= LEAST_PHI2, np.sqrt(phi2), 0.0)
-    return [words[i] for i in order], extra, [tuple(v) for v in merged.values()]
+    return [words[i] for i in order.tolist()], extra, [tuple(v) for v in merged.values()]
 
 
 def words_of(texts: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -446,6 +452,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, k: int = NEIGHBOURS) ->
     bare = [(bad, n) for at, _, bad, n, _ in rows if not len(at)]
     plain = (bare[0][0] + prior) / (bare[0][1] + 1) if bare else prior
     index = BlockMaxIndex([r for r in rows if len(r[0])], idf, unseen=math.log((1 + total) / 2) + 1e-3 if total else 0.0)
+    del words, rows
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
