@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from firn.operators import spatial
 from firn.operators.spatial import components, knn, link_components
 
 
@@ -55,6 +56,19 @@ def test_link_components_match_brute_force(spark, pair_rows, mixed):
     assert np.array_equal(got["label"].to_numpy(), labels_by_hand(xy, rho))
 
 
+def test_touching_cells_enter_the_contraction_as_forests(spark, monkeypatch):
+    xy = np.random.default_rng(9).uniform(0, 12, (600, 2))
+    rho = np.full(len(xy), 1.5)
+    points = frame(spark, np.arange(len(xy)), xy, rho=rho)
+    met = []
+    contract = spatial.components
+    monkeypatch.setattr(spatial, "components", lambda edges, by: met.append(edges.count()) or contract(edges, by))
+    got = link_components(points).toPandas().sort_values("id")
+    assert np.array_equal(got["label"].to_numpy(), labels_by_hand(xy, rho))
+    # Cells half a unit wide, 24 x 24 of them: a forest of each tile has fewer edges than cells.
+    assert met[0] < 24 * 24
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     path = [(i, i + 1) for i in range(200)]
     hub = [(1000, i) for i in range(1001, 1400)]
