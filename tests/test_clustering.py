@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from firn.functions.compare import rounded
 from firn.operators import clustering as cl
 from firn.operators import histogram as h
 from firn.operators import learn
@@ -39,6 +40,22 @@ def test_known_sites_merge_through_shared_events(spark):
     assert got == {1: (5, 5), 2: (5, 7), 3: (9, 9)}
 
 
+def test_site_search_is_dealt_out_over_tasks(spark):
+    events = spark.range(0, 4000, 1, 1).selectExpr("0 AS z", "id", "CAST(id % 7 AS DOUBLE) AS x", "0.0D AS y", "2.0D AS rho")
+    sites = spark.range(1, 2).selectExpr("id", "3.0D AS x", "0.0D AS y")
+    met = cl.site_matches(events, sites)
+    assert met.select(F.spark_partition_id().alias("p")).distinct().count() == 8
+    assert met.count() == events.filter("abs(x - 3) <= 2").count()
+
+
+def test_rounded_equals_round(spark):
+    rng = np.random.default_rng(2)
+    values = [*rng.uniform(-50, 50, 3000), *(rng.integers(-(10**8), 10**8, 3000) / 1e6 + 5e-7), 0.0, -0.0, -1e-9, 1e300, 123456789.1234565]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),), (float("inf"),)], "v double")
+    both = df.select(rounded(F.col("v"), 6).alias("a"), F.round("v", 6).alias("b"))
+    assert both.filter("not (a <=> b)").count() == 0
+
+
 def test_program_outputs_agree(points, spark):
     df, pdf = points
     sites = spark.createDataFrame([(0, 0.0, 0.0), (1, 500.0, 500.0)], "id bigint, x double, y double")
