@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from firn.functions.compare import rounded
 from firn.operators import clustering as cl
 from firn.operators import histogram as h
+from firn.operators import joins
 from firn.operators import learn
 from firn.operators.joins import friend_join, near_moving_path, overlay_fields
 from firn.plans.programs import cluster_events, extend_clusters
@@ -128,6 +129,21 @@ def test_moving_path(spark):
     assert [(r["id"], r["distance"]) for r in near_moving_path(events, path, 1.0, 3.0, hot_rows=1).collect()] == [(1, 0.0)]
 
 
+def test_moving_path_meets_only_bands_it_passes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    t, x = rng.uniform(0, 100, 300), np.concatenate([rng.uniform(0, 200, 298), [np.nan, np.inf]])
+    events = spark.createDataFrame(pd.DataFrame({"id": np.arange(300), "t": t, "x": x, "y": np.zeros(300)}))
+    # Slow paths and one that passes far more bands in a bucket than are listed.
+    moves = [(i, t0, t0 + 30.0, v, v + 3.0) for i, (t0, v) in enumerate(zip(rng.uniform(0, 70, 40).tolist(), rng.uniform(0, 200, 40).tolist()))] + [(40, 0.0, 100.0, -1e7, 1e7)]
+    paths = spark.createDataFrame([(p, a, b, u, 0.0, v, 0.0) for p, a, b, u, v in moves], "path long, t0 double, t1 double, x0 double, y0 double, x1 double, y1 double")
+    want = {(i, p) for i in range(300) for p, a, b, u, v in moves if a <= t[i] < b and abs(x[i] - (u + (t[i] - a) / (b - a) * (v - u))) <= 0.5}
+    met = []
+    join = joins.salted_join
+    monkeypatch.setattr(joins, "salted_join", lambda *a, **k: met.append(join(*a, **k)) or met[-1])
+    assert {(r["id"], r["path"]) for r in near_moving_path(events, paths, 0.5, 10.0).collect()} == want and len(want) > 5
+    assert sum(m.filter("path < 40").count() for m in met) < 600
+
+
 def test_seed_is_nearest_the_mean_of_the_fullest_cell(points):
     df, pdf = points
     cell = np.floor(pdf[["x", "y"]] / 10).apply(tuple, axis=1)
