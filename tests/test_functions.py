@@ -159,3 +159,24 @@ def test_division_of_task():
     assert readers.division_of_task(3527) == (352, 7, 10)
     assert readers.division_of_task(35242) == (352, 42, 100)
     assert pd.notna(readers.division_of_task(130)[0])
+
+
+def test_geometry_of_many_rows_is_compiled(spark):
+    """Traces and views run step by step, without interpreted lambdas, and give what the single expressions give."""
+    from firn.operators.clustering import event_geometry, residuals
+
+    rows = [(i, 7.0 * i - 170, -62.0 - i % 27, 36e3 + 90 * i, 31.0 * i, 2.0 if i % 9 == 8 else -4.0 - i % 40, 17.0 * i, 5.0 + i % 3) for i in range(50)]
+    names = ("id", "payload_longitude", "payload_latitude", "payload_altitude", "payload_heading", "theta", "phi", "snr")
+    df = spark.createDataFrame(rows, names)
+    payload = {c: F.col(f"payload_{c}") for c in ("longitude", "latitude", "altitude", "heading")}
+    made = event_geometry(df).filter("clusterable")
+    centres = made.select("id", "longitude", F.col("latitude").alias("latitude"), F.lit(100.0).alias("altitude"))
+    moved = residuals(made, centres, ["id"])
+    for steps in (event_geometry(df), made, moved):
+        assert "lambda" not in steps._jdf.queryExecution().optimizedPlan().toString()
+    hit = df.withColumn("_h", geodesy.trace_to_surface(payload, F.col("theta"), F.col("phi"))).filter("_h.longitude is not null")
+    want = {r["id"]: tuple(r["_h"]) for r in hit.collect()}
+    assert {r["id"]: (r["longitude"], r["latitude"], r["distance_m"]) for r in made.collect()} == want and 40 < len(want) < 50
+    seen = made.withColumn("_v", geodesy.view_angles(payload, {"longitude": F.col("longitude"), "latitude": F.col("latitude"), "altitude": F.lit(100.0)}))
+    turned = {r["id"]: r["d_theta"] for r in moved.collect()}
+    assert turned == {r["id"]: r["_v"]["theta"] - r["theta"] for r in seen.collect()}
