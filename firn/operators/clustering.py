@@ -205,7 +205,7 @@ def residuals(events: DataFrame, clusters: DataFrame, by: Sequence[str]) -> Data
     """Angles from each event's direction to its cluster position, and their likelihood."""
     payload = {c: F.col(f"payload_{c}") for c in ("longitude", "latitude", "altitude", "heading")}
     joined = events.join(clusters.select(*by, *[F.col(c).alias(f"cluster_{c}") for c in ("longitude", "latitude", "altitude")]), list(by))
-    seen = joined.withColumn("_v", geodesy.view_angles(payload, {c: F.col(f"cluster_{c}") for c in ("longitude", "latitude", "altitude")}))
+    seen = geodesy.with_view_angles(joined, payload, {c: F.col(f"cluster_{c}") for c in ("longitude", "latitude", "altitude")}, "_v")
     d_phi = F.pmod(F.col("_v.phi") - F.col("phi") + 180.0, F.lit(360.0)) - 180.0
     angled = seen.withColumns({"d_theta": F.col("_v.theta") - F.col("theta"), "d_phi": d_phi}).drop("_v")
     ll = F.pow(F.col("d_theta") / F.col("sigma_theta"), 2) + F.pow(F.col("d_phi") / F.col("sigma_phi"), 2)
