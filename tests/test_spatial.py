@@ -84,3 +84,24 @@ def test_neighbours_with_a_place_that_is_not_finite(spark):
     points = spark.createDataFrame(rows, "id int, x double, y double")
     found = {(r["id"], r["neighbour"]) for r in knn(points, points, 1, exclude_self=True).collect()}
     assert len(found) == 40 and all(abs(a - b) == 1 for a, b in found)
+
+
+def test_pairs_that_sure_links_join_are_not_opened(spark, monkeypatch):
+    xy = np.random.default_rng(9).uniform(0, 12, (600, 2))
+    rho = np.random.default_rng(4).choice([1.2, 2.5], len(xy))
+    points = frame(spark, np.arange(len(xy)), xy, rho=rho)
+    opened = []
+    compare = spatial._compare
+    monkeypatch.setattr(spatial, "_compare", lambda small, *rest: opened.append(small.count()) or compare(small, *rest))
+    got = link_components(points).toPandas().sort_values("id")
+    assert np.array_equal(got["label"].to_numpy(), labels_by_hand(xy, rho))
+    # Hundreds of cell pairs are neither surely linked nor surely apart; nearly all lie within one group of their tile.
+    assert sum(opened) < 20
+
+
+def test_crowded_tiles_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "TILE_ROWS", 16)
+    xy = np.random.default_rng(11).uniform(0, 30, (400, 2))
+    rho = np.random.default_rng(12).choice([0.2, 0.9, 9.0], len(xy), p=[0.6, 0.38, 0.02])
+    got = link_components(frame(spark, np.arange(len(xy)), xy, rho=rho)).toPandas().sort_values("id")
+    assert np.array_equal(got["label"].to_numpy(), labels_by_hand(xy, rho))
