@@ -33,6 +33,8 @@ CLUSTER_ELEMENTS = 2_000_000
 CLUSTER_SETS = 50_000
 #: Signatures are shuffled in so many shares, one after the other: less disk, more hashing, the same result.
 PASSES = 2
+#: Chunks of sets outside a part's largest group that meet all its chunks in one round: less disk, the same pairs.
+ROUND_CHUNKS = 2
 HELD_KEYS = 1 << 20
 SMALL_K = 6
 _LEVELS = 6
@@ -345,18 +347,20 @@ def _labels(docs, names, edges, shingle, num, den, cluster_elements, cluster_set
     links = materialize(near.groupBy(*group, "_chunk").applyInArrow(search, "src long, dst long"), "links")
     cut = members.filter("_chunks > 1")
     if not cut.isEmpty():
-        across = _across(cut, lists, links, group, cluster_elements, cluster_sets)
-        found = across.groupBy(*group, "_chunk", "_other").applyInArrow(search, "src long, dst long")
-        links = links.unionByName(materialize(found, "links"))
+        for across in _across(cut, lists, links, group, cluster_elements, cluster_sets):
+            found = across.groupBy(*group, "_chunk", "_other").applyInArrow(search, "src long, dst long")
+            links = links.unionByName(materialize(found, "links"))
     labels = materialize(components(links).select(F.col("id").alias("_set"), F.col("label").alias("_root")), "labels")
     for done in (clusters, rare, members, lists):
         discard(done)
     return labels
 
 
-def _across(cut: DataFrame, lists: DataFrame, links: DataFrame, group: list[str], cluster_elements: int, cluster_sets: int) -> DataFrame:
+def _across(cut: DataFrame, lists: DataFrame, links: DataFrame, group: list[str], cluster_elements: int, cluster_sets: int) -> Iterator[DataFrame]:
     """Rows of the pairs of chunks still to be searched: each chunk of a part against the sets outside the part's largest
-    group of linked sets, which are dealt to chunks (``_other``) of their own. Sets of the largest group need not meet again."""
+    group of linked sets, which are dealt to chunks (``_other``) of their own. Sets of the largest group need not meet again.
+
+    All pairs come, in rounds of ROUND_CHUNKS of these chunks of each part: a round holds each set so many times, and each of its guests once a chunk."""
     joined = components(links).select(F.col("id").alias("_set"), F.col("label").alias("_group"))
     grouped = cut.join(joined, "_set", "left").withColumn("_group", F.coalesce("_group", "_set"))
     sizes = grouped.groupBy(*group, "_group").count()
@@ -364,13 +368,16 @@ def _across(cut: DataFrame, lists: DataFrame, links: DataFrame, group: list[str]
     outside = grouped.join(largest, group).filter("_group != _most").select(*group, "_set", "_size")
     needed = F.greatest(F.ceil(F.sum("_size") / cluster_elements), F.ceil(F.count("*") / cluster_sets)).cast("int")
     outside = materialize(outside, "outside")
-    others = outside.groupBy(*group).agg(needed.alias("_others"))
+    others = materialize(outside.groupBy(*group).agg(needed.alias("_others")), "others")
+    most = others.agg(F.max("_others")).first()[0] or 0
     spread = lists.join(others, group)
     columns = [*group, "_chunk", "_other", "_set", "_elements"]
     at_home = spread.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_others") - 1))).select(*columns)
-    guests = spread.join(outside.select("_set"), "_set", "left_semi").withColumn("_other", F.pmod(F.xxhash64("_set", F.lit(1)), F.col("_others")).cast("int"))
-    guests = guests.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select(*columns)
-    return at_home.unionByName(guests)
+    dealt = spread.join(outside.select("_set"), "_set", "left_semi").withColumn("_other", F.pmod(F.xxhash64("_set", F.lit(1)), F.col("_others")).cast("int"))
+    guests = dealt.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select(*columns)
+    every = at_home.unionByName(guests)
+    for first in range(0, most, ROUND_CHUNKS):
+        yield every.filter(F.col("_other").between(first, first + ROUND_CHUNKS - 1))
 
 
 class _Asked:

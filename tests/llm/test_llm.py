@@ -172,6 +172,23 @@ def test_a_family_cut_into_chunks_equals_brute_force(spark, elements, members):
         assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
+def test_chunks_meet_in_rounds_of_bounded_size(spark):
+    n, chunks = 40, 4
+    rows = [(i, 1, 1, chunks, 0, i % chunks, [i]) for i in range(n)]
+    lists = spark.createDataFrame(rows, "_set long, _cluster long, _part long, _chunks int, _pivot long, _chunk int, _elements array<long>")
+    cut = lists.selectExpr("_set", "_cluster", "_part", "1L as _size", "_chunks", "_pivot")
+    links = spark.createDataFrame([], "src long, dst long")
+    rounds = [[tuple(r) for r in part.select("_chunk", "_other", "_set").collect()] for part in jaccard._across(cut, lists, links, ["_cluster", "_part"], 10**6, 5)]
+    others = {o for part in rounds for _, o, _ in part}
+    assert len(others) == 8 and len(rounds) == 4
+    assert all({o for _, o, _ in part} <= {2 * i, 2 * i + 1} for i, part in enumerate(rounds))
+    # Each set at home for every other chunk, and every guest in every chunk; none lost to a round.
+    at_home = {(s % chunks, o, s) for s in range(n) for o in others}
+    guests = [row for part in rounds for row in part if row not in at_home or part.count(row) > 1]
+    assert at_home <= {row for part in rounds for row in part}
+    assert len({s for _, _, s in guests}) == n - 1 and {c for c, _, _ in guests} == set(range(chunks))
+
+
 def test_signatures_share_for_every_similar_pair():
     import numpy as np
 
