@@ -1,19 +1,23 @@
 """Vectorised spectral helpers for waveform columns.
 
-Spark distributes the rows; each Arrow batch is stacked into a matrix and handed to
-numpy once per waveform length. One row is one waveform, so batches stay small.
+Spark distributes the rows; waveforms of one length in an Arrow batch are read as a matrix, and
+numpy gets ``SLICE`` rows of it at a time. Rows never become Python objects: a task holds its batch,
+the result, and the working arrays of one slice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 # Fixed value: termination resistance used by the dBm-style density.
 OHMS = 50.0
+#: Waveforms handed to numpy at once.
+SLICE = 512
 
 NORMALISATIONS: dict[str, Callable[[int, float], float]] = {
     "sum": lambda n, dt: 1.0 / n,
@@ -24,18 +28,71 @@ NORMALISATIONS: dict[str, Callable[[int, float], float]] = {
 }
 
 
-def stacked(fn: Callable[..., np.ndarray], *columns: pd.Series) -> pd.Series:
-    """Apply ``fn`` to 2-D float arrays, one call per distinct row length."""
-    out: list = [None] * len(columns[0])
-    groups: dict[int, list[int]] = {}
-    for i, row in enumerate(columns[0]):
-        if row is not None and len(row):
-            groups.setdefault(len(row), []).append(i)
-    for rows in groups.values():
-        blocks = [np.stack([np.asarray(c.iloc[i], dtype=float) for i in rows]) for c in columns]
-        for i, value in zip(rows, fn(*blocks)):
-            out[i] = value
-    return pd.Series(out)
+def _lengths(*columns: pa.Array) -> np.ndarray:
+    """Length of each row's waveform in the first column, 0 where any column is null."""
+    known = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+    return np.where(known, pc.list_value_length(columns[0]).fill_null(0).to_numpy(zero_copy_only=False), 0)
+
+
+def _matrix(column: pa.Array, rows: np.ndarray) -> np.ndarray:
+    return column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(rows), -1)
+
+
+def _computed(fn: Callable[..., np.ndarray], columns: Sequence[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and results of ``fn`` on 2-D float arrays, for each distinct row length; rows null or empty are left out."""
+    lengths = _lengths(*columns)
+    for n in np.unique(lengths[lengths > 0]):
+        rows, made = np.flatnonzero(lengths == n), None
+        for at in range(0, len(rows), SLICE):
+            part = fn(*[_matrix(c, rows[at : at + SLICE]) for c in columns])
+            if made is None:
+                made = np.empty((len(rows), *part.shape[1:]))
+            made[at : at + SLICE] = part
+        yield rows, made
+
+
+def lists(count: int, found: Sequence[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """One array of doubles per row from matrices of rows; NULL for rows in none of them."""
+    wide, unseen = np.zeros(count, np.int64), np.ones(count, bool)
+    for rows, made in found:
+        wide[rows], unseen[rows] = made.shape[1], False
+    offsets = np.concatenate(([0], np.cumsum(wide))).astype(np.int32)
+    if len(found) == 1 and not unseen.any():
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[0][1].ravel(), from_pandas=True))
+    flat = np.empty(offsets[-1])
+    for rows, made in found:
+        for at, row in zip(rows, made):
+            flat[offsets[at] : offsets[at + 1]] = row
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, from_pandas=True), mask=pa.array(unseen))
+
+
+def stacked(fn: Callable[..., np.ndarray], *columns: pa.Array) -> pa.Array:
+    """Apply ``fn`` to 2-D float arrays, at most ``SLICE`` rows of one length at a time; it gives one row of numbers each."""
+    return lists(len(columns[0]), list(_computed(fn, columns)))
+
+
+def measured(fn: Callable[..., np.ndarray], count: int, *columns: pa.Array) -> list[pa.Array]:
+    """The same where ``fn`` gives ``count`` numbers a row: one array for each of them, NULL for NaN."""
+    values, unseen = np.zeros((len(columns[0]), count)), np.ones(len(columns[0]), bool)
+    for rows, made in _computed(fn, columns):
+        values[rows], unseen[rows] = made.reshape(len(rows), count), False
+    return [pa.array(np.ascontiguousarray(v), mask=unseen | np.isnan(v)) for v in values.T]
+
+
+def waveforms(*columns: pa.Array) -> Iterator[list[np.ndarray] | None]:
+    """The rows one by one as arrays, None where the first column is null."""
+    known = columns[0].is_valid().to_numpy(zero_copy_only=False)
+    held = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False).astype(float, copy=False)) for c in columns]
+    for i, seen in enumerate(known):
+        yield [v[at[i] : at[i + 1]] for at, v in held] if seen else None
+
+
+def varied(values: Sequence[np.ndarray | None]) -> pa.Array:
+    """Arrays of doubles of any lengths, NULL for None."""
+    unseen = np.array([v is None for v in values], bool)
+    offsets = np.concatenate(([0], np.cumsum([0 if v is None else len(v) for v in values]))).astype(np.int32)
+    flat = np.concatenate([np.empty(0), *[v for v in values if v is not None]])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, from_pandas=True), mask=pa.array(unseen))
 
 
 def power_matrix(y: np.ndarray, dt: float, norm: str) -> np.ndarray:
@@ -50,8 +107,8 @@ def power_matrix(y: np.ndarray, dt: float, norm: str) -> np.ndarray:
 def power_spectrum(y: Column, dt: float = 1.0, norm: str = "sum") -> Column:
     """One-sided power spectrum; interior bins carry both signs of frequency."""
 
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def run(s: pa.Array) -> pa.Array:
         return stacked(lambda m: power_matrix(m, dt, norm), s)
 
     return run(y)
@@ -60,18 +117,18 @@ def power_spectrum(y: Column, dt: float = 1.0, norm: str = "sum") -> Column:
 def forward(y: Column) -> Column:
     """Struct of arrays re, im (n//2 + 1 bins)."""
 
-    @F.pandas_udf("re array<double>, im array<double>")
-    def run(s: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("re array<double>, im array<double>")
+    def run(s: pa.Array) -> pa.Array:
         re = stacked(lambda m: np.fft.rfft(m, axis=1).real, s)
         im = stacked(lambda m: np.fft.rfft(m, axis=1).imag, s)
-        return pd.DataFrame({"re": re, "im": im})
+        return pa.StructArray.from_arrays([re, im], ["re", "im"])
 
     return run(y)
 
 
 def inverse(spectrum: Column, n: int) -> Column:
-    @F.pandas_udf("array<double>")
-    def run(re: pd.Series, im: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def run(re: pa.Array, im: pa.Array) -> pa.Array:
         return stacked(lambda a, b: np.fft.irfft(a + 1j * b, n=n, axis=1), re, im)
 
     return run(spectrum["re"], spectrum["im"])
@@ -90,8 +147,8 @@ def correlate_matrix(a: np.ndarray, b: np.ndarray, pad: int = 1) -> np.ndarray:
 def cross_correlate(a: Column, b: Column, pad: int = 1) -> Column:
     """Circular cross-correlation divided by the length; ``pad`` = 2 avoids wrap-around."""
 
-    @F.pandas_udf("array<double>")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
         return stacked(lambda p, q: correlate_matrix(p, q, pad), x, y)
 
     return run(a, b)
@@ -107,8 +164,8 @@ def upsampled_correlation(a: Column, b: Column, factor: int) -> Column:
             product[:, -1] *= 0.5
         return np.fft.irfft(product, n=n * factor, axis=1) * factor / n
 
-    @F.pandas_udf("array<double>")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
         return stacked(fine, x, y)
 
     return run(a, b)
@@ -182,8 +239,8 @@ def analytic(y: np.ndarray) -> np.ndarray:
 
 
 def hilbert_envelope(y: Column) -> Column:
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def run(s: pa.Array) -> pa.Array:
         return stacked(lambda m: np.abs(analytic(m)), s)
 
     return run(y)
@@ -192,16 +249,15 @@ def hilbert_envelope(y: Column) -> Column:
 def stokes(h: Column, v: Column) -> Column:
     """Time-averaged Stokes I, Q, U, V of two polarisations."""
 
-    @F.pandas_udf("i double, q double, u double, v double")
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("i double, q double, u double, v double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
         def four(p: np.ndarray, q: np.ndarray) -> np.ndarray:
             x, y = analytic(p), analytic(q)
             cross = x * np.conj(y)
             xx, yy = np.abs(x) ** 2, np.abs(y) ** 2
             return np.stack([xx + yy, xx - yy, 2 * cross.real, 2 * cross.imag], axis=1).mean(axis=2)
 
-        values = stacked(four, a, b)
-        return pd.DataFrame([list(r) if r is not None else [None] * 4 for r in values], columns=["i", "q", "u", "v"])
+        return pa.StructArray.from_arrays(measured(four, 4, a, b), ["i", "q", "u", "v"])
 
     return run(h, v)
 
@@ -216,9 +272,9 @@ def impulsivity(envelope: Column) -> Column:
         whole = power.sum(axis=1, keepdims=True)
         return 2 * (np.cumsum(power, axis=1) / np.where(whole > 0, whole, 1)).mean(axis=1) - 1
 
-    @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return stacked(measure, s).astype(float)
+    @F.arrow_udf("double")
+    def run(s: pa.Array) -> pa.Array:
+        return measured(measure, 1, s)[0]
 
     return run(envelope)
 
@@ -247,8 +303,8 @@ def sine_subtract(y: Column, min_reduction: float = 0.05) -> Column:
             out[active] = trial[active]
         return out
 
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def run(s: pa.Array) -> pa.Array:
         return stacked(clean, s)
 
     return run(y)
@@ -257,13 +313,13 @@ def sine_subtract(y: Column, min_reduction: float = 0.05) -> Column:
 def resample_linear(x: Column, y: Column, dt: float) -> Column:
     """Linear interpolation on x0, x0 + dt, ... within the original range."""
 
-    @F.pandas_udf("array<double>")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
         def one(p, q):
             steps = int(np.floor((p[-1] - p[0]) / dt + 1e-9)) + 1
             return np.interp(p[0] + dt * np.arange(steps), p, q)
 
-        return pd.Series([None if p is None or len(p) == 0 else one(np.asarray(p, float), np.asarray(q, float)) for p, q in zip(a, b)])
+        return varied([None if w is None or len(w[0]) == 0 else one(*w) for w in waveforms(a, b)])
 
     return run(x, y)
 
@@ -288,12 +344,9 @@ def akima_values(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
 def resample_akima(x: Column, y: Column, start: float, dt: float, count: int) -> Column:
     grid = start + dt * np.arange(count)
 
-    @F.pandas_udf("array<double>")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([
-            None if p is None or len(p) < 3 else akima_values(np.asarray(p, float), np.asarray(q, float), grid)
-            for p, q in zip(a, b)
-        ])
+    @F.arrow_udf("array<double>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return varied([None if w is None or len(w[0]) < 3 else akima_values(*w, grid) for w in waveforms(a, b)])
 
     return run(x, y)
 
@@ -312,10 +365,11 @@ def narrowest_window(x: Column, y: Column, fraction: float) -> Column:
         best = start[np.flatnonzero(width <= width.min() + 1e-12)[0]]
         return float(t[best]), float(t[end[best]])
 
-    @F.pandas_udf("begin double, end double")
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = [one(np.asarray(p, float), np.asarray(q, float)) if p is not None and len(p) > 1 else (None, None) for p, q in zip(a, b)]
-        return pd.DataFrame(rows, columns=["begin", "end"], dtype=float)
+    @F.arrow_udf("begin double, end double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        rows = [one(*w) if w is not None and len(w[0]) > 1 else (None, None) for w in waveforms(a, b)]
+        ends = [pa.array([r[k] for r in rows], pa.float64(), from_pandas=True) for k in (0, 1)]
+        return pa.StructArray.from_arrays(ends, ["begin", "end"])
 
     return run(x, y)
 
@@ -332,8 +386,8 @@ def clipped_background(power: Column, iterations: int = 4) -> Column:
             out[:, p:-p] = np.minimum(out[:, p:-p], middle)
         return out
 
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def run(s: pa.Array) -> pa.Array:
         return stacked(clip, s)
 
     return run(power)
@@ -353,12 +407,9 @@ def template_peak(y: Column, template: list[float]) -> Column:
         n = m.shape[1]
         return np.stack([c[np.arange(len(c)), k], np.where(k >= n // 2, k - n, k)], axis=1)
 
-    @F.pandas_udf("peak double, lag int")
-    def run(s: pd.Series) -> pd.DataFrame:
-        values = stacked(match, s)
-        return pd.DataFrame({
-            "peak": [None if v is None else float(v[0]) for v in values],
-            "lag": pd.array([None if v is None else int(v[1]) for v in values], dtype="Int32"),
-        })
+    @F.arrow_udf("peak double, lag int")
+    def run(s: pa.Array) -> pa.Array:
+        peak, lag = measured(match, 2, s)
+        return pa.StructArray.from_arrays([peak, lag.cast(pa.int32())], ["peak", "lag"])
 
     return run(y)

@@ -7,16 +7,15 @@ never paired with each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from firn.functions.angles import delta_angle, pair_delay, plane_delay
-from firn.functions.spectral import akima_values, cross_correlate, upsampled_correlation
+from firn.functions.spectral import akima_values, cross_correlate, upsampled_correlation, varied, waveforms
 from firn.functions.waveform import at_lag
 
 # Map binning and peak search.
@@ -29,6 +28,11 @@ ZOOM_BINS = 40
 ZOOM_STEP = 0.25
 SUPPRESS_DEGREES = 10.0
 FIT_SIZE = 5
+#: Doubles of maps that a task holds at once.
+MAP_VALUES = 1 << 20
+_PEAK = ("value", "phi", "theta")
+PEAKS = ArrayType(StructType([StructField(c, DoubleType()) for c in _PEAK]))
+_PEAKS_ARROW = pa.list_(pa.struct([(c, pa.float64()) for c in _PEAK]))
 
 
 def sector_gap(a: Column, b: Column, sectors: int = SECTORS) -> Column:
@@ -128,11 +132,40 @@ def event_maps(
     channels: DataFrame, geometry: DataFrame, event: Sequence[str], dt: float,
     phi_bins: int = COARSE_PHI_BINS, theta_bins: int = COARSE_THETA_BINS,
 ) -> DataFrame:
-    """One row per event with its coarse map as a flat array, phi-major; NULL where no pair of the event looks.
+    """One row per event with its coarse map as a flat array, phi-major; NULL where no pair of the event looks."""
+    bins = phi_bins * theta_bins
+
+    def flat(values: list[np.ndarray], unseen: list[np.ndarray]) -> pa.Array:
+        held = pa.array(np.concatenate(values), mask=np.concatenate(unseen))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * bins), held)
+
+    return _mapped(channels, geometry, event, dt, phi_bins, theta_bins, StructField("map", ArrayType(DoubleType())), flat)
+
+
+def event_peaks(
+    channels: DataFrame, geometry: DataFrame, event: Sequence[str], dt: float, phi_edges: Sequence[float], theta_edges: Sequence[float],
+    count: int, suppress: float = SUPPRESS_DEGREES,
+) -> DataFrame:
+    """One row per event with the ``peaks`` of its coarse map, searched where the map is made: no map leaves the task."""
+    search = _peak_search(phi_edges, theta_edges, count, suppress)
+    held = StructField("peaks", PEAKS)
+
+    def found(values: list[np.ndarray], unseen: list[np.ndarray]) -> pa.Array:
+        return pa.array([search(np.where(none, np.nan, v)) for v, none in zip(values, unseen)], _PEAKS_ARROW)
+
+    return _mapped(channels, geometry, event, dt, len(phi_edges), len(theta_edges), held, found)
+
+
+def _mapped(
+    channels: DataFrame, geometry: DataFrame, event: Sequence[str], dt: float, phi_bins: int, theta_bins: int, field: StructField,
+    finish: Callable[[list[np.ndarray], list[np.ndarray]], pa.Array],
+) -> DataFrame:
+    """What ``finish`` makes of the coarse maps of some events, given as values and the bins that no pair sees.
 
     The channels of an event (``ant`` and equally long ``y``) are brought together once; their number is bounded by
     the array. Each is transformed once, and all directions are read from the pair correlations through
-    one index matrix, which the geometry fixes and which is shipped to every task.
+    one index matrix, which the geometry fixes and which is shipped to every task. A map is far larger than its
+    channels, so only ``MAP_VALUES`` numbers of maps are made before they are handed on.
     """
     looks = coarse_delays(channels.sparkSession, geometry, phi_bins=phi_bins, theta_bins=theta_bins).toArrow()
     column = {c: np.asarray(looks.column(c)) for c in looks.column_names}
@@ -140,7 +173,7 @@ def event_maps(
     cell = column["phi_bin"].astype(np.int64) * theta_bins + column["theta_bin"]
     low, bins = np.floor(column["delay"] / dt).astype(np.int64), phi_bins * theta_bins
     shared = channels.sparkSession.sparkContext.broadcast((pairs, pair.ravel(), cell, low, column["delay"] / dt - low))
-    names = [*event, "map"]
+    names, step = [*event, field.name], max(1, MAP_VALUES // bins)
 
     def mapped(waves: np.ndarray, antennas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pairs, pair, cell, low, part = shared.value
@@ -156,21 +189,19 @@ def event_maps(
         return total / np.maximum(count, 1), count == 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             values, unseen = [], []
             for ants, waves in zip(batch.column("_ants"), batch.column("_waves"), strict=True):
                 held = waves.values
                 made, none = mapped(held.flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1), ants.values.to_numpy())
                 values.append(made)
                 unseen.append(none)
-            flat = pa.array(np.concatenate(values), mask=np.concatenate(unseen))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * bins), flat)
-            yield pa.RecordBatch.from_arrays([*[batch.column(e) for e in event], lists], names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(e) for e in event], finish(values, unseen)], names)
 
     together = F.sort_array(F.collect_list(F.struct(F.col("ant").cast("int").alias("ant"), "y")))
     grouped = channels.groupBy(*event).agg(together.alias("_c")).select(*event, F.col("_c.ant").alias("_ants"), F.col("_c.y").alias("_waves"))
     keys = [grouped.schema[e] for e in event]
-    return grouped.mapInArrow(run, StructType([*keys, StructField("map", ArrayType(DoubleType()))]))
+    return grouped.mapInArrow(run, StructType([*keys, field]))
 
 
 def zoom_map(
@@ -222,10 +253,8 @@ def _grid(values: np.ndarray, phi_bins: int, theta_bins: int) -> np.ndarray:
     return np.nan_to_num(np.asarray(values, float), nan=-np.inf).reshape(phi_bins, theta_bins)
 
 
-def map_peaks(
-    map_array: Column, phi_edges: Sequence[float], theta_edges: Sequence[float], count: int, suppress: float = SUPPRESS_DEGREES
-) -> Column:
-    """Greedy peaks: local maximum of its 8 neighbours (phi wraps, theta does not), then blank a box around it."""
+def _peak_search(phi_edges: Sequence[float], theta_edges: Sequence[float], count: int, suppress: float) -> Callable[[np.ndarray], list[dict]]:
+    """Greedy peaks of a map: local maximum of its 8 neighbours (phi wraps, theta does not), then blank a box around it."""
     phi, theta = np.asarray(phi_edges, float), np.asarray(theta_edges, float)
 
     def search(values: np.ndarray) -> list[dict]:
@@ -249,11 +278,7 @@ def map_peaks(
             open_cells &= ~((gap < suppress)[:, None] & (np.abs(theta - theta[j]) < suppress)[None, :])
         return found
 
-    @F.pandas_udf("array<struct<value:double,phi:double,theta:double>>")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else search(v) for v in s])
-
-    return run(map_array)
+    return search
 
 
 def quadratic_design(size: int = FIT_SIZE, step: float = ZOOM_STEP) -> np.ndarray:
@@ -291,9 +316,12 @@ def quadratic_peak(map_array: Column, phi_bins: int, theta_bins: int, step: floa
         top = a * px * px + b * py * py + c * px * py + d * px + e * py + f
         return float(top), float(i * step + px), float(j * step + py), float(((model - patch) ** 2).mean())
 
-    @F.pandas_udf("value double, d_phi double, d_theta double, chisq double")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fit(v) for v in s], columns=["value", "d_phi", "d_theta", "chisq"])
+    names = ["value", "d_phi", "d_theta", "chisq"]
+
+    @F.arrow_udf("value double, d_phi double, d_theta double, chisq double")
+    def run(s: pa.Array) -> pa.Array:
+        fits = np.array([fit(w[0]) for w in waveforms(s)], float).reshape(-1, len(names))
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(v), from_pandas=True) for v in fits.T], names)
 
     return run(map_array)
 
@@ -314,12 +342,10 @@ def coherent_sum(
     placed = joined.join(F.broadcast(geometry.select("ant", F.col("z").alias("_z"), F.col("r").alias("_r"), F.col("phi").alias("_p"))), "ant")
     delay = plane_delay(F.col("_z"), F.col("_r"), F.col("_p"), F.col("phi"), F.col("theta"))
 
-    @F.pandas_udf("array<double>")
-    def shifted(y: pd.Series, late: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def shifted(y: pa.Array, late: pa.Array) -> pa.Array:
         grid = dt * np.arange(samples)
-        return pd.Series([
-            akima_values(dt * np.arange(len(v)), np.asarray(v, float), grid + d) for v, d in zip(y, late)
-        ])
+        return varied([akima_values(dt * np.arange(len(w[0])), w[0], grid + d) for w, d in zip(waveforms(y), late.to_numpy(zero_copy_only=False))])
 
     rows = placed.select(*keys, F.posexplode(shifted(F.col("y"), delay)).alias("i", "v"))
     means = rows.groupBy(*keys, "i").agg(F.avg("v").alias("v"), F.count("*").alias("n"))

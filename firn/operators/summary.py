@@ -105,9 +105,8 @@ def summarise(
     pairs = imaging.antenna_pairs(geometry)
     phi_edges = [360.0 * k / phi_bins - 180.0 / imaging.SECTORS for k in range(phi_bins)]
     theta_edges = imaging.coarse_theta_edges(theta_bins)[:theta_bins]
-    rough = imaging.event_maps(clean.select(*event, "ant", "y"), geometry, event, dt, phi_bins, theta_bins).select(
-        *event, F.posexplode(imaging.map_peaks(F.col("map"), phi_edges, theta_edges, peaks)).alias("rank", "p")
-    )
+    searched = imaging.event_peaks(clean.select(*event, "ant", "y"), geometry, event, dt, phi_edges, theta_edges, peaks)
+    rough = searched.select(*event, F.posexplode("peaks").alias("rank", "p"))
     rough = materialize(rough.select(*event, "rank", F.col("p.value").alias("rough_value"), "p.phi", "p.theta"), "rough")
     fine = imaging.zoom_map(
         imaging.correlations(clean, pairs, event, upsample), geometry, rough, event, dt / upsample, bins=zoom_bins, peak=["rank"]

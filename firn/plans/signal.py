@@ -258,7 +258,7 @@ def _coarse_map(spark, folder):
 
 def _peaks(spark: SparkSession, folder: str) -> DataFrame:
     edges = [k * 360.0 / _PHI_BINS - 180.0 / imaging.SECTORS for k in range(_PHI_BINS)]
-    return _maps(spark, folder).select("event", imaging.map_peaks(F.col("map"), edges, _THETA[:-1], 3).alias("peaks"))
+    return imaging.event_peaks(channels(spark, folder), ring_geometry(spark), ["event"], DT, edges, _THETA[:-1], 3)
 
 
 @query("nms_topk")

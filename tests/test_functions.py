@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -180,3 +181,37 @@ def test_geometry_of_many_rows_is_compiled(spark):
     seen = made.withColumn("_v", geodesy.view_angles(payload, {"longitude": F.col("longitude"), "latitude": F.col("latitude"), "altitude": F.lit(100.0)}))
     turned = {r["id"]: r["d_theta"] for r in moved.collect()}
     assert turned == {r["id"]: r["_v"]["theta"] - r["theta"] for r in seen.collect()}
+
+
+def test_waveforms_are_handed_over_in_slices():
+    rng = np.random.default_rng(3)
+    rows = [None if k % 97 == 0 else rng.normal(size=64 if k % 5 else 32) for k in range(3000)]
+    sizes = []
+
+    def doubled(m):
+        sizes.append(len(m))
+        return 2 * m
+
+    got = spectral.stacked(doubled, pa.array(rows, pa.list_(pa.float64()))).to_pylist()
+    assert max(sizes) <= spectral.SLICE
+    for g, w in zip(got, rows):
+        assert (g is None) == (w is None) and (w is None or np.array_equal(g, 2 * w))
+
+
+def test_peaks_are_found_where_the_map_is_made(spark):
+    geometry = spark.range(16).select(F.col("id").cast("int").alias("ant"), F.lit(2.0).alias("r"), (F.col("id") % 2 * 0.5).alias("z"), (F.col("id") * 22.5).alias("phi"))
+    rng = np.random.default_rng(4)
+    rows = [(event, ant, rng.normal(size=64).tolist()) for event in range(150) for ant in range(16)]
+    channels = spark.createDataFrame(rows, "event long, ant int, y array<double>").coalesce(1)
+    phi, theta = [k * 2.5 - 11.25 for k in range(imaging.COARSE_PHI_BINS)], imaging.coarse_theta_edges()[:-1]
+    made = imaging.event_peaks(channels, geometry, ["event"], 0.5, phi, theta, 3)
+    # One task's step from waveforms to peaks: no map is sent from one Python step to another.
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Python" not in plan.replace("MapInArrow", "")
+    maps = {r["event"]: np.array(r["map"], float) for r in imaging.event_maps(channels, geometry, ["event"], 0.5).collect()}
+    found = {r["event"]: r["peaks"] for r in made.collect()}
+    assert sorted(found) == sorted(maps) == list(range(150))
+    for event, peaks in found.items():
+        first = np.unravel_index(np.nanargmax(maps[event]), (len(phi), len(theta)))
+        if 0 < first[1] < len(theta) - 1:
+            assert (peaks[0]["phi"], peaks[0]["theta"], peaks[0]["value"]) == (phi[first[0]], theta[first[1]], maps[event].max())
