@@ -105,3 +105,25 @@ def test_crowded_tiles_are_parted(spark, monkeypatch):
     rho = np.random.default_rng(12).choice([0.2, 0.9, 9.0], len(xy), p=[0.6, 0.38, 0.02])
     got = link_components(frame(spark, np.arange(len(xy)), xy, rho=rho)).toPandas().sort_values("id")
     assert np.array_equal(got["label"].to_numpy(), labels_by_hand(xy, rho))
+
+
+def test_cells_beyond_a_query_are_not_opened(spark):
+    cells = [(1, 0.0, 1.0, 0.0, 1.0), (2, 3.0, 4.0, 0.0, 1.0), (3, 2.0, 2.5, 2.0, 2.5)]
+    asked = spark.createDataFrame([(c[0], *c[1:], 0.5, 0.5, b) for c in cells for b in (2.5**2, 2.0, None)], "cell int, r_minx double, r_maxx double, r_miny double, r_maxy double, x double, y double, _bound double")
+    got = sorted((r["cell"], r["_bound"] or 0.0) for r in spatial._in_bound(asked, None).collect())
+    assert got == [(1, 0.0), (1, 2.0), (1, 6.25), (2, 0.0), (2, 6.25), (3, 0.0), (3, 6.25)]
+    assert {r["cell"] for r in spatial._in_bound(asked, 2.2).collect()} == {1, 3}
+
+
+def test_few_queries_among_many_points(spark):
+    rng = np.random.default_rng(8)
+    points, queries = np.round(rng.uniform(0, 40, (4000, 2)), 1), np.round(rng.uniform(-5, 45, (150, 2)), 1)
+    made = [spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "id long, x double, y double") for p in (queries, points)]
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in knn(*made, 3, max_distance=4.0).collect()}
+    want = {}
+    for i, q in enumerate(queries):
+        d2 = ((points - q) ** 2).sum(axis=1)
+        for rank, at in enumerate(np.lexsort((np.arange(len(points)), d2))[:3]):
+            if d2[at] <= 16.0:
+                want[(i, rank + 1)] = at
+    assert got == want
