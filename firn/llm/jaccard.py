@@ -6,8 +6,10 @@ neighbouring ones. For a band, similar sets differ in at most k elements. The fe
 part is cut into n2 > k2 pieces and every choice of n2 - k2 pieces gives one signature, the hash of
 the set's elements in those pieces. Similar sets therefore share a signature, always.
 
-What shares a signature is only a candidate. Candidates are joined into clusters over signatures
-(a hub per signature, never all pairs). Similar sets also share one of their rarest shingles, so clusters
+What shares a signature is only a candidate. Pairs of sets that share one, of signatures of few sets, are checked by sketches: a sketch holds
+for each bucket of the hashes whether the set has an odd number of elements there, so two sets differ in at least as many elements as
+their sketches in bits. Pairs that surely differ too much are dropped; signatures of many sets join theirs by a hub, never all pairs. What is left is
+joined into clusters. Similar sets also share one of their rarest shingles, so clusters
 are parted again by those, and each part is searched exactly: from every set not yet reached,
 the sets that share a rare shingle with it are counted against it.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from firn.llm.lines import query, table
 from firn.llm.words import mix, shingle_sets
 from firn.operators.spatial import components
-from firn.session import discard, materialize
+from firn.session import discard, materialize, shuffle_width
 
 BLOOM_BITS = 24
 RARITY_BITS = 16
@@ -36,6 +38,9 @@ PASSES = 2
 #: Chunks of sets outside a part's largest group that meet all its chunks in one round: less disk, the same pairs.
 ROUND_CHUNKS = 2
 HELD_KEYS = 1 << 20
+#: Sets of one signature up to which all their pairs are checked.
+PAIRED_SETS = 64
+LEAST_SKETCH = 64
 SMALL_K = 6
 _LEVELS = 6
 _SEEN_SETS = 1 << 20
@@ -125,29 +130,59 @@ def _set_hash(elements: np.ndarray) -> int:
     return int(mix(np.array([mix(elements).sum(dtype=_U) + _U(len(elements))], _U))[0].view(np.int64))
 
 
+def _sketch(elements: np.ndarray) -> bytes:
+    """One bit for each of the next power of two of buckets: whether the set has an odd number of elements there."""
+    buckets = max(LEAST_SKETCH, 1 << (len(elements) - 1).bit_length())
+    held = np.bincount((mix(elements) & _U(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.packbits((held & 1).astype(bool)).tobytes()
+
+
+def _sketch_bits(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """In how many bits the sketches of each row differ; the longer one is folded to the length of the shorter."""
+    sides = []
+    for column in (a, b):
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        sides.append((ends[:-1], np.diff(ends), np.frombuffer(column.buffers()[2] or b"", np.uint8)))
+    sizes = np.stack((sides[0][1], sides[1][1]), axis=1)
+    out = np.zeros(len(sizes), np.int64)
+    for pair in np.unique(sizes, axis=0):
+        rows = np.flatnonzero((sizes == pair).all(axis=1))
+        short = int(pair.min())
+        # Some megabytes at a time, however long the sketches are.
+        step = max(1, (1 << 24) // int(pair.max()))
+        for at in (rows[i : i + step] for i in range(0, len(rows), step)):
+            bits = np.zeros((len(at), short), np.uint8)
+            for (starts, _, values), size in zip(sides, pair):
+                whole = values[starts[at][:, None] + np.arange(size)]
+                bits ^= np.bitwise_xor.reduce(whole.reshape(len(at), -1, short), axis=1)
+            out[at] = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def set_rows(docs: DataFrame, shingle: int, also: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, the columns ``also``, ``n_shingles`` and ``_set``, the 64-bit hash of the shingle set (null if empty)."""
+    """``doc_id``, the columns ``also``, ``n_shingles``, ``_set``, the 64-bit hash of the shingle set, and its ``_sketch`` (both null if empty)."""
     names = ["doc_id", *also]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, hashes = [], []
+            sizes, hashes, sketches = [], [], []
             for elements in shingle_sets(batch.column("text"), shingle):
                 sizes.append(len(elements))
                 hashes.append(_set_hash(elements) if len(elements) else None)
-            yield pa.RecordBatch.from_arrays(
-                [*map(batch.column, names), pa.array(sizes, pa.int64()), pa.array(hashes, pa.int64())], [*names, "n_shingles", "_set"]
-            )
+                sketches.append(_sketch(elements) if len(elements) else None)
+            made = [pa.array(sizes, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *made], [*names, "n_shingles", "_set", "_sketch"])
 
     kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.select(*names, "text").mapInArrow(rows, f"{kinds}, n_shingles long, _set long")
+    return docs.select(*names, "text").mapInArrow(rows, f"{kinds}, n_shingles long, _set long, _sketch binary")
 
 
 class _Hubs:
-    """Keys of sets in one task. A flush gives each key once, with one of its sets (the hub), and ties the other
-    sets that hold the key to the hub, so a key of very many sets leaves a task as one row."""
+    """Keys of sets in one task. A flush gives a key of at most ``paired`` sets with each of them; any other key once, with one of its sets
+    (the hub), and ties the other sets that hold the key to the hub, so a key of very many sets leaves a task as one row."""
 
-    def __init__(self) -> None:
+    def __init__(self, paired: int = 1) -> None:
+        self.paired = paired
         self.keys: list[np.ndarray] = []
         self.names: list[int] = []
         self.held = 0
@@ -164,8 +199,10 @@ class _Hubs:
         keys, sets = keys[order], sets[order]
         opens = np.ones(len(keys), bool)
         opens[1:] = keys[1:] != keys[:-1]
-        hubs = sets[opens][np.cumsum(opens) - 1]
-        tied = np.unique(np.stack((hubs, sets), axis=1)[hubs != sets], axis=0)
+        number = np.cumsum(opens) - 1
+        hubs = sets[opens][number]
+        opens |= (np.bincount(number) <= self.paired)[number] if len(number) else opens
+        tied = np.unique(np.stack((hubs, sets), axis=1)[(hubs != sets) & ~opens], axis=0)
         self.keys, self.names, self.held = [], [], 0
         out_keys = np.concatenate((keys[opens].view(np.int64), tied[:, 1]))
         out_sets = np.concatenate((sets[opens], tied[:, 1]))
@@ -190,7 +227,7 @@ def signature_rows(docs: DataFrame, shingle: int, num: int, den: int, passes: in
     """(``_key``, ``_set``, ``_hub``) of the signatures of all texts whose remainder by ``passes`` is ``share``, combined in each task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, hubs = Bands(num, den), _Hubs()
+        bands, hubs = Bands(num, den), _Hubs(PAIRED_SETS)
         for name, elements in _distinct_sets((b.column("text") for b in batches), shingle):
             found = signatures(elements, bands)
             hubs.add(name, found[(found >> _U(32)) % _U(passes) == share] if passes > 1 else found)
@@ -208,6 +245,70 @@ def _hub_edges(keyed: DataFrame) -> DataFrame:
     return joined.filter("_src != _set").select(F.col("_src").alias("src"), F.col("_set").alias("dst")).distinct()
 
 
+def _met(keyed: DataFrame, paired: int) -> DataFrame:
+    """Pairs (``src`` < ``dst``, not ``tied``) of all sets of each key of at most ``paired`` sets; edges (``tied``) that join those of any other key."""
+
+    def pairs(keys: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+        opens = np.ones(len(keys), bool)
+        opens[1:] = keys[1:] != keys[:-1]
+        first = np.flatnonzero(opens)
+        count = np.diff(np.append(first, len(keys)))
+        # A row meets all rows before it in its key, or the first alone.
+        before = np.arange(len(keys)) - np.repeat(first, count)
+        many = np.repeat(count > paired, count)
+        met = np.where(many, np.minimum(before, 1), before)
+        a = _ranges(np.repeat(first, count), met)
+        b = np.repeat(np.arange(len(keys)), met)
+        ends = np.stack((sets[a], sets[b], many[b].astype(np.int64)), axis=1)
+        return _edge_rows(np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sets, held = [], [], 0
+        for batch in batches:
+            hubs = batch.column("_hub")
+            tied = np.asarray(hubs.is_valid())
+            key, name = (np.asarray(batch.column(c)) for c in ("_key", "_set"))
+            if tied.any():
+                hub = np.asarray(hubs.fill_null(0))[tied]
+                ends = np.sort(np.stack((hub, name[tied]), axis=1), axis=1)
+                yield _edge_rows(np.column_stack((ends, np.ones(len(ends), np.int64))))
+            keys.append(key[~tied])
+            sets.append(name[~tied])
+            held += len(keys[-1])
+            if held >= HELD_KEYS:
+                key, name = np.concatenate(keys), np.concatenate(sets)
+                # The last key may go on in the next batch.
+                done = int(np.searchsorted(key, key[-1]))
+                yield pairs(key[:done], name[:done])
+                keys, sets, held = [key[done:]], [name[done:]], 0
+        if held or keys:
+            yield pairs(np.concatenate(keys), np.concatenate(sets))
+
+    sorted_ = keyed.repartition(shuffle_width(keyed.sparkSession), "_key").sortWithinPartitions("_key", "_set")
+    met = sorted_.mapInArrow(rows, "src long, dst long, tied long")
+    return met.groupBy("src", "dst").agg(F.max("tied").alias("tied"))
+
+
+def _edge_rows(ends: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in ends.reshape(-1, 3).T], ["src", "dst", "tied"])
+
+
+def _checked(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (``src``, ``dst``) that may be similar by their sizes and sketches."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [np.asarray(batch.column(c)) for c in ("_a_size", "_b_size")]
+            least = _sketch_bits(batch.column("_a"), batch.column("_b"))
+            kept = pa.array((den + num) * least <= (den - num) * (sizes[0] + sizes[1]))
+            yield batch.select(["src", "dst"]).filter(kept)
+
+    one, other = (sketches.select(F.col("_set").alias(end), F.col("_size").alias(f"{s}_size"), F.col("_sketch").alias(s)) for end, s in (("src", "_a"), ("dst", "_b")))
+    both = pairs.join(one, "src").join(other, "dst")
+    near = both.filter((den * F.col("_a_size") >= num * F.col("_b_size")) & (den * F.col("_b_size") >= num * F.col("_a_size")))
+    return near.select("src", "dst", "_a_size", "_b_size", "_a", "_b").mapInArrow(rows, "src long, dst long")
+
+
 def _bloom(ids: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of fixed size (2**bits bits) over hashed ids; the driver reads at most 2**(bits-6) words."""
     marks = ids.select(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).alias("at"))
@@ -306,8 +407,13 @@ def similar_components(
     bitmap of document ids only spares reading texts that have no partner. Signatures are shuffled in ``passes`` shares.
     """
     rows = materialize(set_rows(docs, shingle, also), "sets")
-    shares = [materialize(_hub_edges(signature_rows(docs, shingle, num, den, passes, i)), "edges") for i in range(passes)]
-    edges = reduce(DataFrame.unionByName, shares)
+    shares = [materialize(_met(signature_rows(docs, shingle, num, den, passes, i), PAIRED_SETS), "met") for i in range(passes)]
+    met = reduce(DataFrame.unionByName, shares)
+    sketches = rows.filter("_set is not null").groupBy("_set").agg(F.max("n_shingles").alias("_size"), F.first("_sketch").alias("_sketch"))
+    pairs = met.filter("tied = 0").select("src", "dst").distinct()
+    edges = materialize(_checked(pairs, sketches, num, den).union(met.filter("tied = 1").select("src", "dst")), "edges")
+    for done in shares:
+        discard(done)
     names = rows.filter("_set is not null").groupBy("_set").agg(F.min("doc_id").alias("_first"), F.max("n_shingles").alias("_size"))
     labels = _labels(docs, names, edges, shingle, num, den, cluster_elements, cluster_sets)
     rooted = names.join(labels, "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))

@@ -554,3 +554,47 @@ def test_pipeline_stages(spark, docs, local):
             assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in before if want[i] == i)
     packed = pipeline.STAGES[-1][1](spark, kept, FOLDER).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"))
     assert packed.count() == kept.select("doc_id").distinct().count()
+
+
+def test_sketches_drop_pairs_that_share_only_a_passage(spark, monkeypatch):
+    import numpy as np
+
+    from firn.llm import jaccard
+
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(200)) + " " + passage) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(3)]
+    seen, old = [], jaccard._labels
+
+    def labels(docs, names, edges, *rest):
+        seen.append(edges.count())
+        return old(docs, names, edges, *rest)
+
+    monkeypatch.setattr(jaccard, "_labels", labels)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(docs, 1).collect()}
+    assert found == {i: i % 100 for i, _ in rows} and seen == [3]
+
+    random = np.random.default_rng(1)
+    sets = [np.unique(random.integers(0, 1 << 62, n).astype(np.uint64)) for n in (1, 5, 64, 90, 700, 3000)]
+    sets += [np.union1d(s[: len(s) - len(s) // 9], random.integers(0, 1 << 62, 3).astype(np.uint64)) for s in sets]
+    a, b = zip(*[(i, j) for i in range(len(sets)) for j in range(len(sets))])
+    import pyarrow as pa
+
+    columns = [pa.array([jaccard._sketch(sets[i]) for i in side], pa.binary()) for side in (a, b)]
+    least = jaccard._sketch_bits(*columns)
+    differ = [len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)]
+    assert all(x <= y for x, y in zip(least, differ)) and all(least[i * len(sets) + i] == 0 for i in range(len(sets)))
+    assert (jaccard._sketch_bits(*[c.slice(5, 40) for c in columns]) == least[5:45]).all()
+
+
+def test_keys_of_many_sets_and_flushes_keep_similar_pairs(spark, monkeypatch):
+    from firn.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "PAIRED_SETS", 3)
+    monkeypatch.setattr(jaccard, "HELD_KEYS", 50)
+    base = [f"t{k}" for k in range(60)]
+    rows = [(i, " ".join([*base[: 60 - i % 2], f"own{i}"])) for i in range(12)] + [(50 + i, " ".join(f"v{i}x{k}" for k in range(60)) + " t0") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(docs, 1).collect()}
+    assert found == {i: 0 if i < 50 else i for i, _ in rows}
