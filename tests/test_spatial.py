@@ -127,3 +127,15 @@ def test_few_queries_among_many_points(spark):
             if d2[at] <= 16.0:
                 want[(i, rank + 1)] = at
     assert got == want
+
+
+def test_searches_run_in_shares(spark, monkeypatch):
+    """Shares change the disk that a search takes, not what it finds."""
+    rows = [(i if i % 7 else None, float((i * 37) % 50), float((i * i) % 41)) for i in range(400)]
+    points = spark.createDataFrame(rows, "id long, x double, y double")
+    whole = sorted(knn(points.filter("id is not null"), points.filter("id is not null"), 3, exclude_self=True, leaf_rows=4).collect())
+    written, old = [], spatial.materialize
+    monkeypatch.setattr(spatial, "SHARE_ROWS", 100)
+    monkeypatch.setattr(spatial, "materialize", lambda df, label="step": written.append(label) or old(df, label))
+    assert sorted(knn(points.filter("id is not null"), points.filter("id is not null"), 3, exclude_self=True, leaf_rows=4).collect()) == whole
+    assert written.count("placed") == written.count("ranked") > 2
